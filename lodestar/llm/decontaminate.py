@@ -62,8 +62,8 @@ def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     both = hashes.select(F.explode(F.array(F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", 32).bitwiseAND(mask))).alias("bit"))
     words = both.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(K.U)
 
 

@@ -48,10 +48,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, int64 offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    wide = pa.large_binary() if binary else pa.large_string()
+    if column.type != wide:
+        column = column.cast(wide)
     n = len(column)
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1] if off is not None and n else np.zeros(n + 1, np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, linededup, neardup, packing, tokencount, tokenfile
+from lodestar.llm import decontaminate, linededup, neardup, packing, substring, tokencount, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,30 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), 5, 75)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir), 13).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, hash(w[s:s + 12]) AS h, w[s:s + 12] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM w WHERE len(w) >= 13)),
+firsts AS (SELECT v, min(doc_id) AS f FROM win GROUP BY v),
+bad AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM win JOIN firsts USING (v) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
+marked AS (SELECT words.*, bad.p IS NOT NULL AS gone FROM words LEFT JOIN bad USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op8_token_files": op8_token_files}
+    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL}
