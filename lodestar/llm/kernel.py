@@ -115,15 +115,23 @@ class Words:
         return b" ".join([d[x:y] for x, y in zip(s, e, strict=True)])
 
 
+class SpanHasher:
+    """64-bit hashes of spans of bytes, the same wherever a span stands."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.n = len(data)
+        self.acc = np.zeros(self.n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * powers(BASE, self.n), out=self.acc[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, U)
+        h = (self.acc[end] - self.acc[start]) * powers(BASE_INV, self.n)[start]
+        return mix(h ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    if not len(start):
-        return np.zeros(0, U)
-    n = len(data)
-    acc = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=acc[1:])
-    h = (acc[end] - acc[start]) * powers(BASE_INV, n)[start]
-    return mix(h ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+    return SpanHasher(data)(start, end)
 
 
 def kgram_hash(h: np.ndarray, k: int) -> np.ndarray:
