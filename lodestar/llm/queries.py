@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, langid, linededup, neardup, packing, substring, tokencount, tokenfile, topk
+from lodestar.llm import decontaminate, langid, linededup, neardup, packing, substring, tokencount, tokenfile, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 50, 5)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -116,7 +120,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k}
+    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
