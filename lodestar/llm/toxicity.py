@@ -24,7 +24,7 @@ from lodestar.llm.shared import strip_to
 EXAMPLES, TERMS, LEAST_G, NEIGHBOURS = 3000, 2048, 15.0, 15
 #: Examples in a block of the index.
 BLOCK = 64
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +108,8 @@ class NearestLabelled:
         pick = np.flatnonzero(lean >= LEAST_G)
         pick = np.sort(pick[np.lexsort((words[pick], -lean[pick]))[:TERMS]])
         self.words = words[pick]
+        self.gate = np.zeros(1 << 16, bool)  # low bits of the vocabulary's hashes
+        self.gate[(self.words & K.U(0xFFFF)).astype(np.int64)] = True
         self.idf = np.log(1 + n / np.maximum(1, have.sum(axis=0)[pick])) if len(pick) else np.zeros(0)
         slot = np.full(len(words), -1)
         slot[pick] = np.arange(len(pick))
@@ -203,6 +205,8 @@ def score_texts(docs: DataFrame, model: NearestLabelled) -> DataFrame:
                 if not len(own.words):
                     continue
                 h, doc = terms(data, off)
+                maybe = np.flatnonzero(own.gate[(h & K.U(0xFFFF)).astype(np.int64)])
+                h, doc = h[maybe], doc[maybe]
                 slot = np.minimum(np.searchsorted(own.words, h), len(own.words) - 1)
                 known = own.words[slot] == h
                 key, n = np.unique(doc[known] * len(own.words) + slot[known], return_counts=True)
