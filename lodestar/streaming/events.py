@@ -53,9 +53,10 @@ def debounced(events: DataFrame, gap: str, by: list[str] = ()) -> DataFrame:
     return events.groupBy(*by, w).agg(F.count("*").alias("events"), F.count_distinct("path").alias("paths"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).drop("session_window")
 
 
-def debounced_stream(events: DataFrame, gap: str, lateness: str, by: list[str] = ()) -> DataFrame:
-    """debounced over a stream; groups come out once the watermark has passed them. Distinct paths are counted as a set."""
-    return events.withWatermark("ts", lateness).groupBy(*(by or [F.lit("all").alias("source")]), F.session_window("ts", gap)).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).drop("session_window", *([] if by else ["source"]))
+def debounced_stream(events: DataFrame, gap: str, lateness: str, by: list[str]) -> DataFrame:
+    """debounced over a stream; groups come out once the watermark has passed them. Distinct paths are counted as a set.
+    Session windows of a stream need a key, so `by` names at least one column."""
+    return events.withWatermark("ts", lateness).groupBy(*by, F.session_window("ts", gap)).agg(F.count("*").alias("events"), F.size(F.collect_set("path")).cast("long").alias("paths"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).drop("session_window")
 
 
 def sequence_gaps(events: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -36,12 +36,12 @@ def test_stream_as_batch(spark, tmp_path):
 
 
 def test_debounced_stream(spark, tmp_path):
-    df = events(spark).dropDuplicates(["seq"])
-    late = spark.createDataFrame([(99, "z", "modify", T0 + dt.timedelta(hours=3))], df.schema)
+    df = events(spark).dropDuplicates(["seq"]).withColumn("root", F.lit("r"))
+    late = spark.createDataFrame([(99, "z", "modify", T0 + dt.timedelta(hours=3), "r")], df.schema)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = E.debounced_stream(read, "15 seconds", "1 minute").writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = E.debounced_stream(read, "15 seconds", "1 minute", ["root"]).writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     stream = {tuple(r) for r in spark.sql("SELECT events, paths, first_seq, last_seq FROM groups").collect()}
