@@ -4,10 +4,16 @@ A document's shingle hashes are split by their high bits into bins; the least of
 densification: an empty bin copies the first bin that has a value in an order of its own). Runs of values are bucket
 keys. Equal sets are one vertex from the start, so copies cost nothing further.
 
-In each bucket the member that meets most others over all its buckets is the centre, and only (centre, member) pairs are
-compared on full sets. Once their links are components, a bucket within one component needs nothing more. In the others
-each member outside the centre's component is compared with those of other components; where that would be many pairs
-the bucket is first split: a near-duplicate pair shares many buckets, so the members meet again in pairs of buckets.
+In each bucket the member that meets most others over all its buckets is the centre c, and only (c, member) pairs are
+compared on full sets. What else could be linked follows from those comparisons, without comparing all pairs:
+
+* Members linked to c are one component already.
+* d = 1 - similarity is a metric, so a member below 0.5 to c (far) is not linked to one that is linked to c.
+* Members between (0.5 or more to c, not linked) are compared with those around c by what they add to c and lack of it,
+  in cells of a bounded number of members; a cell gives out a spanning forest of its links, never its pairs.
+
+Far members meet again in pairs of buckets, for linked ones share many, around other centres, until every bucket is
+within one component.
 """
 
 from __future__ import annotations
@@ -26,10 +32,14 @@ from lodestar.llm.shared import Table, strip_to
 #: Bands of signature values. A pair at similarity 0.75 misses all 50 of 4 values with probability 6e-9.
 BANDS, ROWS = 50, 4
 BINS = BANDS * ROWS
-#: Pairs of a bucket beyond which it is split by a second bucket, and how often.
-BUCKET_PAIRS, SPLITS = 20_000, 3
-#: Signature agreement below which a pair of sets of at least SURE shingles is not compared: 6 deviations below 0.75.
-LEAST_AGREEMENT, SURE = 0.55, 64
+#: Far members of a bucket up to which their signatures are compared at once; a bucket with more is split by a second one,
+#: up to SPLITS times, and after that goes on without its centre.
+FAR_CELL, SPLITS = 256, 3
+#: Signature agreement below which sets are far apart, or not linked; both 5 deviations or more below 0.5 and 0.75. Sets of
+#: fewer than SURE shingles are always compared.
+FAR_AGREEMENT, LINK_AGREEMENT, SURE = 0.32, 0.55, 8
+#: Members on either side of a cell.
+CELL = 2048
 
 _rng = np.random.default_rng(20_240)
 #: For every bin, the order in which an empty one asks the others.
@@ -130,7 +140,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures do not rule the similarity out."""
+    """Pairs (c, m) whose signatures and sizes do not show that they are far apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,31 +149,139 @@ def agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, BINS) for i in (2, 3))
             share = np.count_nonzero(x == y, axis=1) / BINS
-            keep = pa.array((share >= LEAST_AGREEMENT) | (batch.column(4).to_numpy() < SURE))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            keep = pa.array((share >= FAR_AGREEMENT) | (batch.column(4).to_numpy() < SURE))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["c", "m"])
 
     sig = vertices.select("vid", "sig", "n_shingles")
-    left, right = (sig.select(F.col("vid").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
-    near = pairs.join(right, "b").join(left, "a").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    return near.select("a", "b", "sig_a", "sig_b", F.least("n_a", "n_b").alias("n")).mapInArrow(run, "a long, b long")
+    left, right = (sig.select(F.col("vid").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "cm")
+    near = pairs.join(right, "m").join(left, "c").filter("2 * least(n_c, n_m) >= greatest(n_c, n_m)")
+    return near.select("c", "m", "sig_c", "sig_m", F.least("n_c", "n_m").alias("n")).mapInArrow(run, "c long, m long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def relations(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """c, m, linked, n (size of m) and delta (hashes of what m adds and of what it lacks) for pairs of similarity 0.5 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            at, link, size_, delta = [], [], [], []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, K.U), np.frombuffer(y, K.U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                new = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y
+                both = len(y) - int(new.sum())
+                united = len(x) + len(y) - both
+                if 2 * both < united:
+                    continue
+                lost = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x
+                at.append(i)
+                link.append(100 * both >= percent * united)
+                size_.append(len(y))
+                delta.append(np.concatenate([y[new], ~x[lost]]))
+            pick = pa.array(at, pa.int64())
+            lists = K.list_array(K.as_long(np.concatenate(delta)) if delta else np.zeros(0, np.int64), K.counts_before(np.array([len(a) for a in delta], np.int64)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(link, pa.bool_()), pa.array(size_, pa.int64()), lists], ["c", "m", "linked", "n", "delta"])
+
+    with_m = agreeing(pairs, vertices).join(sets.select(F.col("vid").alias("m"), F.col("shingles").alias("set_m")), "m")
+    with_c = with_m.join(sets.select(F.col("vid").alias("c"), F.col("shingles").alias("set_c")), "c")
+    return with_c.select("c", "m", "set_c", "set_m").mapInArrow(run, "c long, m long, linked boolean, n long, delta array<long>")
+
+
+def cell_links(around: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one centre, of which at least one is not linked to it: a forest of each cell."""
+    sizes = around.groupBy("c").agg(F.count("*").alias("n_all"), F.count_if(~F.col("linked")).alias("n_between")).filter("n_all > 1 and n_between > 0")
+    parts = sizes.select("c", F.ceil(F.col("n_all") / CELL).cast("int").alias("p_all"), F.ceil(F.col("n_between") / CELL).cast("int").alias("p_between"))
+    placed = around.join(parts, "c")
+    h = F.xxhash64("m")
+    rows = placed.filter("not linked").select("c", F.pmod(h, F.col("p_between")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("p_all") - 1)).alias("j"), F.lit(True).alias("asks"), "m", "linked", "n", "delta")
+    cols = placed.select("c", F.explode(F.sequence(F.lit(0), F.col("p_between") - 1)).alias("i"), F.pmod(h, F.col("p_all")).cast("int").alias("j"), F.lit(False).alias("asks"), "m", "linked", "n", "delta")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks, vid, n = (group[x].to_numpy() for x in ("asks", "m", "n"))
+        values = group["delta"].combine_chunks()
+        off = values.offsets.to_numpy().astype(np.int64)
+        flat = values.values.to_numpy()
+        size_ = np.diff(off)
+        ask, own = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(ask) or not len(own):
+            return schema.empty_table()
+        element = flat[K.ranges(off[:-1][own], size_[own])]
+        owner = np.repeat(own, size_[own])
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        # one label for the centre and all that is linked to it; links lower labels
+        label = np.arange(1, len(vid) + 1)
+        label[group["linked"].to_numpy()] = 0
+        same = np.unique(vid, return_inverse=True)[1]
+        edges = []
+        for a in range(0, len(ask), 32):
+            few = ask[a : a + 32]
+            mine = flat[K.ranges(off[:-1][few], size_[few])]
+            who = np.repeat(np.arange(len(few)), size_[few])
+            lo, hi = np.searchsorted(element, mine, "left"), np.searchsorted(element, mine, "right")
+            met = owner[K.ranges(lo, hi - lo)]
+            overlap = np.bincount(np.repeat(who, hi - lo) * len(vid) + met, minlength=len(few) * len(vid)).reshape(len(few), len(vid))[:, own]
+            apart = size_[few][:, None] + size_[own][None, :] - 2 * overlap
+            both2 = n[few][:, None] + n[own][None, :] - apart  # twice the intersection
+            x, y = np.nonzero(100 * both2 >= percent * (both2 + 2 * apart))
+            edges.append(np.stack([few[x], own[y]]))
+        i, j = np.concatenate(edges, axis=1)
+        least = np.full(int(same.max()) + 1, len(vid) + 1)
+        np.minimum.at(least, same, label)
+        i, j = same[i], same[j]
+        i, j = i[i != j], j[i != j]
+        start = least.copy()
+        while True:
+            before = least.copy()
+            low = np.minimum(least[i], least[j])
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, j, low)
+            if np.array_equal(before, least):
+                break
+        at = np.flatnonzero(least < start)
+        first = np.zeros(int(same.max()) + 1, np.int64)
+        first[same] = vid
+        root = np.where(least[at] == 0, group["c"][0].as_py(), vid[np.maximum(least[at], 1) - 1])
+        return pa.Table.from_arrays([pa.array(root), pa.array(first[at])], schema=schema)
+
+    return rows.unionByName(cols).groupBy("c", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, m) of members (key, vid) of one bucket, of FAR_CELL at most, that sizes and signatures allow to be linked."""
 
-    with_b = pairs.join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("set_b")), "b")
-    with_a = with_b.join(sets.select(F.col("vid").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return with_a.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in [*batches, None]:
+            t = pa.Table.from_batches([batch]) if batch is not None and len(batch) else None
+            if t is not None:
+                held = t if held is None else pa.concat_tables([held, t])
+            if held is None:
+                continue
+            key = held["key"].to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            whole = len(cut) - 1 if batch is None else len(cut) - 2  # the last bucket may go on in the next batch
+            if whole <= 0:
+                continue
+            vid, n = held["vid"].to_numpy(), held["n"].to_numpy()
+            sig = np.frombuffer(b"".join(held["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+            left, right = [], []
+            for a, b in zip(cut[:whole].tolist(), cut[1 : whole + 1].tolist(), strict=True):
+                x, y = np.triu_indices(b - a, 1)
+                x, y = x + a, y + a
+                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                fit = np.flatnonzero(100 * least >= percent * most)
+                x, y, least = x[fit], y[fit], least[fit]
+                same = np.concatenate([np.count_nonzero(sig[x[i : i + 4096]] == sig[y[i : i + 4096]], axis=1) for i in range(0, len(x), 4096)]) if len(x) else x
+                keep = (same >= LINK_AGREEMENT * BINS) | (least < SURE)
+                left.append(np.minimum(vid[x[keep]], vid[y[keep]]))
+                right.append(np.maximum(vid[x[keep]], vid[y[keep]]))
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            held = held.slice(cut[whole])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["c", "m"])
+
+    rows = rest.join(vertices.select("vid", F.col("n_shingles").alias("n"), "sig"), "vid").select("key", "vid", "n", "sig")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "c long, m long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -174,8 +292,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     the smallest doc_id that links reach; kept is doc_id = component_id. A null or empty text has no shingles and no
     links. Rows with a repeated doc_id are rows of their own with an equal id; a null doc_id takes part, and a component
     of such rows alone has a null component_id and is kept. An empty table gives no rows; other columns are ignored.
-    Sets are known by 64-bit hashes. Links are found with a probability of miss below 1e-7 at the threshold (three
-    buckets shared, where a bucket is split twice) and confirmed on full sets.
+    Sets are known by 64-bit hashes. Links are found but for a probability of about 1e-7 at the threshold (what two
+    sets share of their buckets is random) and confirmed on full sets.
     """
     thin = strip_to(docs, doc_id="long", text="string")
     rows = Table(sketches(thin, size), "sketches")
@@ -184,38 +302,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = Table(keys.join(shared, "key"), "members")
     weight = members.df.groupBy("vid").agg(F.sum("n").alias("weight"))
-    centres = Table(members.df.join(weight, "vid").groupBy("key").agg(F.max(F.struct("weight", "vid"))["vid"].alias("centre")), "centres")
-    sets = Table(sets_of(thin, weight.select("vid"), size), "sets")
-    stars = members.df.join(centres.df, "key").filter("vid <> centre").select(F.col("centre").alias("a"), F.col("vid").alias("b")).distinct()
-    stars = Table(stars, "stars")
-    links = Table(linked(agreeing(stars.df, vertices.df), sets.df, percent), "links").df
-    found = Table(components(links), "components")
-
-    # buckets that hold more than one component
-    groups = members.df.select("key", "vid")
-    for split in range(SPLITS + 1):
-        own = groups.join(found.df.withColumnRenamed("v", "vid"), "vid", "left").select("key", "vid", F.coalesce("root", "vid").alias("comp"))
-        own = Table(own, "own")
-        sizes = own.df.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        per_key = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"))
-        open_ = Table(per_key.filter("comps > 1").select("key", F.col("main.comp").alias("main"), (F.col("n") * (F.col("n") - F.col("main.n"))).alias("pairs")), "open")
-        few = open_.df if split == SPLITS else open_.df.filter(F.col("pairs") <= BUCKET_PAIRS)
-        here = own.df.join(few.select("key", "main"), "key")
-        odd = here.filter("comp <> main").select("key", F.col("vid").alias("x"), F.col("comp").alias("comp_x"))
-        cross = here.select("key", F.col("vid").alias("y"), F.col("comp").alias("comp_y"), "main").join(odd, "key").filter("comp_x <> comp_y and (comp_y = main or x < y)")
-        pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        done = stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = Table(linked(agreeing(pairs.join(done, ["a", "b"], "left_anti"), vertices.df), sets.df, percent), "more-links")
-        if not more.df.isEmpty():
-            links = links.unionByName(more.df)
-            found = Table(components(links), "components")
-        many = open_.df.filter(F.col("pairs") > BUCKET_PAIRS).select("key")
-        if split == SPLITS or many.isEmpty():
+    weight = Table(weight, "weights")
+    sets = Table(sets_of(thin, weight.df.select("vid"), size), "sets")
+    found, links, groups, splits = None, None, Table(members.df.select("key", "vid"), "groups"), 0
+    while True:
+        # buckets of more than one component, and their centres
+        own = groups.df.withColumn("comp", F.col("vid")) if found is None else groups.df.join(found.df.withColumnRenamed("v", "vid"), "vid", "left").select("key", "vid", F.coalesce("root", "vid").alias("comp"))
+        open_ = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
+        live = Table(own.join(open_, "key").join(weight.df, "vid").select("key", "vid", "weight"), "live")
+        if live.df.isEmpty():
             break
-        hot = own.df.join(many, "key").select("key", "vid")
-        other = members.df.select(F.col("key").alias("second"), "vid")
-        groups = Table(hot.join(other, "vid").filter("key <> second").select(F.xxhash64("key", "second").alias("key"), "vid"), "split").df
-
+        centres = live.df.groupBy("key").agg(F.max(F.struct("weight", "vid"))["vid"].alias("c"))
+        stars = Table(live.df.join(centres, "key").filter("vid <> c").select("key", "c", F.col("vid").alias("m")), "stars")
+        rel = Table(relations(stars.df.select("c", "m").distinct(), vertices.df, sets.df, percent), "relations")
+        middle = rel.df.filter("not linked")
+        about = rel.df.join(middle.select("c").distinct(), "c", "left_semi")
+        inner = Table(cell_links(about, percent), "cells")
+        # far members, with those in between
+        far = stars.df.join(rel.df.select("c", "m"), ["c", "m"], "left_anti").select("key", "m")
+        far_keys = far.groupBy("key").agg(F.count("*").alias("n_far"))
+        between = stars.df.join(far_keys.select("key"), "key", "left_semi").join(middle.select("c", "m"), ["c", "m"], "left_semi").select("key", "m")
+        rest = Table(far.unionByName(between).join(far_keys, "key").withColumnRenamed("m", "vid"), "rest")
+        sizes = rest.df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        few = rest.df.join(sizes.filter(F.col("n") <= FAR_CELL).select("key"), "key").select("key", "vid")
+        pairs = far_pairs(few, vertices.df, percent)
+        direct = Table(relations(pairs, vertices.df, sets.df, percent).filter("linked").select("c", "m"), "direct")
+        many = rest.df.join(sizes.filter(F.col("n") > FAR_CELL).select("key"), "key").select("key", "vid")
+        if splits < SPLITS:
+            second = members.df.select(F.col("key").alias("second"), "vid")
+            many = many.join(second, "vid").filter("key <> second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "vid")
+        new = rel.df.filter("linked").select(F.col("c").alias("a"), F.col("m").alias("b")).unionByName(direct.df.select(F.col("c").alias("a"), F.col("m").alias("b"))).unionByName(inner.df)
+        links = Table(new if found is None else found.df.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(new), "links")
+        found = Table(components(links.df), "components")
+        after = Table(many.distinct(), "groups")
+        for t in (groups, live, stars, rel, rest, direct, inner, links):
+            t.drop()
+        groups, splits = after, splits + 1
+
+    if found is None:
+        found = Table(components(members.df.select(F.col("vid").alias("a"), F.col("vid").alias("b")).limit(0)), "components")
     named = vertices.df.select("vid", "low").join(found.df.withColumnRenamed("v", "vid"), "vid")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_linked = found.df.join(lows, "root").select(F.col("v").alias("vid"), "component_id")

@@ -268,7 +268,7 @@ def test_near_duplicates_of_many_kinds(spark, monkeypatch):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     data, passage = [], [word() for _ in range(60)]
-    for g in range(12):
+    for g in range(4):
         base = [word() for _ in range(150)]
         data.append(base)
         for _ in range(12):
@@ -282,13 +282,14 @@ def test_near_duplicates_of_many_kinds(spark, monkeypatch):
             for _ in range(2):
                 last[r.randrange(len(last))] = word()
             data.append(last)
-    data += [[word() for _ in range(r.randint(2, 30))] + passage + [word() for _ in range(5)] for _ in range(60)]
+    data += [[word() for _ in range(r.randint(2, 30))] + passage + [word() for _ in range(5)] for _ in range(40)]
     r.shuffle(data)
     data = [(i, " ".join(w), None) for i, w in enumerate(data)]
     want = brute_components(data)
     df = table(spark, data).cache()
     assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df).collect()} == {d: c for d, (_, c, _) in want.items()}
-    monkeypatch.setattr(neardup, "BUCKET_PAIRS", 3)
+    monkeypatch.setattr(neardup, "FAR_CELL", 2)
+    monkeypatch.setattr(neardup, "CELL", 5)
     assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df).collect()} == {d: c for d, (_, c, _) in want.items()}
 
 
