@@ -89,7 +89,7 @@ LOWER[0x41:0x5B] += 32
 class Words:
     """The words of a block: byte starts and ends, document of each, and first word of each document."""
 
-    __slots__ = ("data", "doc", "end", "first", "hash", "start")
+    __slots__ = ("data", "doc", "end", "first", "hash", "hasher", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool) -> None:
         self.data = LOWER[data] if lower else data
@@ -106,7 +106,8 @@ class Words:
         self.end = np.flatnonzero(before & (edge | ~flag))
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.hash = hash_spans(self.data, self.start, self.end)
+        self.hasher = SpanHasher(self.data)
+        self.hash = self.hasher(self.start, self.end)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, joined by one space."""

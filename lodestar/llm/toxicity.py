@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -21,21 +22,20 @@ from lodestar.llm import kernel as K
 from lodestar.llm.shared import strip_to
 
 #: Examples of each label (about; chosen by a hash of doc_id), terms kept, evidence a term needs, neighbours asked.
-EXAMPLES, TERMS, LEAST_G, NEIGHBOURS = 3000, 2048, 15.0, 15
-#: Examples in a block of the index.
-BLOCK = 64
-PREFIXES = (4, 5, 6, 7, 8, 9)
+EXAMPLES, TERMS, LEAST_G, NEIGHBOURS = 2000, 1024, 20.0, 15
+#: Examples in a block of the index, and blocks that are scored before any bound is looked at.
+BLOCK, FIRST_BLOCKS = 64, 4
+PREFIXES = (5, 7)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term hashes, document of each) of a block: every word and its longer prefixes."""
-    low = K.LOWER[data]
-    w = K.Words(low, offsets, K.ALNUM, lower=False)
-    hasher, size = K.SpanHasher(low), w.end - w.start
+    w = K.Words(data, offsets, K.ALNUM, lower=True)
+    size = w.end - w.start
     out, doc = [w.hash], [w.doc]
     for n in PREFIXES:
         at = np.flatnonzero(size > n)
-        out.append(K.mix(hasher(w.start[at], w.start[at] + n) + K.U(n)))
+        out.append(K.mix(w.hasher(w.start[at], w.start[at] + n) + K.U(n)))
         doc.append(w.doc[at])
     return np.concatenate(out), np.concatenate(doc)
 
@@ -57,23 +57,26 @@ class BlockMaxIndex:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest positive product (ties to the smaller row), and the products."""
         bound = weight @ self.most[term]
-        rows, score, bar = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < bar - 1e-12):
-                break
-            got = np.zeros(BLOCK)
-            for t, q in zip(term.tolist(), weight.tolist(), strict=True):
-                s, e = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                if e > s:
-                    got[self.row[s:e] - b * BLOCK] += q * self.weight[s:e]
-            if b * BLOCK <= skip < b * BLOCK + BLOCK:
-                got[skip - b * BLOCK] = 0
-            some = np.flatnonzero(got > 0)
-            rows, score = np.concatenate([rows, some + b * BLOCK]), np.concatenate([score, got[some]])
-            best = np.lexsort((rows, -score))[:k]
-            rows, score = rows[best], score[best]
-            bar = score[-1] if len(score) == k else 0.0
-        return rows, score
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[bound[blocks] > 0]
+        got = np.zeros(self.n_rows)
+        bar, at = 0.0, 0
+        while at < len(blocks) and (at == 0 or bound[blocks[at]] >= bar - 1e-12):
+            # the first few, then all whose bound can still reach the k-th best
+            to = FIRST_BLOCKS if at == 0 else at + int(np.searchsorted(-bound[blocks[at:]], -(bar - 1e-12), side="right"))
+            place = term[:, None] * self.n_blocks + blocks[at:to]
+            size = (self.start[place + 1] - self.start[place]).ravel()
+            post = K.ranges(self.start[place].ravel(), size)
+            np.add.at(got, self.row[post], self.weight[post] * np.repeat(np.repeat(weight, place.shape[1]), size))
+            if skip >= 0:
+                got[skip] = 0
+            rows = np.flatnonzero(got)
+            if len(rows) >= k:
+                bar = np.partition(got[rows], len(rows) - k)[len(rows) - k]
+            at = to
+        rows = np.flatnonzero(got)
+        best = np.lexsort((rows, -got[rows]))[:k]
+        return rows[best], got[rows[best]]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ class NearestLabelled:
         self.doc_ids, self.labels = doc_ids, labels.astype(float)
         self.vote = np.array([1.0 / rates[int(y)] for y in labels]) if n else np.zeros(0)
         total = np.array([np.sum(labels == y) for y in (0, 1)], float)
-        words, code = np.unique(term, return_inverse=True)
+        code, words = pd.factorize(term)
         have = np.stack([np.bincount(code[labels[doc] == y], minlength=len(words)) for y in (0, 1)]) if len(words) else np.zeros((2, 0))
         lean = np.zeros(len(words))
         if total.min() > 0 and len(words):
@@ -106,7 +109,8 @@ class NearestLabelled:
                     lean += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
             lean[have[1] * total[0] <= have[0] * total[1]] = 0
         pick = np.flatnonzero(lean >= LEAST_G)
-        pick = np.sort(pick[np.lexsort((words[pick], -lean[pick]))[:TERMS]])
+        pick = pick[np.lexsort((words[pick], -lean[pick]))[:TERMS]]
+        pick = pick[np.argsort(words[pick])]
         self.words = words[pick]
         self.gate = np.zeros(1 << 16, bool)  # low bits of the vocabulary's hashes
         self.gate[(self.words & K.U(0xFFFF)).astype(np.int64)] = True
