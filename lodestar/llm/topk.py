@@ -31,45 +31,50 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class SortedLists:
-    """A block of vectors as one ordered list per dimension."""
+    """A block of vectors as one ordered list per dimension.
+
+    A list is kept as the rank of every row in it, so "read so far" is a comparison of ranks with a depth, and the sums
+    over what is read are matrix products. Depths are tried in growing steps, from the depth at which the last query of
+    the block could stop.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], vectors[order]
-        self.order = np.argsort(self.v, axis=0, kind="stable").T.astype(np.int32)  # dimension x depth: row
-        self.values = np.take_along_axis(self.v.T, self.order.astype(np.int64), axis=1)
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[by_id], vectors[by_id]
+        order = np.argsort(self.v, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.v, order, axis=0)  # depth x dimension
+        self.rank = np.empty(self.v.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.largest = int(np.abs(self.v).max(initial=0))
+        self.floats: dict[type, np.ndarray] = {}
+        self.depth = len(ids) // 2
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) that hold the k best of this block, the query's own row apart."""
-        n, used = len(self.ids), np.flatnonzero(q)
+        """(ids, scores) of the k best of this block, the query's own row apart."""
+        n = len(self.ids)
         rows = np.arange(n)
-        if len(used) and n > RESOLVED * k:
-            weight = q[used]
-            down = weight > 0
-            worst = np.where(down, self.values[used, 0], self.values[used, -1]) * weight
-            known, slack_low, slack_high = np.zeros(n), np.full(n, float(worst.sum())), np.zeros(n)
-            depth = 0
-            while depth < n:
-                step = max(n // 16, depth // 2)
-                to = min(n, depth + step)
-                # the next entries of every list, from its good end
-                at = np.where(down[:, None], n - 1 - np.arange(depth, to), np.arange(depth, to))
-                read = self.order[used[:, None], at]
-                gain = self.values[used[:, None], at] * weight[:, None]
-                flat = read.ravel()
-                known += np.bincount(flat, gain.ravel(), n)
-                slack_low -= np.bincount(flat, np.repeat(worst.astype(float), to - depth), n)
-                depth = to
-                edge = gain[:, -1].astype(float)  # nothing unread in a list is better
-                own = np.arange(depth)
-                seen = np.where(down[:, None], self.order[used][:, ::-1][:, own], self.order[used][:, own])
-                slack_high = edge.sum() - np.bincount(seen.ravel(), np.repeat(edge, depth), n)
-                low = known + slack_low
-                low[self.ids == query_id] = -np.inf
-                bar = np.partition(low, n - k)[n - k]
-                rows = np.flatnonzero(known + slack_high >= bar)
-                if len(rows) <= RESOLVED * k:
+        if n > RESOLVED * k:
+            kind = np.float32 if self.largest * int(np.abs(q).sum()) < 1 << 23 else np.float64  # sums are exact
+            if kind not in self.floats:
+                self.floats[kind] = self.v.astype(kind)
+            values, weight, down = self.floats[kind], q.astype(kind), q > 0
+            worst = np.where(down, self.sorted[0], self.sorted[-1]) * q
+            depth, step = self.depth, max(1, n // 16)
+            while True:
+                # read the lists to this depth, each from the end that its component prefers
+                edge = np.where(down, self.sorted[n - depth], self.sorted[depth - 1]) * q
+                ranks = self.rank[rows] if len(rows) < n else self.rank
+                read = np.where(down, ranks >= n - depth, ranks < depth).astype(kind)
+                bounds = read @ np.stack([edge, worst], axis=1).astype(kind)
+                known = (read * (values[rows] if len(rows) < n else values)) @ weight
+                upper, lower = known + (edge.sum() - bounds[:, 0]), known + (worst.sum() - bounds[:, 1])
+                lower[self.ids[rows] == query_id] = -np.inf
+                bar = np.partition(lower, len(rows) - k)[len(rows) - k]
+                rows = rows[upper >= bar]
+                if len(rows) <= RESOLVED * k or depth == n:
                     break
+                depth = min(n, depth + step)
+            self.depth = max(1, min(n - 1, depth) - step // 2)
         rows = rows[self.ids[rows] != query_id]
         score = self.v[rows] @ q
         best = np.lexsort((self.ids[rows], -score))[:k]
