@@ -16,6 +16,8 @@ from lodestar.operators.tables import written
 
 #: Edges up to which a graph goes to one task.
 SMALL_EDGES = 200_000
+#: Vertices up to which a component's feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
+BIT_VERTICES = 1 << 14
 
 
 def coupling(vertices: DataFrame, edges: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -174,7 +176,7 @@ def cycle_groups(components: DataFrame, edges: DataFrame) -> DataFrame:
     return groups.withColumn("size", F.size("members").cast("long")).filter("size > 1 or self").select("component", "members", "size")
 
 
-def feedback_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
+def feedback_edges(components: DataFrame, edges: DataFrame, bit_vertices: int = BIT_VERTICES) -> DataFrame:
     """edge_id of the edges that a greedy pass in edge_id order leaves out of each component so that the rest is acyclic.
 
     Components are solved in parallel; the pass within one is sequential by definition.
@@ -182,7 +184,24 @@ def feedback_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
     kind = edges.schema["edge_id"].dataType.simpleString()
     inner = edges.join(components.select(F.col("id").alias("src"), F.col("component").alias("cs")), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("cd")), "dst").filter("cs = cd")
 
+    def over_bits(pdf: pd.DataFrame, place: dict) -> pd.DataFrame:
+        below, chosen = [0] * len(place), []
+        for k, s, d in pdf.sort_values("edge_id")[["edge_id", "src", "dst"]].itertuples(index=False):
+            a, b = place[s], place[d]
+            if a == b or below[b] >> a & 1:
+                chosen.append(k)
+            elif not below[a] >> b & 1:
+                bit, more = 1 << a, below[b] | 1 << b
+                below[a] |= more
+                for i, have in enumerate(below):
+                    if have & bit:
+                        below[i] = have | more
+        return pd.DataFrame({"edge_id": chosen})
+
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = {v: i for i, v in enumerate(pd.unique(pd.concat([pdf["src"], pdf["dst"]])))}
+        if len(place) <= bit_vertices:
+            return over_bits(pdf, place)
         out: dict = {}
         chosen = []
         for k, s, d in pdf.sort_values("edge_id")[["edge_id", "src", "dst"]].itertuples(index=False):
@@ -204,9 +223,37 @@ def feedback_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
     return inner.select("cs", "edge_id", "src", "dst").groupBy("cs").applyInPandas(greedy, f"edge_id {kind}")
 
 
-def dependency_layers(vertices: DataFrame, edges: DataFrame, feedback: DataFrame) -> DataFrame:
+def _small_layers(vertices: DataFrame, e: DataFrame) -> DataFrame:
+    kind = vertices.schema["id"].dataType.simpleString()
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, into, layer = {}, {}, {}
+        for pdf in parts:
+            for s, d in pdf[["src", "dst"]].itertuples(index=False):
+                left[s] = left.get(s, 0) + 1
+                into.setdefault(d, []).append(s)
+        todo = [d for d in into if d not in left]
+        layer = dict.fromkeys(todo, 0)
+        while todo:
+            d = todo.pop()
+            for s in into.get(d, ()):
+                layer[s] = max(layer.get(s, 0), layer[d] + 1)
+                left[s] -= 1
+                if not left[s]:
+                    todo.append(s)
+        if any(left.values()):
+            raise ValueError("edges without their feedback edges hold a cycle")
+        yield pd.DataFrame({"id": list(layer), "layer": list(layer.values())})
+
+    found = e.coalesce(1).mapInPandas(solve, f"id {kind}, layer int")
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
+
+
+def dependency_layers(vertices: DataFrame, edges: DataFrame, feedback: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(id, layer): 0 without outgoing edges, else one more than the highest target; feedback edges do not count."""
     e = written(edges.join(feedback.select("edge_id"), "edge_id", "left_anti").filter("src <> dst").select("src", "dst").distinct())
+    if e.limit(small + 1).count() <= small:
+        return _small_layers(vertices, e)
     layer = written(vertices.select("id", F.lit(0).alias("layer")))
     while True:
         up = e.join(layer.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("to"))

@@ -33,6 +33,11 @@ def top_edges(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
     return candidate_edges(spark, sf_dir).withColumn("r", r).filter(F.col("r") <= k).select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst")
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every succession between two suppliers once, with an edge_id in order of (src, dst)."""
+    return candidate_edges(spark, sf_dir).select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst")
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
 
@@ -70,6 +75,8 @@ cand AS (SELECT s AS src, t AS dst, count(*) AS n FROM nx WHERE t IS NOT NULL AN
     "top": """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM cand),
 top AS (SELECT src * 1000000 + dst AS edge_id, src, dst FROM ranked WHERE r = 1)""",
+    "all_edges": """
+top AS (SELECT src * 1000000 + dst AS edge_id, src, dst FROM cand)""",
     "modules": """
 modules AS (SELECT s_suppkey AS id, r_name, n_name, s_name, r_name || '/' || n_name || '/' || s_name AS key, CAST(floor(s_acctbal / 2000) AS INTEGER) AS layer
             FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
