@@ -534,6 +534,39 @@ def state_rollup(spark, sf):
     return knowledge.rolled_up_state(_forest(spark, sf), s)
 
 
+# The three above see few claims, none of them in a cycle, as their SQL does. The same over all rows of two tables: every
+# order claims its customer's id, every supplier its nation's, all in one space of ids. SQL has no counterpart of the
+# removal of cycles.
+
+
+def _all_claims(spark, sf):
+    """(forest, nodes with their state)"""
+    o, s = table(spark, sf, "orders"), table(spark, sf, "supplier")
+    claims = o.select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent")).unionByName(s.select(F.col("s_suppkey").alias("child"), F.col("s_nationkey").cast("long").alias("parent")))
+    states = o.groupBy(F.col("o_orderkey").alias("id")).agg(F.max(F.when(F.col("o_totalprice") < 9000, "unknown").when(F.col("o_totalprice") < 200000, "done").otherwise("open")).alias("state"))
+    nodes = claims.select(F.col("child").alias("id")).union(claims.select("parent")).union(table(spark, sf, "part").select("p_partkey")).distinct().join(states, "id", "left")
+    fallback = nodes.filter("id > 0").select(F.col("id").alias("child"), F.floor(F.col("id") / 2).alias("parent"))
+    return knowledge.forest(claims, fallback), nodes
+
+
+def containment_forest_all_claims(spark, sf):
+    return _all_claims(spark, sf)[0]
+
+
+def bounded_traversal_all_claims(spark, sf):
+    f, nodes = _all_claims(spark, sf)
+    roots = nodes.select("id").join(f.select(F.col("child").alias("id")), "id", "left_anti")
+    return graph.bounded_traversal(f.select(F.col("parent").alias("src"), F.col("child").alias("dst")), roots, 3)
+
+
+def state_rollup_all_claims(spark, sf):
+    return knowledge.rolled_up_state(*_all_claims(spark, sf))
+
+
+for _query in (containment_forest_all_claims, bounded_traversal_all_claims, state_rollup_all_claims):
+    WITHOUT_SQL[_query.__name__] = _query
+
+
 @query("""WITH o AS (SELECT l_suppkey AS concept_id, l_returnflag AS field, l_linenumber AS priority, l_linestatus AS value FROM lineitem), t AS (SELECT concept_id, field, max(priority) AS priority FROM o GROUP BY ALL)
 SELECT concept_id, field, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE '' END AS value, count(DISTINCT value) > 1 AS conflict FROM o JOIN t USING (concept_id, field, priority) GROUP BY concept_id, field""")
 def rule_merge(spark, sf):
