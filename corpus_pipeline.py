@@ -23,11 +23,15 @@ def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, or no letter in it. Null and empty texts go here."""
+    """Drops documents without a letter, null and empty texts among them; whether anything was learned does not matter.
+
+    The model judges the language of the others, which decides nothing here.
+    """
     model = langid.learn(strip_to(docs, doc_id="long", text="string", lang="string").filter(~langid.held_out_column()))
     own = {c: "text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}  # no column is taken for a result
     judged = langid.predict(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()]), model)
-    return judged.filter(F.col("lang_pred") != langid.UND).select(*[F.col(k).alias(c) for c, k in own.items()])
+    letter = F.col("text").rlike(r"\p{L}") if not model.langs else F.col("lang_pred") != langid.UND  # as predict() tells it
+    return judged.filter(letter).select(*[F.col(k).alias(c) for c, k in own.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
