@@ -293,8 +293,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     links. Rows with a repeated doc_id are rows of their own with an equal id; a null doc_id takes part, and a component
     of such rows alone has a null component_id and is kept. An empty table gives no rows; other columns are ignored.
     Sets are known by 64-bit hashes. Links are found but for a probability of about 1e-7 at the threshold (what two
-    sets share of their buckets is random) and confirmed on full sets.
+    sets share of their buckets is random) and confirmed on full sets. A `percent` below 75 is refused: the bands and the
+    limits for far and unlinked sets hold from there on only.
     """
+    if percent < 75:
+        raise ValueError(f"percent {percent} is below 75")
     thin = strip_to(docs, doc_id="long", text="string")
     rows = Table(sketches(thin, size), "sketches")
     vertices = Table(rows.df.filter("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "vertices")
