@@ -45,8 +45,8 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
                     start, size, back, fp = [*start, s], [*size, np.full(len(s), n)], [*back, np.zeros(len(s), np.int64)], [*fp, short_hash(w.hash, n)[s]]
                 if start:
                     start, size, back, fp = (np.concatenate(x) for x in (start, size, back, fp))
-                    words = [w.text(i, i + n) for i, n in zip(start.tolist(), size.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + w.doc[start])), pa.array(K.as_long(fp)), pa.array(back.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(words, pa.binary())], ["item_id", "fp", "back", "size", "words"])
+                    words = w.texts(start, start + size)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + w.doc[start])), pa.array(K.as_long(fp)), pa.array(back.astype(np.int32)), pa.array(size.astype(np.int32)), words], ["item_id", "fp", "back", "size", "words"])
 
     return strip_to(items, item_id="string", text="string").mapInArrow(cut, "item_id string, fp long, back int, size int, words binary")
 
@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
                     at = fp = lead = size = np.zeros(0, np.int64)
                 doc = w.doc[at]
                 stop = np.minimum(at + size, w.first[doc + 1]) if len(at) else at
-                words = [w.text(x, y) for x, y in zip((at - lead).tolist(), stop.tolist(), strict=True)]
-                inner = pa.StructArray.from_arrays([pa.array(fp.view(np.int64), pa.int64()), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(words, pa.binary())], ["fp", "at", "lead", "words"])
+                words = w.texts(at - lead, stop)
+                inner = pa.StructArray.from_arrays([pa.array(fp.view(np.int64), pa.int64()), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(lead.astype(np.int32)), words], ["fp", "at", "lead", "words"])
                 hits = pa.ListArray.from_arrays(pa.array(K.counts_before(np.bincount(doc, minlength=b - a)).astype(np.int32)), inner)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(w.first)), hits.cast(hit_type)], ["doc_id", "n_words", "hits"])
 

@@ -14,7 +14,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are taken in blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Spans are hashed in stretches of about so many bytes, however long the block is; one longer span is a stretch of its own.
+HASH_BYTES = 1 << 18
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -23,14 +25,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 ... base**(n-1) modulo 2**64; those of a stretch are kept between calls, more are made and let go."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.ones(size, U)
-        have[1:] = U(base)
+        have = np.full(max(n, HASH_BYTES + 1), U(base))
+        have[0] = U(1)
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if n <= HASH_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 
@@ -89,7 +91,7 @@ LOWER[0x41:0x5B] += 32
 class Words:
     """The words of a block: byte starts and ends, document of each, and first word of each document."""
 
-    __slots__ = ("data", "doc", "end", "first", "hash", "hasher", "start")
+    __slots__ = ("data", "doc", "end", "first", "hash", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool) -> None:
         self.data = LOWER[data] if lower else data
@@ -106,33 +108,47 @@ class Words:
         self.end = np.flatnonzero(before & (edge | ~flag))
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.hasher = SpanHasher(self.data)
-        self.hash = self.hasher(self.start, self.end)
+        self.hash = hash_spans(self.data, self.start, self.end)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, joined by one space."""
-        s, e = self.start[a:b].tolist(), self.end[a:b].tolist()
-        d = self.data.tobytes() if not isinstance(self.data, bytes) else self.data
-        return b" ".join([d[x:y] for x, y in zip(s, e, strict=True)])
+        return self.texts(np.array([a]), np.array([b]))[0].as_py()
 
+    def texts(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """Runs of words, from each a to each b, joined by one space: one gather for all of them (binary)."""
+        at = ranges(a, b - a)
+        size = self.end[at] - self.start[at] + 1
+        flat = np.append(self.data, np.uint8(32))[ranges(self.start[at], size)]
+        flat[np.cumsum(size) - 1] = 32
+        ends = counts_before(size)[counts_before(b - a)]
+        long = np.diff(ends)
+        keep = np.ones(len(flat), bool)
+        keep[ends[1:][long > 0] - 1] = False  # no space after the last word
+        flat = flat[keep]
+        return binary_array(flat, counts_before(np.maximum(0, long - 1)))
 
-class SpanHasher:
-    """64-bit hashes of spans of bytes, the same wherever a span stands."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.n = len(data)
-        self.acc = np.zeros(self.n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * powers(BASE, self.n), out=self.acc[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(start):
-            return np.zeros(0, U)
-        h = (self.acc[end] - self.acc[start]) * powers(BASE_INV, self.n)[start]
-        return mix(h ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
+def span_hash(sums: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """The hash of spans from their sums of (byte + 1) * BASE ** place and their lengths."""
+    return mix(sums ^ (np.asarray(length).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return SpanHasher(data)(start, end)
+    """64-bit hashes of spans of bytes, the same wherever a span stands; `start` ascends. Memory follows HASH_BYTES."""
+    out = np.zeros(len(start), U)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(start, base + HASH_BYTES, side="right"))
+        far = int(np.searchsorted(end[i:j], base + HASH_BYTES, side="right")) + i  # ends ascend with starts
+        j = max(i + 1, far)
+        s, e = start[i:j] - base, end[i:j] - base
+        n = int(e[-1])
+        acc = np.zeros(n + 1, U)
+        np.cumsum((data[base : base + n].astype(U) + U(1)) * powers(BASE, n), out=acc[1:])
+        out[i:j] = span_hash((acc[e] - acc[s]) * powers(BASE_INV, n + 1)[s], e - s)
+        i = j
+    return out
 
 
 def kgram_hash(h: np.ndarray, k: int) -> np.ndarray:
@@ -171,6 +187,13 @@ def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def binary_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The runs of `flat` (bytes) between offsets; large_binary where 32 bits do not reach."""
+    wide = int(offsets[-1]) > 0x7FFFFFFF
+    kind, off = (pa.large_binary(), offsets.astype(np.int64)) if wide else (pa.binary(), offsets.astype(np.int32))
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 

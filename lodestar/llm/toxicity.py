@@ -31,12 +31,16 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term hashes, document of each) of a block: every word and its longer prefixes."""
     w = K.Words(data, offsets, K.ALNUM, lower=True)
-    size = w.end - w.start
     out, doc = [w.hash], [w.doc]
-    for n in PREFIXES:
-        at = np.flatnonzero(size > n)
-        out.append(K.mix(w.hasher(w.start[at], w.start[at] + n) + K.U(n)))
-        doc.append(w.doc[at])
+    at, sums = np.arange(len(w.start)), np.zeros(len(w.start), K.U)
+    size = w.end - w.start
+    for n in range(1, max(PREFIXES) + 1):  # the hash of a prefix grows by one byte a step
+        more = size[at] > n
+        at, sums = at[more], sums[more]
+        sums += (w.data[w.start[at] + n - 1].astype(K.U) + K.U(1)) * K.powers(K.BASE, n)[n - 1]
+        if n in PREFIXES:
+            out.append(K.mix(K.span_hash(sums, n) + K.U(n)))
+            doc.append(w.doc[at])
     return np.concatenate(out), np.concatenate(doc)
 
 
