@@ -79,6 +79,13 @@ class Packer:
             self.counts[n] += 1
             self.held += n
 
+    def windows(self, doc_id: int | None, ids: np.ndarray, total: int) -> None:
+        """Whole sequences of one document."""
+        raw, step = ids.tobytes(), 4 * self.capacity
+        for k in range(len(ids) // self.capacity):
+            self.rows.append((doc_id, k * self.capacity, self.capacity, raw[k * step : (k + 1) * step], total, self.sequence, 0, True, self.part))
+            self.sequence += 1
+
     def take(self, length: int) -> tuple:
         self.counts[length] -= 1
         self.held -= length
@@ -139,11 +146,16 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
         packer = Packer(capacity, part << 32, part)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, flat, off in own.ids(batch.column(1)):
-                for i in range(a, b):
-                    ids = np.append(flat[off[i - a] : off[i - a + 1]], np.uint32(end_id)).astype("<u4")
-                    for s in range(0, len(ids), capacity):
-                        packer.put(doc_ids[i], s, ids[s : s + capacity], len(ids))
+            for a, b, flat, off in own.ids(batch.column(1), end_id):
+                flat = flat.astype("<u4", copy=False)
+                size = np.diff(off)
+                whole = size // capacity
+                for i in np.flatnonzero(whole).tolist():
+                    packer.windows(doc_ids[a + i], flat[off[i] : off[i] + whole[i] * capacity], int(size[i]))
+                done, left = whole * capacity, size - whole * capacity
+                for i, x, y, n, k in zip(range(a, b), (off[:-1] + done).tolist(), off[1:].tolist(), size.tolist(), left.tolist(), strict=True):
+                    if k:
+                        packer.put(doc_ids[i], n - k, flat[x:y].copy(), n)  # a view would keep its block
                 if packer.held >= POOL_TOKENS:
                     packer.pack(POOL_TOKENS // 4)
                 if len(packer.rows) >= 2000:
