@@ -31,6 +31,15 @@ SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
 
 
+#: Bytes of text that a file holds, and sampled doc_ids for each bound between files.
+FILE_BYTES, SAMPLES = 32 << 20, 50
+NULL_ID = np.iinfo(np.int64).min
+
+
+def checksum(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
+
+
 class TokenFileWriter:
     """Appends documents to a binary stream; close() writes the index and the seek table."""
 
@@ -42,11 +51,14 @@ class TokenFileWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         raw = np.ascontiguousarray(ids, "<u4").tobytes()
-        frame = self.zstd.compress(raw)
+        self.add_frame(doc_id, self.zstd.compress(raw), len(raw), checksum(raw))
+
+    def add_frame(self, doc_id: int | None, frame: bytes, size: int, sum_: int) -> None:
+        """A document that is compressed already, with the size and checksum of its ids."""
         self.out.write(frame)
-        self.entries.append(struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        self.entries.append(struct.pack("<III", len(frame), size, sum_))
         self.index.append(struct.pack("<Bq", doc_id is None, doc_id or 0))
-        self.n_tokens += len(raw) // 4
+        self.n_tokens += size // 4
 
     def close(self) -> None:
         ids = b"".join(self.index)
@@ -90,36 +102,65 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     """Writes every row of `docs` (doc_id, text) to token files below `folder`, a URI, in ascending doc_id order.
 
     A document is the ids of its whole text (null: empty) and `end_id`. Returns a row per file: part (files in doc_id
-    order), path, n_docs, n_tokens. Rows are dealt out by ranges of doc_id and sorted in their task, so a file holds a
-    range; null doc_ids come first, repeated ones stay side by side (order among them is by text), an empty table gives no files,
-    other columns are ignored. A task writes under a name of its own and only the returned names count, so a repeated
-    task leaves at most an unread file.
+    order), path, n_docs, n_tokens. Texts are encoded and compressed where they are read; only frames are shuffled. Rows
+    are dealt out by ranges of doc_id and sorted in their task, so a file holds a range; null doc_ids come first,
+    repeated ones stay side by side (their order is that of their frames in a file; very many fill files of their own),
+    an empty table gives no files, other columns are ignored. One text, its ids and its frame fit into memory. A task
+    writes under a name of its own and only the returned names count, so a repeated task leaves at most an unread file.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    thin = strip_to(docs, doc_id="long", text="string")
+    bounds = range_bounds(thin)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, zstd = encoder(path), zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            doc_id = batch.column(0)
+            key = doc_id.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            for a, b, flat, off in own.ids(batch.column(1), end_id):
+                raw = flat.astype("<u4", copy=False).tobytes()
+                texts = [raw[4 * x : 4 * y] for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                sums = np.array([checksum(x) for x in texts], np.int64)
+                low, high = np.searchsorted(bounds, key[a:b], "left"), np.searchsorted(bounds, key[a:b], "right")
+                part = low + sums % (high - low + 1)  # an id that fills files of its own is dealt over them
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), doc_id.slice(a, b - a), pa.array([zstd.compress(x) for x in texts], pa.binary()), pa.array(4 * np.diff(off)), pa.array(sums)], ["part", "doc_id", "frame", "size", "sum"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, out, docs_in = encoder(path), TaskContext.get().partitionId(), None, 0
+        out, n_docs = None, 0
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for a, b, flat, off in own.ids(batch.column(1)):
-                if out is None:
-                    where, base = pafs.FileSystem.from_uri(folder)
-                    where.create_dir(base, recursive=True)
-                    name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
-                    out = where.open_output_stream(f"{base}/{name}")
-                    writer = TokenFileWriter(out)
-                for i in range(a, b):
-                    writer.add(doc_ids[i], np.append(flat[off[i - a] : off[i - a + 1]], np.uint32(end_id)))
-                docs_in += b - a
+            if out is None and len(batch):
+                where, base = pafs.FileSystem.from_uri(folder)
+                where.create_dir(base, recursive=True)
+                part = TaskContext.get().partitionId()
+                name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
+                out = where.open_output_stream(f"{base}/{name}")
+                writer = TokenFileWriter(out)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                writer.add_frame(*row)
+            n_docs += len(batch)
         if out is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_docs": docs_in, "n_tokens": writer.n_tokens}])
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_docs": n_docs, "n_tokens": writer.n_tokens}])
 
-    rows = strip_to(docs, doc_id="long", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    frames = thin.mapInArrow(encode, "part int, doc_id long, frame binary, size long, sum long")
+    rows = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "frame")
     return Table(rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "tokenfiles").df
 
 
+def range_bounds(docs: DataFrame) -> np.ndarray:
+    """doc_ids between files of about FILE_BYTES of text each, from a sample of doc_ids; a null id counts as least."""
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).head()
+    files = max(1, -(-(size or 0) // FILE_BYTES))
+    if files == 1:
+        return np.zeros(0, np.int64)
+    wanted = files * SAMPLES
+    ids = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("doc_id"))
+    ids = ids.sample(min(1.0, 1.2 * wanted / n), seed=7) if n > 2 * wanted else ids
+    found = np.sort(ids.toArrow()["doc_id"].to_numpy())
+    return found[np.arange(1, files) * len(found) // files]
+
+
 def read_tokens(files: DataFrame) -> DataFrame:
     """Reads token files back, all documents: doc_id, start (ids of all documents before it), n_tokens, ids (binary).
 
