@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its written table has at most so many bytes of Parquet.
 BROADCAST_BYTES = 4 << 20
+#: A key is heavy if it has one in HEAVY_KEYS of all rows, and HEAVY_ROWS at least: so there are never more than HEAVY_KEYS.
+HEAVY_KEYS, HEAVY_ROWS = 1000, 500
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -67,6 +69,26 @@ class Table:
         drop(self.spark, self.path)
 
 
+def heavy_limit(rows: int | None) -> int:
+    """Rows from which a key is heavy."""
+    return max(HEAVY_ROWS, -(-(rows or 0) // HEAVY_KEYS))
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The heavy ones of `keys`, unique rows of `counts` with the number `n` of rows that hold them; HEAVY_KEYS at most."""
+    return counts.filter(F.col(n) >= heavy_limit(counts.agg(F.sum(n)).head()[0])).select(*keys)
+
+
+def join_heavy(many: DataFrame, few: DataFrame, keys: list[str], heavy: DataFrame, by: str) -> DataFrame:
+    """many JOIN few on `keys`, of which `few` has a row each: rows of heavy keys are dealt out by a hash of column `by`,
+    and the few rows that they meet are repeated for each share."""
+    shares = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marked = F.broadcast(heavy.withColumn("__heavy", F.lit(True)))  # HEAVY_KEYS rows at most
+    left = many.join(marked, keys, "left").withColumn("__share", F.when(F.col("__heavy"), F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(F.lit(0).cast("long"))).drop("__heavy")
+    right = few.join(marked, keys, "left").withColumn("__share", F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("__heavy")
+    return left.join(right, [*keys, "__share"]).drop("__share")
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
