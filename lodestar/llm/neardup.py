@@ -12,8 +12,9 @@ compared on full sets. What else could be linked follows from those comparisons,
 * Members between (0.5 or more to c, not linked) are compared with those around c by what they add to c and lack of it,
   in cells of a bounded number of members; a cell gives out a spanning forest of its links, never its pairs.
 
-Far members meet again in pairs of buckets, for linked ones share many, around other centres, until every bucket is
-within one component.
+* Far members and those between are compared with each other by their signatures, in tiles of a bounded number of
+  members, and only those that agree well enough on full sets. A bucket with very many of them is first split by a second
+  one, for linked sets share many, and the parts go through the same steps around centres of their own.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ from lodestar.llm.shared import Table, strip_to
 #: Bands of signature values. A pair at similarity 0.75 misses all 50 of 4 values with probability 6e-9.
 BANDS, ROWS = 50, 4
 BINS = BANDS * ROWS
-#: Far members of a bucket up to which their signatures are compared at once; a bucket with more is split by a second one,
-#: up to SPLITS times, and after that goes on without its centre.
-FAR_CELL, SPLITS = 256, 3
+#: Members on either side of a tile of far members; a bucket with more than SPLIT_FROM is split by a second one, SPLITS times.
+FAR_CELL, SPLIT_FROM, SPLITS = 2048, 1 << 16, 2
+#: Pairs of signatures that are compared at once.
+AT_ONCE = 1 << 15
 #: Signature agreement below which sets are far apart, or not linked; both 5 deviations or more below 0.5 and 0.75. Sets of
 #: fewer than SURE shingles are always compared.
 FAR_AGREEMENT, LINK_AGREEMENT, SURE = 0.32, 0.55, 8
@@ -68,11 +70,14 @@ class Shingles:
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.size = np.diff(self.first)
 
-    def set_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each document's set, whatever its order; 0 for an empty one."""
-        total = np.zeros(len(self.hash) + 1, K.U)
-        np.cumsum(K.mix(self.hash ^ K.U(0x632BE59BD9B4E019)), out=total[1:])
-        return K.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(K.U))
+    def set_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each document's set, whatever its order."""
+        out = []
+        for seed in (0x632BE59BD9B4E019, 0x1B873593CC9E2D51):
+            total = np.zeros(len(self.hash) + 1, K.U)
+            np.cumsum(K.mix(self.hash ^ K.U(seed)), out=total[1:])
+            out.append(K.as_long(K.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(K.U))))
+        return out[0], out[1]
 
     def signatures(self) -> np.ndarray:
         """A row of BINS values per document that has shingles."""
@@ -95,7 +100,7 @@ class Shingles:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, vid (hash of the set), bands (bucket keys), sig (a byte per bin)."""
+    """doc_id, n_shingles, h1, h2 (hashes of the set), bands (bucket keys), sig (a byte per bin)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,34 +114,35 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 some = s.size > 0
                 bytes_ = np.ascontiguousarray((K.mix(sig.copy()) & K.U(255)).astype(np.uint8))
                 sigs = iter([bytes_[i].tobytes() for i in range(len(bytes_))])
+                h1, h2 = s.set_hashes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(s.size), pa.array(K.as_long(s.set_hashes())), K.list_array(K.as_long(keys.ravel()), K.counts_before(np.where(some, BANDS, 0)), pa.int64()), pa.array([next(sigs) if x else b"" for x in some], pa.binary())],
-                    ["doc_id", "n_shingles", "vid", "bands", "sig"],
+                    [batch.column(0).slice(a, b - a), pa.array(s.size), pa.array(h1), pa.array(h2), K.list_array(K.as_long(keys.ravel()), K.counts_before(np.where(some, BANDS, 0)), pa.int64()), pa.array([next(sigs) if x else b"" for x in some], pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, vid long, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(vid, shingles) of the sets in `wanted`, once each. A bounded Bloom filter spares the others; the join is exact."""
+    """(vid, shingles) of the sets in `wanted` (vid, h1, h2), once each. A bounded Bloom filter spares the others; the join is exact."""
     from lodestar.llm.decontaminate import asked, bit_filter
 
     n = wanted.count()
     bits = min(1 << 26, max(1 << 16, 1 << int(16 * n).bit_length()))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("vid").alias("fp")), bits))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("h1").alias("fp")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in K.blocks(batch.column(1)):
                 s = Shingles(data, off, size)
-                vid = s.set_hashes()
-                pick = np.flatnonzero((s.size > 0) & asked(filter_.value, vid))
-                _, once = np.unique(vid[pick], return_index=True)
+                h1, h2 = s.set_hashes()
+                pick = np.flatnonzero((s.size > 0) & asked(filter_.value, h1.view(K.U)))
+                _, once = np.unique(np.stack([h1[pick], h2[pick]]), axis=1, return_index=True)
                 pick = pick[once]
                 raw = s.hash.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(vid[pick])), pa.array([raw[8 * s.first[i] : 8 * s.first[i + 1]] for i in pick.tolist()], pa.binary())], ["vid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1[pick]), pa.array(h2[pick]), pa.array([raw[8 * s.first[i] : 8 * s.first[i + 1]] for i in pick.tolist()], pa.binary())], ["h1", "h2", "shingles"])
 
-    return docs.mapInArrow(run, "vid long, shingles binary").groupBy("vid").agg(F.first("shingles").alias("shingles")).join(wanted, "vid", "left_semi")
+    return docs.mapInArrow(run, "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles")).join(wanted, ["h1", "h2"]).select("vid", "shingles")
 
 
 def agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -158,8 +164,8 @@ def agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return near.select("c", "m", "sig_c", "sig_m", F.least("n_c", "n_m").alias("n")).mapInArrow(run, "c long, m long")
 
 
-def relations(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """c, m, linked, n (size of m) and delta (hashes of what m adds and of what it lacks) for pairs of similarity 0.5 or more."""
+def relations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """c, m, linked, n (size of m) and delta (hashes of what m adds and of what it lacks) for pairs (c, m) of similarity 0.5 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +186,7 @@ def relations(pairs: DataFrame, vertices: DataFrame, sets: DataFrame, percent: i
             lists = K.list_array(K.as_long(np.concatenate(delta)) if delta else np.zeros(0, np.int64), K.counts_before(np.array([len(a) for a in delta], np.int64)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(link, pa.bool_()), pa.array(size_, pa.int64()), lists], ["c", "m", "linked", "n", "delta"])
 
-    with_m = agreeing(pairs, vertices).join(sets.select(F.col("vid").alias("m"), F.col("shingles").alias("set_m")), "m")
+    with_m = pairs.join(sets.select(F.col("vid").alias("m"), F.col("shingles").alias("set_m")), "m")
     with_c = with_m.join(sets.select(F.col("vid").alias("c"), F.col("shingles").alias("set_c")), "c")
     return with_c.select("c", "m", "set_c", "set_m").mapInArrow(run, "c long, m long, linked boolean, n long, delta array<long>")
 
@@ -248,7 +254,7 @@ def cell_links(around: DataFrame, percent: int) -> DataFrame:
 
 
 def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Pairs (c, m) of members (key, vid) of one bucket, of FAR_CELL at most, that sizes and signatures allow to be linked."""
+    """Pairs (c, m) of members (key, vid, n_rest: members of the key) of one bucket that sizes and signatures allow to be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -258,30 +264,48 @@ def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
                 held = t if held is None else pa.concat_tables([held, t])
             if held is None:
                 continue
-            key = held["key"].to_numpy()
-            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            whole = len(cut) - 1 if batch is None else len(cut) - 2  # the last bucket may go on in the next batch
+            tile = np.stack([held[c].to_numpy() for c in ("key", "i", "j")])
+            cut = np.append(np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(axis=0))), tile.shape[1])
+            whole = len(cut) - 1 if batch is None else len(cut) - 2  # the last tile may go on in the next batch
             if whole <= 0:
                 continue
-            vid, n = held["vid"].to_numpy(), held["n"].to_numpy()
-            sig = np.frombuffer(b"".join(held["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
-            left, right = [], []
-            for a, b in zip(cut[:whole].tolist(), cut[1 : whole + 1].tolist(), strict=True):
-                x, y = np.triu_indices(b - a, 1)
-                x, y = x + a, y + a
-                least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                fit = np.flatnonzero(100 * least >= percent * most)
-                x, y, least = x[fit], y[fit], least[fit]
-                same = np.concatenate([np.count_nonzero(sig[x[i : i + 4096]] == sig[y[i : i + 4096]], axis=1) for i in range(0, len(x), 4096)]) if len(x) else x
-                keep = (same >= LINK_AGREEMENT * BINS) | (least < SURE)
-                left.append(np.minimum(vid[x[keep]], vid[y[keep]]))
-                right.append(np.maximum(vid[x[keep]], vid[y[keep]]))
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            some = held.slice(0, cut[whole])
+            vid, n, part = (some[c].to_numpy() for c in ("vid", "n", "part"))
+            sig = np.frombuffer(b"".join(some["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
+            pairs = [tile_pairs(a + np.argsort(n[a:b], kind="stable"), n, part, sig, tile[1, a] == tile[2, a], percent) for a, b in zip(cut[:whole].tolist(), cut[1 : whole + 1].tolist(), strict=True)]
+            x, y = np.concatenate(pairs, axis=1)
+            found = np.unique(np.stack([np.minimum(vid[x], vid[y]), np.maximum(vid[x], vid[y])]), axis=1)
             held = held.slice(cut[whole])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["c", "m"])
-
-    rows = rest.join(vertices.select("vid", F.col("n_shingles").alias("n"), "sig"), "vid").select("key", "vid", "n", "sig")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "c long, m long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["c", "m"])
+
+    parts = F.ceil(F.col("n_rest") / FAR_CELL).cast("int")
+    rows = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+    rows = rows.select("key", "vid", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vid")
+    rows = rows.join(vertices.select("vid", F.col("n_shingles").alias("n"), "sig"), "vid").select("key", "i", "j", "part", "vid", "n", "sig")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "c long, m long").distinct()
+
+
+def tile_pairs(order: np.ndarray, n: np.ndarray, part: np.ndarray, sig: np.ndarray, own: bool, percent: int) -> np.ndarray:
+    """Positions (x, y) of the members of a tile, given by size, that agree well enough; across its two parts, or within the one (own)."""
+    size = n[order]
+    reach = np.searchsorted(size, size * 100 // percent, side="right")  # larger ones have too few in common
+    few = np.maximum(0, reach - np.arange(len(order)) - 1)
+    at, out = 0, [np.zeros((2, 0), np.int64)]
+    before = K.counts_before(few)
+    while at < len(order):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + AT_ONCE, side="right")) - 1)
+        x = np.repeat(np.arange(at, stop), few[at:stop])
+        y = K.ranges(np.arange(at + 1, stop + 1), few[at:stop])
+        x, y = order[x], order[y]
+        if not own:
+            cross = part[x] != part[y]
+            x, y = x[cross], y[cross]
+        same = np.count_nonzero(sig[x] == sig[y], axis=1)
+        keep = (same >= LINK_AGREEMENT * BINS) | (np.minimum(n[x], n[y]) < SURE)
+        out.append(np.stack([x[keep], y[keep]]))
+        at = stop
+    return np.concatenate(out, axis=1)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -292,62 +316,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     the smallest doc_id that links reach; kept is doc_id = component_id. A null or empty text has no shingles and no
     links. Rows with a repeated doc_id are rows of their own with an equal id; a null doc_id takes part, and a component
     of such rows alone has a null component_id and is kept. An empty table gives no rows; other columns are ignored.
-    Sets are known by 64-bit hashes. Links are found but for a probability of about 1e-7 at the threshold (what two
-    sets share of their buckets is random) and confirmed on full sets. A `percent` below 75 is refused: the bands and the
+    Shingles are known by 64-bit hashes, equal sets by 128 bits of theirs. Links are found but for a probability of about
+    6e-9 at the threshold (what two sets share of their buckets is random) and confirmed on full sets. The largest
+    bucket decides nothing about memory: tiles and cells hold a bounded number of members. One text, its words and its
+    shingles fit into memory. A `percent` below 75 is refused: the bands and the
     limits for far and unlinked sets hold from there on only.
     """
     if percent < 75:
         raise ValueError(f"percent {percent} is below 75")
     thin = strip_to(docs, doc_id="long", text="string")
     rows = Table(sketches(thin, size), "sketches")
-    vertices = Table(rows.df.filter("n_shingles > 0").groupBy("vid").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "vertices")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    vertices = Table(rows.df.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), *firsts).withColumn("vid", F.monotonically_increasing_id()), "vertices")
+    documents = Table(rows.df.select("doc_id", "n_shingles", "h1", "h2"), "documents")
+    rows.drop()
     keys = vertices.df.select(F.explode("bands").alias("key"), "vid")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = Table(keys.join(shared, "key"), "members")
-    weight = members.df.groupBy("vid").agg(F.sum("n").alias("weight"))
-    weight = Table(weight, "weights")
-    sets = Table(sets_of(thin, weight.df.select("vid"), size), "sets")
-    found, links, groups, splits = None, None, Table(members.df.select("key", "vid"), "groups"), 0
+    weight = Table(members.df.groupBy("vid").agg(F.sum("n").alias("weight")), "weights")
+    sets = Table(sets_of(thin, vertices.df.select("vid", "h1", "h2").join(weight.df.select("vid"), "vid", "left_semi"), size), "sets")
+    found, groups, splits = None, members.df.select("key", "vid"), 0
     while True:
         # buckets of more than one component, and their centres
-        own = groups.df.withColumn("comp", F.col("vid")) if found is None else groups.df.join(found.df.withColumnRenamed("v", "vid"), "vid", "left").select("key", "vid", F.coalesce("root", "vid").alias("comp"))
-        open_ = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-        live = Table(own.join(open_, "key").join(weight.df, "vid").select("key", "vid", "weight"), "live")
+        own = groups.withColumn("comp", F.col("vid")) if found is None else groups.join(found.df.withColumnRenamed("v", "vid"), "vid", "left").select("key", "vid", F.coalesce("root", "vid").alias("comp"))
+        if found is not None:
+            own = own.join(own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key"), "key")
+        live = Table(own.join(weight.df, "vid").select("key", "vid", "weight"), "live")
         if live.df.isEmpty():
             break
         centres = live.df.groupBy("key").agg(F.max(F.struct("weight", "vid"))["vid"].alias("c"))
         stars = Table(live.df.join(centres, "key").filter("vid <> c").select("key", "c", F.col("vid").alias("m")), "stars")
-        rel = Table(relations(stars.df.select("c", "m").distinct(), vertices.df, sets.df, percent), "relations")
+        rel = Table(relations(agreeing(stars.df.select("c", "m").distinct(), vertices.df), sets.df, percent), "relations")
         middle = rel.df.filter("not linked")
         about = rel.df.join(middle.select("c").distinct(), "c", "left_semi")
         inner = Table(cell_links(about, percent), "cells")
         # far members, with those in between
-        far = stars.df.join(rel.df.select("c", "m"), ["c", "m"], "left_anti").select("key", "m")
-        far_keys = far.groupBy("key").agg(F.count("*").alias("n_far"))
-        between = stars.df.join(far_keys.select("key"), "key", "left_semi").join(middle.select("c", "m"), ["c", "m"], "left_semi").select("key", "m")
-        rest = Table(far.unionByName(between).join(far_keys, "key").withColumnRenamed("m", "vid"), "rest")
-        sizes = rest.df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        few = rest.df.join(sizes.filter(F.col("n") <= FAR_CELL).select("key"), "key").select("key", "vid")
-        pairs = far_pairs(few, vertices.df, percent)
-        direct = Table(relations(pairs, vertices.df, sets.df, percent).filter("linked").select("c", "m"), "direct")
-        many = rest.df.join(sizes.filter(F.col("n") > FAR_CELL).select("key"), "key").select("key", "vid")
-        if splits < SPLITS:
+        judged = stars.df.join(rel.df.select("c", "m", "linked"), ["c", "m"], "left")
+        sizes = judged.groupBy("key").agg(F.count_if(F.col("linked").isNull()).alias("n_far"), F.count_if(~F.coalesce("linked", F.lit(False))).alias("n_rest")).filter("n_far > 0 and n_rest > 1")
+        rest = Table(judged.filter("not coalesce(linked, false)").select("key", F.col("m").alias("vid")).join(sizes.select("key", "n_rest"), "key"), "rest")
+        split = F.col("n_rest") > (SPLIT_FROM if splits < SPLITS else 1 << 62)
+        direct = Table(relations(far_pairs(rest.df.filter(~split), vertices.df, percent), sets.df, percent).filter("linked").select("c", "m"), "direct")
+        edges = rel.df.filter("linked").select(F.col("c").alias("a"), F.col("m").alias("b")).unionByName(direct.df.select(F.col("c").alias("a"), F.col("m").alias("b"))).unionByName(inner.df)
+        before = found
+        found = Table(components(edges if found is None else found.df.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(edges)), "components")
+        many = rest.df.filter(split).select("key", "vid")
+        after = None
+        if not many.isEmpty():
             second = members.df.select(F.col("key").alias("second"), "vid")
             many = many.join(second, "vid").filter("key <> second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "vid")
-        new = rel.df.filter("linked").select(F.col("c").alias("a"), F.col("m").alias("b")).unionByName(direct.df.select(F.col("c").alias("a"), F.col("m").alias("b"))).unionByName(inner.df)
-        links = Table(new if found is None else found.df.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(new), "links")
-        found = Table(components(links.df), "components")
-        after = Table(many.distinct(), "groups")
-        for t in (groups, live, stars, rel, rest, direct, inner, links):
+            after = Table(many.distinct(), "groups")
+        for t in (live, stars, rel, rest, direct, inner, *([before] if before else [])):
             t.drop()
-        groups, splits = after, splits + 1
+        if after is None:
+            break
+        groups, splits = after.df, splits + 1
 
     if found is None:
         found = Table(components(members.df.select(F.col("vid").alias("a"), F.col("vid").alias("b")).limit(0)), "components")
     named = vertices.df.select("vid", "low").join(found.df.withColumnRenamed("v", "vid"), "vid")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_linked = found.df.join(lows, "root").select(F.col("v").alias("vid"), "component_id")
-    of_vertex = Table(vertices.df.select("vid", "low").join(of_linked, "vid", "left").select("vid", F.coalesce("component_id", "low").alias("component_id")), "labels")
-    out = rows.df.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("vid")).alias("vid")).join(of_vertex.maybe_broadcast(), "vid", "left")
+    of_vertex = Table(vertices.df.select("vid", "h1", "h2", "low").join(of_linked, "vid", "left").select("h1", "h2", F.coalesce("component_id", "low").alias("component_id")), "labels")
+    for t in (vertices, members, weight, sets, found):
+        t.drop()
+    keyed = documents.df.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(h)).alias(h) for h in ("h1", "h2")])
+    out = keyed.join(of_vertex.maybe_broadcast(), ["h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
