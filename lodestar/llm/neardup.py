@@ -12,9 +12,10 @@ compared on full sets. What else could be linked follows from those comparisons,
 * Members between (0.5 or more to c, not linked) are compared with those around c by what they add to c and lack of it,
   in cells of a bounded number of members; a cell gives out a spanning forest of its links, never its pairs.
 
-* Far members and those between are compared with each other by their signatures, in tiles of a bounded number of
-  members, and only those that agree well enough on full sets. A bucket with very many of them is first split by a second
-  one, for linked sets share many, and the parts go through the same steps around centres of their own.
+* Far members are compared with each other and with those between by their signatures, in tiles of a bounded number of
+  members, and only those that agree well enough, and are not of one component by then, on full sets. Where most of a
+  tile agrees, its far members get a centre of their own in another round instead, so that pairs are never given out by
+  the square. A bucket with very many far members is first split by a second one, for linked sets share many.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BINS = BANDS * ROWS
 FAR_CELL, SPLIT_FROM, SPLITS = 2048, 1 << 16, 2
 #: Pairs of signatures that are compared at once.
 AT_ONCE = 1 << 15
+#: A tile with more agreeing pairs a member than CROWD goes to another round, in the first ROUNDS of them.
+CROWD, ROUNDS = 256, 4
 #: Signature agreement below which sets are far apart, or not linked; both 5 deviations or more below 0.5 and 0.75. Sets of
 #: fewer than SURE shingles are always compared.
 FAR_AGREEMENT, LINK_AGREEMENT, SURE = 0.32, 0.55, 8
@@ -195,7 +198,7 @@ def cell_links(around: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one centre, of which at least one is not linked to it: a forest of each cell."""
     sizes = around.groupBy("c").agg(F.count("*").alias("n_all"), F.count_if(~F.col("linked")).alias("n_between")).filter("n_all > 1 and n_between > 0")
     parts = sizes.select("c", F.ceil(F.col("n_all") / CELL).cast("int").alias("p_all"), F.ceil(F.col("n_between") / CELL).cast("int").alias("p_between"))
-    placed = around.join(parts, "c")
+    placed = around.join(Table(parts, "cell-parts").maybe_broadcast(), "c")
     h = F.xxhash64("m")
     rows = placed.filter("not linked").select("c", F.pmod(h, F.col("p_between")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("p_all") - 1)).alias("j"), F.lit(True).alias("asks"), "m", "linked", "n", "delta")
     cols = placed.select("c", F.explode(F.sequence(F.lit(0), F.col("p_between") - 1)).alias("i"), F.pmod(h, F.col("p_all")).cast("int").alias("j"), F.lit(False).alias("asks"), "m", "linked", "n", "delta")
@@ -250,11 +253,17 @@ def cell_links(around: DataFrame, percent: int) -> DataFrame:
         root = np.where(least[at] == 0, group["c"][0].as_py(), vid[np.maximum(least[at], 1) - 1])
         return pa.Table.from_arrays([pa.array(root), pa.array(first[at])], schema=schema)
 
-    return rows.unionByName(cols).groupBy("c", "i", "j").applyInArrow(search, "a long, b long")
+    cells = rows.unionByName(cols).repartition("c", "i", "j")  # else the join's partitioning by c keeps a centre's cells together
+    return cells.groupBy("c", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Pairs (c, m) of members (key, vid, n_rest: members of the key) of one bucket that sizes and signatures allow to be linked."""
+def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int, crowd: int) -> DataFrame:
+    """Pairs (c, m) of members of one bucket that sizes and signatures allow to be linked; `rest` has key, vid, comp (its
+    component so far), far, n_rest (members of the key).
+
+    One of a pair is far from the bucket's centre: those between have met each other around it. A tile with more than
+    `crowd` pairs a member gives, instead of them, one row (c, null, key, degree): the member that agrees with most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -270,24 +279,35 @@ def far_pairs(rest: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
             if whole <= 0:
                 continue
             some = held.slice(0, cut[whole])
-            vid, n, part = (some[c].to_numpy() for c in ("vid", "n", "part"))
+            vid, comp, n, part, far = (some[c].to_numpy() for c in ("vid", "comp", "n", "part", "far"))
             sig = np.frombuffer(b"".join(some["sig"].to_pylist()), np.uint8).reshape(-1, BINS)
-            pairs = [tile_pairs(a + np.argsort(n[a:b], kind="stable"), n, part, sig, tile[1, a] == tile[2, a], percent) for a, b in zip(cut[:whole].tolist(), cut[1 : whole + 1].tolist(), strict=True)]
-            x, y = np.concatenate(pairs, axis=1)
-            found = np.unique(np.stack([np.minimum(vid[x], vid[y]), np.maximum(vid[x], vid[y])]), axis=1)
+            found, crowded = [np.zeros((2, 0), np.int64)], []
+            for a, b in zip(cut[:whole].tolist(), cut[1 : whole + 1].tolist(), strict=True):
+                x, y = tile_pairs(a + np.argsort(n[a:b], kind="stable"), n, part, far, comp, sig, tile[1, a] == tile[2, a], percent)
+                if len(x) > crowd * (b - a):
+                    degree = np.bincount(np.concatenate([x, y]) - a, minlength=b - a)
+                    crowded.append((int(vid[a + np.argmax(degree)]), int(tile[0, a]), int(degree.max())))
+                else:
+                    found.append(np.stack([np.minimum(vid[x], vid[y]), np.maximum(vid[x], vid[y])]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             held = held.slice(cut[whole])
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["c", "m"])
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none], names)
+            c, key, degree = zip(*crowded, strict=True) if crowded else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.nulls(len(crowded), pa.int64()), pa.array(key, pa.int64()), pa.array(degree, pa.int64())], names)
 
+    names = ["c", "m", "key", "degree"]
     parts = F.ceil(F.col("n_rest") / FAR_CELL).cast("int")
     rows = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
-    rows = rows.select("key", "vid", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vid")
-    rows = rows.join(vertices.select("vid", F.col("n_shingles").alias("n"), "sig"), "vid").select("key", "i", "j", "part", "vid", "n", "sig")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "c long, m long").distinct()
+    rows = rows.select("key", "vid", "comp", "far", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vid", "comp", F.col("far").cast("int").alias("far"))
+    rows = rows.join(vertices.select("vid", F.col("n_shingles").alias("n"), "sig"), "vid").select("key", "i", "j", "part", "vid", "comp", "far", "n", "sig")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "c long, m long, key long, degree long")
 
 
-def tile_pairs(order: np.ndarray, n: np.ndarray, part: np.ndarray, sig: np.ndarray, own: bool, percent: int) -> np.ndarray:
-    """Positions (x, y) of the members of a tile, given by size, that agree well enough; across its two parts, or within the one (own)."""
+def tile_pairs(order: np.ndarray, n: np.ndarray, part: np.ndarray, far: np.ndarray, comp: np.ndarray, sig: np.ndarray, own: bool, percent: int) -> np.ndarray:
+    """Positions (x, y) of the members of a tile, given by size, that agree well enough, one of them far, of two
+    components; across the tile's two parts, or within the one (own)."""
     size = n[order]
     reach = np.searchsorted(size, size * 100 // percent, side="right")  # larger ones have too few in common
     few = np.maximum(0, reach - np.arange(len(order)) - 1)
@@ -298,9 +318,10 @@ def tile_pairs(order: np.ndarray, n: np.ndarray, part: np.ndarray, sig: np.ndarr
         x = np.repeat(np.arange(at, stop), few[at:stop])
         y = K.ranges(np.arange(at + 1, stop + 1), few[at:stop])
         x, y = order[x], order[y]
+        meet = ((far[x] | far[y]) > 0) & (comp[x] != comp[y])
         if not own:
-            cross = part[x] != part[y]
-            x, y = x[cross], y[cross]
+            meet &= part[x] != part[y]
+        x, y = x[meet], y[meet]
         same = np.count_nonzero(sig[x] == sig[y], axis=1)
         keep = (same >= LINK_AGREEMENT * BINS) | (np.minimum(n[x], n[y]) < SURE)
         out.append(np.stack([x[keep], y[keep]]))
@@ -308,6 +329,16 @@ def tile_pairs(order: np.ndarray, n: np.ndarray, part: np.ndarray, sig: np.ndarr
     return np.concatenate(out, axis=1)
 
 
+def joined(found: Table | None, links: DataFrame) -> Table:
+    """The components `found` (v, root), if any, after further links (c, m)."""
+    edges = links.select(F.col("c").alias("a"), F.col("m").alias("b"))
+    if found is None:
+        return Table(components(edges), "components")
+    after = Table(components(found.df.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(edges)), "components")
+    found.drop()
+    return after
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -335,39 +366,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     members = Table(keys.join(shared, "key"), "members")
     weight = Table(members.df.groupBy("vid").agg(F.sum("n").alias("weight")), "weights")
     sets = Table(sets_of(thin, vertices.df.select("vid", "h1", "h2").join(weight.df.select("vid"), "vid", "left_semi"), size), "sets")
-    found, groups, splits = None, members.df.select("key", "vid"), 0
+    found, splits = None, 0
+    groups = members.df.select("key", "vid", F.lit(None).cast("long").alias("given"))
     while True:
-        # buckets of more than one component, and their centres
-        own = groups.withColumn("comp", F.col("vid")) if found is None else groups.join(found.df.withColumnRenamed("v", "vid"), "vid", "left").select("key", "vid", F.coalesce("root", "vid").alias("comp"))
-        if found is not None:
-            own = own.join(own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key"), "key")
-        live = Table(own.join(weight.df, "vid").select("key", "vid", "weight"), "live")
+        live = Table(groups.join(weight.df, "vid").select("key", "vid", "weight", "given"), "live")
         if live.df.isEmpty():
             break
-        centres = live.df.groupBy("key").agg(F.max(F.struct("weight", "vid"))["vid"].alias("c"))
+        # the centre of each bucket, and its other members
+        centres = live.df.groupBy("key").agg(F.coalesce(F.max("given"), F.max(F.struct("weight", "vid"))["vid"]).alias("c"))
         stars = Table(live.df.join(centres, "key").filter("vid <> c").select("key", "c", F.col("vid").alias("m")), "stars")
         rel = Table(relations(agreeing(stars.df.select("c", "m").distinct(), vertices.df), sets.df, percent), "relations")
-        middle = rel.df.filter("not linked")
-        about = rel.df.join(middle.select("c").distinct(), "c", "left_semi")
-        inner = Table(cell_links(about, percent), "cells")
+        inner = Table(cell_links(rel.df, percent), "cells")
+        found = joined(found, rel.df.filter("linked").select("c", "m").unionByName(inner.df.select(F.col("a").alias("c"), F.col("b").alias("m"))))
         # far members, with those in between
-        judged = stars.df.join(rel.df.select("c", "m", "linked"), ["c", "m"], "left")
-        sizes = judged.groupBy("key").agg(F.count_if(F.col("linked").isNull()).alias("n_far"), F.count_if(~F.coalesce("linked", F.lit(False))).alias("n_rest")).filter("n_far > 0 and n_rest > 1")
-        rest = Table(judged.filter("not coalesce(linked, false)").select("key", F.col("m").alias("vid")).join(sizes.select("key", "n_rest"), "key"), "rest")
+        judged = stars.df.join(rel.df.select("c", "m", "linked"), ["c", "m"], "left").filter("not coalesce(linked, false)")
+        judged = judged.select("key", F.col("m").alias("vid"), F.col("linked").isNull().alias("far")).join(found.df.withColumnRenamed("v", "vid"), "vid", "left").withColumn("comp", F.coalesce("root", "vid")).drop("root")
+        sizes = judged.groupBy("key").agg(F.max("far").alias("any_far"), F.count("*").alias("n_rest"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("any_far and x < y")
+        rest = Table(judged.join(sizes.select("key", "n_rest"), "key"), "rest")
         split = F.col("n_rest") > (SPLIT_FROM if splits < SPLITS else 1 << 62)
-        direct = Table(relations(far_pairs(rest.df.filter(~split), vertices.df, percent), sets.df, percent).filter("linked").select("c", "m"), "direct")
-        edges = rel.df.filter("linked").select(F.col("c").alias("a"), F.col("m").alias("b")).unionByName(direct.df.select(F.col("c").alias("a"), F.col("m").alias("b"))).unionByName(inner.df)
-        before = found
-        found = Table(components(edges if found is None else found.df.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(edges)), "components")
-        many = rest.df.filter(split).select("key", "vid")
-        after = None
-        if not many.isEmpty():
-            second = members.df.select(F.col("key").alias("second"), "vid")
-            many = many.join(second, "vid").filter("key <> second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "vid")
-            after = Table(many.distinct(), "groups")
-        for t in (live, stars, rel, rest, direct, inner, *([before] if before else [])):
+        near = Table(far_pairs(rest.df.filter(~split), vertices.df, percent, CROWD if splits < ROUNDS else 1 << 40), "far-pairs")
+        direct = Table(relations(near.df.filter("m is not null").select("c", "m").distinct(), sets.df, percent).filter("linked").select("c", "m"), "direct")
+        if not direct.df.isEmpty():
+            found = joined(found, direct.df)
+        crowded = near.df.filter("m is null").groupBy("key").agg(F.max(F.struct("degree", "c"))["c"].alias("given"))
+        second = members.df.select(F.col("key").alias("second"), "vid")
+        many = rest.df.filter(split).select("key", "vid").join(second, "vid").filter("key <> second")
+        many = many.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "vid").distinct()
+        after = Table(rest.df.select("key", "vid").join(crowded, "key").unionByName(many.withColumn("given", F.lit(None).cast("long"))), "groups")
+        for t in (live, stars, rel, rest, near, direct, inner):
             t.drop()
-        if after is None:
+        if after.df.isEmpty():
             break
         groups, splits = after.df, splits + 1
 

@@ -31,6 +31,22 @@ def test_split_buckets_and_tiles(spark, monkeypatch):
     assert len(set(want.values())) < len(rows) - 40
 
 
+def test_crowded_tiles(spark, monkeypatch):
+    """Families of texts that share three fifths, in buckets around other centres."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    out = []
+    for _ in range(4):
+        base = [word() for _ in range(80)]
+        out += [base + [word() for _ in range(r.choice([4, 18, 19, 20]))] for _ in range(25)]
+    rows = [(i, " ".join(w), None) for i, w in enumerate(out)]
+    want = {d: c for d, (_, c, _) in brute_components(rows).items()}
+    df = table(spark, rows).cache()
+    for k, v in {"CROWD": 0, "ROUNDS": 3}.items():
+        monkeypatch.setattr(neardup, k, v)
+    assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df).collect()} == want
+
+
 def test_components_by_rounds(spark, monkeypatch):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
