@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 
 #: Directories that no scan enters, compared without case.
 EXCLUDED_DIRECTORIES = (
-    ".git", ".hg", ".svn", ".idea", ".vscode", ".cache", ".venv", "venv", "env", "__pycache__", "node_modules", "vendor", "dist", "build", "out", "target", "coverage", ".next", ".nuxt", ".tox",
-    ".mypy_cache", ".pytest_cache", ".gradle",
+    ".cache", ".git", ".hg", ".mypy_cache", ".nox", ".pytest_cache", ".svn", ".tox", ".venv", "bin", "build", "cache", "coverage", "dist", "env", "external", "generated",
+    "node_modules", "out", "target", "tmp", "vendor", "venv",
 )
 
 

@@ -46,7 +46,7 @@ def truncate_utf8(texts: pd.Series, limits: pd.Series) -> pd.Series:
 def matches(c: Column, pattern: str, case_sensitive: bool = True, regex: bool = False) -> Column:
     """All non-overlapping matches in a line, as an array of byte positions [start, end).
 
-    A literal is searched in the lower-cased line where case does not matter. Patterns that are blank or over 512 bytes
+    Where case does not matter, letters match as Unicode folds them, and positions are those of the line itself. Patterns that are blank or over 512 bytes
     are rejected, as are look-around and back-references, which not every engine has.
     """
     if not pattern.strip() or len(pattern.encode()) > 512:
@@ -54,19 +54,18 @@ def matches(c: Column, pattern: str, case_sensitive: bool = True, regex: bool =
     if regex and re.search(r"\(\?(?:[=!]|<[=!]|P=)|\\[1-9]", pattern):
         raise ValueError("look-around and back-references are not supported")
     flags = 0 if case_sensitive else re.IGNORECASE
-    source = pattern if regex else re.escape(pattern if case_sensitive else pattern.lower())
+    source = pattern if regex else re.escape(pattern)
 
     def find(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = re.compile(source, flags if regex else 0)
+        own = re.compile(source, flags)
         for s in series:
             out = []
             for line in s:
                 if line is None:
                     out.append([])
                     continue
-                text = line if regex or case_sensitive else line.lower()
-                ascii_ = text.isascii()
-                out.append([{"start": a if ascii_ else len(text[:a].encode()), "end": b if ascii_ else len(text[:b].encode())} for a, b in (m.span() for m in own.finditer(text)) if b > a])
+                ascii_ = line.isascii()
+                out.append([{"start": a if ascii_ else len(line[:a].encode()), "end": b if ascii_ else len(line[:b].encode())} for a, b in (m.span() for m in own.finditer(line)) if b > a])
             yield pd.Series(out)
 
     find.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}

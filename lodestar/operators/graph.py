@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.tables import written
 
 #: Edges up to which a graph goes to one task.
-SMALL_EDGES = 200_000
+SMALL_EDGES = 1_000_000
 #: Vertices up to which a component's feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
 BIT_VERTICES = 1 << 14
 
@@ -255,12 +255,13 @@ def dependency_layers(vertices: DataFrame, edges: DataFrame, feedback: DataFrame
     if e.limit(small + 1).count() <= small:
         return _small_layers(vertices, e)
     layer = written(vertices.select("id", F.lit(0).alias("layer")))
-    while True:
+    for _ in range(vertices.count() + 1):
         up = e.join(layer.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("to"))
         after = written(layer.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("to", F.lit(0))).alias("layer"), (F.coalesce("to", F.lit(0)) > F.col("layer")).alias("moved")))
         layer = after.select("id", "layer")
         if after.filter("moved").isEmpty():
             return layer
+    raise ValueError("edges without their feedback edges hold a cycle")
 
 
 def layered_layout(layers: DataFrame, label: str, dx: int = 240, dy: int = 96) -> DataFrame:
@@ -292,13 +293,14 @@ def parents_without_cycles(parents: DataFrame) -> DataFrame:
     return parents.join(mark, "child", "left_anti")
 
 
-def paths_to_roots(parents: DataFrame, limit: int = 64) -> DataFrame:
-    """(id, path): ancestors from the root to the vertex, itself last; a forest of at most `limit` levels."""
+def paths_to_roots(parents: DataFrame) -> DataFrame:
+    """(id, path): ancestors from the root to the vertex, itself last. A path that would meet one of its own vertices again
+    ends there, so a cycle ends too."""
     at = written(parents.select(F.col("child").alias("id"), F.col("parent").alias("top"), F.array("parent", "child").alias("path")))
     up = parents.select(F.col("child").alias("top"), F.col("parent").alias("next"))
     done = None
-    for _ in range(limit):
-        stepped = written(at.join(up, "top", "left"))
+    while True:
+        stepped = written(at.join(up, "top", "left").withColumn("next", F.when(~F.array_contains("path", F.col("next")), F.col("next"))))
         ended = stepped.filter("next is null").select("id", "path")
         done = ended if done is None else done.unionByName(ended)
         at = stepped.filter("next is not null").select("id", F.col("next").alias("top"), F.concat(F.array("next"), "path").alias("path"))

@@ -72,10 +72,16 @@ def page(rows: DataFrame, order: list[str], offset: int = 0, limit: int | None =
 def budgeted_page(rows: DataFrame, order: list[str], max_items: int = LIVE_ITEMS[0], max_bytes: int = LIVE_BYTES[0], offset: int = 0) -> DataFrame:
     """Rows in order until either budget is spent, with the running size of their JSON.
 
-    At most max_items rows can be in a page, so only those are ranked and summed.
+    At most max_items rows can be in a page, so only those are ranked and summed. A budget out of bounds is an error, and
+    so is a first row that no page of that many bytes can hold.
     """
-    sized = rows.orderBy(*order).offset(offset).limit(min(max_items, LIVE_ITEMS[1])).withColumn("json_bytes", F.octet_length(F.to_json(F.struct(*rows.columns))))
-    return sized.withColumn("used", F.sum("json_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= min(max_bytes, LIVE_BYTES[1]))
+    if not 0 < max_items <= LIVE_ITEMS[1] or not 0 < max_bytes <= LIVE_BYTES[1] or offset < 0:
+        raise ValueError("the page is out of bounds")
+    sized = rows.orderBy(*order).offset(offset).limit(max_items).withColumn("json_bytes", F.octet_length(F.to_json(F.struct(*rows.columns))))
+    first = sized.limit(1).select("json_bytes").collect()
+    if first and first[0][0] > max_bytes:
+        raise ValueError(f"the first row alone has {first[0][0]} bytes")
+    return sized.withColumn("used", F.sum("json_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= max_bytes)
 
 
 def query_digest(request: dict, revision: int) -> str:
@@ -101,10 +107,11 @@ def decode_cursor(cursor: str, digest: str) -> int:
 
 
 def find_text(files: DataFrame, pattern: str, case_sensitive: bool = True, regex: bool = False) -> DataFrame:
-    """(path, line, column, match_bytes) for all matches: lines and byte columns from 1. Lines are filtered before they reach Python."""
+    """(path, line, column, match_bytes) for all matches: lines and byte columns from 1. One engine judges a pattern: only a
+    case-sensitive literal is looked for before lines reach Python."""
     lines = files.select("path", F.posexplode(T.split_lines(F.col("content"))).alias("n", "text"))
-    near = F.rlike(F.col("text"), F.lit(pattern if case_sensitive else f"(?i){pattern}")) if regex else T.contains(F.col("text"), pattern, case_sensitive)
-    hits = lines.filter(near).select("path", (F.col("n") + 1).cast("int").alias("line"), F.explode(T.matches(F.col("text"), pattern, case_sensitive, regex)).alias("m"))
+    near = lines if regex or not case_sensitive else lines.filter(T.contains(F.col("text"), pattern, True))
+    hits = near.select("path", (F.col("n") + 1).cast("int").alias("line"), F.explode(T.matches(F.col("text"), pattern, case_sensitive, regex)).alias("m"))
     return hits.select("path", "line", (F.col("m.start") + 1).alias("column"), (F.col("m.end") - F.col("m.start")).alias("match_bytes"))
 
 

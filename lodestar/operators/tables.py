@@ -13,7 +13,11 @@ def written(df: DataFrame) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = got.get() if got.isDefined() else "file:///tmp/checkpoints"
+        root = got.get() if got.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
+        root = "file:///tmp/checkpoints"
     path = f"{root.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}/round-{uuid.uuid4().hex[:12]}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -27,12 +27,6 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return successions(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def top_edges(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    """Each supplier's k most frequent successors, with an edge_id in order of (src, dst)."""
-    r = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return candidate_edges(spark, sf_dir).withColumn("r", r).filter(F.col("r") <= k).select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst")
-
-
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every succession between two suppliers once, with an edge_id in order of (src, dst)."""
     return candidate_edges(spark, sf_dir).select((F.col("src") * 1_000_000 + F.col("dst")).alias("edge_id"), "src", "dst")

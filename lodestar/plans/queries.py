@@ -71,28 +71,28 @@ FROM top JOIN modules a ON a.id = src JOIN modules b ON b.id = dst {w} GROUP BY
 
 
 @query(sql("cand top modules", PROJECTION.format(a="a.r_name", b="b.r_name", w="")))
-def hierarchy_projection_d1(spark, sf, edges=D.top_edges):
+def hierarchy_projection_d1(spark, sf, edges=D.all_edges):
     return _projection(spark, sf, edges, [])
 
 
 @query(sql("cand top modules", PROJECTION.format(a="a.r_name || '/' || a.n_name", b="b.r_name || '/' || b.n_name", w="WHERE a.r_name = 'ASIA' AND b.r_name = 'ASIA'")))
-def hierarchy_projection_d2(spark, sf, edges=D.top_edges):
+def hierarchy_projection_d2(spark, sf, edges=D.all_edges):
     return _projection(spark, sf, edges, ["ASIA"])
 
 
 @query(sql("cand top", """, reach(start, id) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT start, dst FROM reach JOIN top ON id = src)
 SELECT start, id FROM reach""", True))
-def reachability(spark, sf, edges=D.top_edges):
+def reachability(spark, sf, edges=D.all_edges):
     return graph.reachability(edges(spark, sf), D.vertices(spark, sf))
 
 
 @query(sql("cand top scc", "SELECT id, component FROM scc", True))
-def scc_components(spark, sf, edges=D.top_edges):
+def scc_components(spark, sf, edges=D.all_edges):
     return graph.strong_components(D.vertices(spark, sf), edges(spark, sf))
 
 
 @query(sql("cand top scc", "SELECT component, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members, count(*) AS size FROM scc JOIN cyc USING (component) GROUP BY component", True))
-def cycle_groups(spark, sf, edges=D.top_edges):
+def cycle_groups(spark, sf, edges=D.all_edges):
     got = graph.cycle_groups(scc_components(spark, sf, edges), edges(spark, sf))
     return got.select("component", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "size")
 
@@ -103,24 +103,24 @@ def self_edges(spark, sf):
 
 
 @query(sql("cand top scc", "SELECT edge_id FROM fb", True))
-def feedback_edges(spark, sf, edges=D.top_edges):
+def feedback_edges(spark, sf, edges=D.all_edges):
     return graph.feedback_edges(scc_components(spark, sf, edges), edges(spark, sf))
 
 
 @query(sql("cand top scc", "SELECT id, layer FROM walk", True))
-def dependency_layers(spark, sf, edges=D.top_edges):
+def dependency_layers(spark, sf, edges=D.all_edges):
     return graph.dependency_layers(D.vertices(spark, sf), edges(spark, sf), feedback_edges(spark, sf, edges))
 
 
 @query(sql("cand top modules scc", "SELECT layer, count(DISTINCT n_name) AS nodes, count(*) AS modules FROM walk JOIN modules USING (id) GROUP BY layer".replace("USING (id)", "ON walk.id = modules.id").replace("SELECT layer", "SELECT walk.layer AS layer").replace("BY layer", "BY walk.layer"), True))
-def layer_labels(spark, sf, edges=D.top_edges):
+def layer_labels(spark, sf, edges=D.all_edges):
     placed = D.modules(spark, sf).select("id", F.col("hierarchy")[1].alias("node"))
     return scene.layer_labels(dependency_layers(spark, sf, edges), placed)
 
 
 @query(sql("cand top scc", """SELECT id, layer, (dense_rank() OVER (ORDER BY layer) - 1) * 240 AS x, (row_number() OVER (PARTITION BY layer ORDER BY s_name, id) - 1) * 96 AS y
 FROM walk JOIN supplier ON id = s_suppkey""", True))
-def layered_layout(spark, sf, edges=D.top_edges):
+def layered_layout(spark, sf, edges=D.all_edges):
     named = dependency_layers(spark, sf, edges).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"), "id")
     return graph.layered_layout(named, "s_name").select("id", "layer", F.col("x").cast("long"), F.col("y").cast("long"))
 
@@ -136,7 +136,7 @@ def forbidden_dependencies(spark, sf):
 
 
 @query(sql("cand top modules", "SELECT edge_id, a.layer AS src_layer, b.layer AS dst_layer FROM top JOIN modules a ON a.id = src JOIN modules b ON b.id = dst WHERE a.layer < b.layer"))
-def layer_direction(spark, sf, edges=D.top_edges):
+def layer_direction(spark, sf, edges=D.all_edges):
     return quality.layer_violations(quality.with_ends(edges(spark, sf), D.modules(spark, sf)), "higher_to_lower")
 
 
@@ -144,7 +144,7 @@ def layer_direction(spark, sf, edges=D.top_edges):
   CASE WHEN bool_or(sa.component = sb.component) THEN 'cycle' WHEN bool_or(edge_id IN (SELECT edge_id FROM fb)) THEN 'feedback' ELSE 'none' END AS state,
   a.r_name = b.r_name AND NOT bool_or(sa.component = sb.component) AS summary
 FROM top JOIN modules a ON a.id = src JOIN modules b ON b.id = dst JOIN scc sa ON sa.id = src JOIN scc sb ON sb.id = dst GROUP BY a.r_name, b.r_name""", True))
-def visible_edges(spark, sf, edges=D.top_edges):
+def visible_edges(spark, sf, edges=D.all_edges):
     scc, top = scc_components(spark, sf, edges), edges(spark, sf)
     fb = graph.feedback_edges(scc, top).withColumn("feedback", F.lit(True))
     e = top.join(scc.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(scc.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").join(fb, "edge_id", "left")
@@ -154,21 +154,18 @@ def visible_edges(spark, sf, edges=D.top_edges):
 
 @query(sql("cand top modules", """SELECT edge_id, CASE WHEN abs(b.layer - a.layer) * 10 >= abs(dst - src) THEN (a.layer * 10 + b.layer * 10) / 2.0 ELSE a.layer * 10.0 END AS x1,
  CASE WHEN abs(b.layer - a.layer) * 10 >= abs(dst - src) THEN CAST(src AS DOUBLE) ELSE (src + dst) / 2.0 END AS y1 FROM top JOIN modules a ON a.id = src JOIN modules b ON b.id = dst"""))
-def orthogonal_routes(spark, sf, edges=D.top_edges):
+def orthogonal_routes(spark, sf, edges=D.all_edges):
     e = quality.with_ends(edges(spark, sf), D.modules(spark, sf))
     route = scene.orthogonal_route(F.col("src_layer") * 10, F.col("src"), F.col("dst_layer") * 10, F.col("dst"))
     return e.select("edge_id", route[1]["x"].alias("x1"), route[1]["y"].alias("y1"))
 
 
-#: The queries above keep each supplier's most frequent successor only (D.top_edges). The same over all edges; SQL has no
-#: counterpart of the greedy pass for feedback edges, nor of what is built on it.
-ALL_EDGES_SQL = ("hierarchy_projection_d1", "hierarchy_projection_d2", "reachability", "scc_components", "cycle_groups", "layer_direction", "orthogonal_routes")
-ALL_EDGES = ("feedback_edges", "dependency_layers", "layer_labels", "layered_layout", "visible_edges")
-for _name in ALL_EDGES_SQL:
-    QUERIES[f"{_name}_all_edges"] = partial(QUERIES[_name], edges=D.all_edges)
-    ORACLES[f"{_name}_all_edges"] = ORACLES[_name].replace(D.SQL["top"], D.SQL["all_edges"])
-for _name in ALL_EDGES:
-    WITHOUT_SQL[f"{_name}_all_edges"] = partial(QUERIES[_name], edges=D.all_edges)
+#: SQL has no counterpart of the greedy pass for feedback edges over all edges, nor of what is built on it.
+for _name in ("feedback_edges", "dependency_layers", "layer_labels", "layered_layout", "visible_edges"):
+    del ORACLES[_name]
+    WITHOUT_SQL[_name] = QUERIES.pop(_name)
+for _name in ("hierarchy_projection_d1", "hierarchy_projection_d2", "reachability", "scc_components", "cycle_groups", "layer_direction", "orthogonal_routes"):
+    ORACLES[_name] = ORACLES[_name].replace(D.SQL["top"], D.SQL["all_edges"])
 
 
 # --- files, symbols and their quality
@@ -500,43 +497,8 @@ def snapshot_diff(spark, sf):
 
 # --- knowledge bundles
 
-CLAIMS = """WITH nodes AS (SELECT s_suppkey AS id FROM supplier), claims AS (SELECT DISTINCT l_suppkey AS child, l_partkey % 100 AS parent FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 48 AND l_partkey % 100 < l_suppkey),
-one AS (SELECT child, min(parent) AS parent FROM claims GROUP BY child HAVING count(*) = 1),
-fall AS (SELECT id AS child, id // 2 AS parent FROM nodes WHERE id > 0 AND id NOT IN (SELECT child FROM claims)),
-forest AS (SELECT * FROM one UNION ALL SELECT * FROM fall)"""
-
-
-def _forest(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 7 and l_quantity > 48 and l_partkey % 100 < l_suppkey")
-    claims = li.select(F.col("l_suppkey").alias("child"), (F.col("l_partkey") % 100).alias("parent"))
-    fallback = D.vertices(spark, sf).filter("id > 0").select(F.col("id").alias("child"), F.floor(F.col("id") / 2).alias("parent"))
-    return knowledge.forest(claims, fallback)
-
-
-@query(CLAIMS + " SELECT child, parent FROM forest")
-def containment_forest(spark, sf):
-    return _forest(spark, sf)
-
-
-@query(CLAIMS.replace("WITH ", "WITH RECURSIVE ", 1) + """, t(id, depth) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT child FROM forest) UNION ALL SELECT child, depth + 1 FROM t JOIN forest ON parent = id WHERE depth < 3)
-SELECT id, depth FROM t""")
-def bounded_traversal(spark, sf):
-    f = _forest(spark, sf)
-    roots = D.vertices(spark, sf).join(f.select(F.col("child").alias("id")), "id", "left_anti")
-    return graph.bounded_traversal(f.select(F.col("parent").alias("src"), F.col("child").alias("dst")), roots, 3)
-
-
-@query(CLAIMS + """, s AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'unknown' WHEN s_acctbal < 9000 THEN 'done' ELSE 'open' END AS state FROM supplier)
-SELECT parent, CASE WHEN bool_and(state <> 'unknown') AND min(state) = max(state) THEN min(state) ELSE 'unknown' END AS state FROM forest JOIN s ON child = id GROUP BY parent""")
-def state_rollup(spark, sf):
-    bal = F.col("s_acctbal")
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(bal < 0, "unknown").when(bal < 9000, "done").otherwise("open").alias("state"))
-    return knowledge.rolled_up_state(_forest(spark, sf), s)
-
-
-# The three above see few claims, none of them in a cycle, as their SQL does. The same over all rows of two tables: every
-# order claims its customer's id, every supplier its nation's, all in one space of ids. SQL has no counterpart of the
-# removal of cycles.
+# Every order claims its customer's id, every supplier its nation's, all in one space of ids, cycles and contradictions
+# included. SQL has no counterpart of the removal of cycles.
 
 
 def _all_claims(spark, sf):
@@ -549,21 +511,21 @@ def _all_claims(spark, sf):
     return knowledge.forest(claims, fallback), nodes
 
 
-def containment_forest_all_claims(spark, sf):
+def containment_forest(spark, sf):
     return _all_claims(spark, sf)[0]
 
 
-def bounded_traversal_all_claims(spark, sf):
+def bounded_traversal(spark, sf):
     f, nodes = _all_claims(spark, sf)
     roots = nodes.select("id").join(f.select(F.col("child").alias("id")), "id", "left_anti")
     return graph.bounded_traversal(f.select(F.col("parent").alias("src"), F.col("child").alias("dst")), roots, 3)
 
 
-def state_rollup_all_claims(spark, sf):
+def state_rollup(spark, sf):
     return knowledge.rolled_up_state(*_all_claims(spark, sf))
 
 
-for _query in (containment_forest_all_claims, bounded_traversal_all_claims, state_rollup_all_claims):
+for _query in (containment_forest, bounded_traversal, state_rollup):
     WITHOUT_SQL[_query.__name__] = _query
 
 

@@ -15,7 +15,7 @@ from lodestar.functions.text import physical_lines
 
 #: Languages by suffix, root markers with their weight, largest NDJSON frame.
 LANGUAGES = {"go": "go", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "clj": "clojure", "cljs": "clojure", "cljc": "clojure", "md": "markdown"}
-MARKERS = {"go.mod": 3, "go.work": 3, "pyproject.toml": 3, "setup.cfg": 2, "setup.py": 2, "tsconfig.json": 3, "package.json": 2, "Cargo.toml": 3, "deps.edn": 3, "project.clj": 3}
+MARKERS = {"go.mod": 1.0, "go.work": 0.9, "pyproject.toml": 1.0, "setup.cfg": 0.9, "setup.py": 0.8, "tsconfig.json": 1.0, "package.json": 0.6, "Cargo.toml": 1.0, "deps.edn": 1.0, "project.clj": 0.9, "shadow-cljs.edn": 0.8}
 MAX_FRAME = 8 << 20
 
 
@@ -47,7 +47,7 @@ def root_candidates(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     root = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
     weight = F.create_map(*[F.lit(x) for p in MARKERS.items() for x in p])[name]
-    return files.select(root.alias("root"), name.alias("marker"), weight.alias("weight")).filter("weight >= 1").groupBy("root").agg(F.array_sort(F.collect_set("marker")).alias("markers"), F.max("weight").alias("confidence"))
+    return files.select(root.alias("root"), name.alias("marker"), weight.alias("weight")).filter("weight is not null").groupBy("root").agg(F.array_sort(F.collect_set("marker")).alias("markers"), F.max("weight").alias("confidence"))
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -39,14 +39,14 @@ def test_all_claims(spark, tmp_path):
     nodes, forest, cycle = brute()
     assert cycle == {2, 3, 4, 7} and 1 not in forest and forest[11] == 5
     q = entry.queries()
-    assert dict(map(tuple, q["containment_forest_all_claims"](spark, sf).collect())) == forest
+    assert dict(map(tuple, q["containment_forest"](spark, sf).collect())) == forest
 
     def depth(v):
         return depth(forest[v]) + 1 if v in forest else 0
 
-    assert {(r.id, r.depth) for r in q["bounded_traversal_all_claims"](spark, sf).collect()} == {(v, depth(v)) for v in nodes | set(forest.values()) if depth(v) <= 3 and (v in nodes or depth(v))}
+    assert {(r.id, r.depth) for r in q["bounded_traversal"](spark, sf).collect()} == {(v, depth(v)) for v in nodes | set(forest.values()) if depth(v) <= 3 and (v in nodes or depth(v))}
     state = {v: ("unknown", "done", "open")[v % 3] if v in ORDERS else "unknown" for v in nodes}
     want = {}
     for c, p in forest.items():
         want.setdefault(p, set()).add(state[c])
-    assert {r.parent: r.state for r in q["state_rollup_all_claims"](spark, sf).collect()} == {p: next(iter(x)) if len(x) == 1 else "unknown" for p, x in want.items()}
+    assert {r.parent: r.state for r in q["state_rollup"](spark, sf).collect()} == {p: next(iter(x)) if len(x) == 1 else "unknown" for p, x in want.items()}

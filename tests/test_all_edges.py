@@ -56,7 +56,7 @@ def test_all_edges(spark, tmp_path):
     reach, component, gone, layer = brute(edges)
     assert gone and len(edges) > 7
     q = entry.queries()
-    run = lambda name: q[f"{name}_all_edges"](spark, sf).collect()
+    run = lambda name: q[name](spark, sf).collect()
     ids = {1_000_000 * s + d for s, d in edges}
     assert sorted((r.src, r.dst) for r in D.all_edges(spark, sf).collect()) == edges
     assert {(r.start, r.id) for r in run("reachability")} == {(a, b) for a in reach for b in reach[a]}
@@ -68,7 +68,7 @@ def test_all_edges(spark, tmp_path):
     assert {r.id: (r.layer, r.x) for r in run("layered_layout")} == {v: (n, 240 * sorted(set(layer.values())).index(n)) for v, n in layer.items()}
     assert {r.edge_id for r in run("orthogonal_routes")} == ids
     assert sum(r.n for r in run("visible_edges")) == sum(r.n for r in run("hierarchy_projection_d1")) == len(edges)
-    assert {f"{n}_all_edges" for n in ("feedback_edges", "dependency_layers", "layer_labels", "layered_layout", "visible_edges")} <= set(WITHOUT_SQL)
+    assert {n for n in ("feedback_edges", "dependency_layers", "layer_labels", "layered_layout", "visible_edges")} <= set(WITHOUT_SQL)
 
 
 def test_feedback_and_layers_by_either_path(spark, sf_dir):

@@ -136,7 +136,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "node_modules/x.js").write_text("1")
     t = S.tree(spark, str(tmp_path))
     assert {r.path: r.content for r in t.collect()} == {"src/a.py": "import os\n", "go.mod": "module m\n"}
-    assert [(r.root, r.confidence) for r in S.root_candidates(t).collect()] == [(".", 3)]
+    assert [(r.root, r.confidence) for r in S.root_candidates(t).collect()] == [(".", 1.0)]
     facts = {r.path: r for r in S.file_facts(t).collect()}
     assert facts["src/a.py"].language == "python" and facts["src/a.py"].lines == 1
     (tmp_path / "f.ndjson").write_text('{"a": 1}\n{"a": 2}\n')
