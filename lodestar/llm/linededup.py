@@ -136,8 +136,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     A line's key is the line without the bytes [\\x20\\x09-\\x0D] at both ends and with A-Z lower-cased. Keys of at least
     `min_chars` code points in at least `min_docs` documents lose all their lines except in the largest doc_id that
-    holds them. A null or empty text is one empty line and gives ''. A row whose doc_id repeats counts as a document of
-    its own; all rows of the largest doc_id keep the line. A row without doc_id counts too, but keeps its lines. Columns
+    holds them. A null or empty text is one empty line and gives ''. Rows with a repeated doc_id are one document in
+    this count, and all rows of the largest doc_id keep the line. A row without doc_id counts as a document of its own, and
+    keeps its lines. One text and its lines fit into memory. Columns
     named n_lines or n_dropped in the input are replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -160,7 +161,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(a + lines.doc[at])), pa.array(K.as_long(lines.hash[pick])), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "h", "d1", "d2"])
 
     found = Table(thin.mapInArrow(suspects, "doc_id long, h long, d1 long, d2 long"), "lines")
-    shared = Table(found.df.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "shared-lines")
+    per_doc = found.df.groupBy("d1", "d2", "doc_id").agg(F.count("*").alias("rows"))
+    n_docs = F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1))
+    shared = Table(per_doc.groupBy("d1", "d2").agg(n_docs.alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "shared-lines")
     losers = found.df.join(shared.maybe_broadcast(), ["d1", "d2"]).filter(F.col("doc_id") < F.col("keeper"))
     drops = Table(losers.groupBy("doc_id").agg(F.collect_list("h").alias("h")).select(F.col("doc_id").alias("__drop_id"), F.col("h").alias("__drop_h")), "line-drops")
     joined = docs.join(drops.maybe_broadcast(), F.col("doc_id").cast("long") == F.col("__drop_id"), "left").drop("__drop_id")
