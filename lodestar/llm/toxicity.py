@@ -25,6 +25,10 @@ from lodestar.llm.shared import strip_to
 EXAMPLES, TERMS, LEAST_G, NEIGHBOURS = 3000, 2048, 15.0, 15
 #: Examples in a block of the index, and blocks that are scored before any bound is looked at.
 BLOCK, FIRST_BLOCKS = 64, 4
+#: A term of more than one in OFTEN rows is held as a column as well.
+OFTEN = 12
+#: Texts whose bounds are taken together, and the least product that counts.
+AT_ONCE, TINY = 64, 1e-300
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
@@ -49,7 +53,7 @@ class BlockMaxIndex:
 
     def __init__(self, n_rows: int, n_terms: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         order = np.lexsort((row, term))
-        self.row, self.weight = row[order].astype(np.int32), weight[order]
+        self.row, self.weight = row[order].astype(np.int64), weight[order]
         term = term[order]
         self.n_rows, self.n_blocks = n_rows, max(1, -(-n_rows // BLOCK))
         key = term * self.n_blocks + self.row // BLOCK
@@ -57,30 +61,77 @@ class BlockMaxIndex:
         self.most = np.zeros(n_terms * self.n_blocks)
         np.maximum.at(self.most, key, self.weight)
         self.most = self.most.reshape(n_terms, self.n_blocks)
+        self.fill_columns()
+
+    def fill_columns(self) -> None:
+        """Terms that many rows have are also kept as a column: adding it is quicker than following its list."""
+        n_terms = len(self.most)
+        term = np.repeat(np.arange(n_terms), np.diff(self.start[:: self.n_blocks]))
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) * OFTEN > self.n_rows)
+        self.column = np.full(n_terms, -1)
+        self.column[often] = np.arange(len(often))
+        self.columns = np.zeros((len(often), self.n_rows))
+        mine = self.column[term]
+        self.columns[mine[mine >= 0], self.row[mine >= 0]] = self.weight[mine >= 0]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "columns")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.fill_columns()
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest positive product (ties to the smaller row), and the products."""
-        bound = weight @ self.most[term]
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
-        got = np.zeros(self.n_rows)
-        bar, at = 0.0, 0
-        while at < len(blocks) and (at == 0 or bound[blocks[at]] >= bar - 1e-12):
-            # the first few, then all whose bound can still reach the k-th best
-            to = FIRST_BLOCKS if at == 0 else at + int(np.searchsorted(-bound[blocks[at:]], -(bar - 1e-12), side="right"))
-            place = term[:, None] * self.n_blocks + blocks[at:to]
-            size = (self.start[place + 1] - self.start[place]).ravel()
-            post = K.ranges(self.start[place].ravel(), size)
-            np.add.at(got, self.row[post], self.weight[post] * np.repeat(np.repeat(weight, place.shape[1]), size))
+        if not len(term):
+            return np.zeros(0, np.int64), np.zeros(0)
+        _, rows, products = self.nearest_many(np.array([0, len(term)]), term, weight, k, np.array([skip]))
+        return rows, products
+
+    def nearest_many(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, product) of the k best rows of each query, best first; query i is term[first[i]:first[i + 1]], one term at least."""
+        found = []
+        for a in range(0, len(first) - 1, AT_ONCE):
+            b = min(len(first) - 1, a + AT_ONCE)
+            x, y = int(first[a]), int(first[b])
+            bounds = np.add.reduceat(weight[x:y, None] * self.most[term[x:y]], first[a:b] - x, axis=0)
+            for i, s, e in zip(range(a, b), first[a:b].tolist(), first[a + 1 : b + 1].tolist(), strict=True):
+                found.append(self.best(term[s:e], weight[s:e], bounds[i - a], k, -1 if skip is None else int(skip[i])))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.repeat(np.arange(len(found)), [len(r) for r, _ in found]), np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])
+
+    def best(self, term: np.ndarray, weight: np.ndarray, bound: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of the blocks with the largest bounds first; then of the range of blocks whose bounds reach the k-th best product."""
+        blocks = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.n_blocks > FIRST_BLOCKS else np.arange(self.n_blocks)
+        place = (term[:, None] * self.n_blocks + blocks).ravel()
+        at = self.start[place]
+        size = self.start[place + 1] - at
+        post = K.ranges(at, size)
+        got = np.bincount(self.row[post], self.weight[post] * np.repeat(np.repeat(weight, len(blocks)), size), self.n_rows)
+        if skip >= 0:
+            got[skip] = 0
+        open_ = bound > 0
+        if self.n_rows >= k:
+            open_ &= bound >= np.partition(got, self.n_rows - k)[self.n_rows - k] - 1e-12
+        open_[blocks] = False
+        left = np.flatnonzero(open_)
+        if len(left):
+            lo, hi = int(left[0]), int(left[-1]) + 1
+            whole = np.zeros(self.n_rows)
+            key = term * self.n_blocks
+            span = slice(lo * BLOCK, hi * BLOCK)
+            for c, x, y, w in zip(self.column[term].tolist(), self.start[key + lo].tolist(), self.start[key + hi].tolist(), weight.tolist(), strict=True):
+                if c >= 0:
+                    whole[span] += self.columns[c, span] * w
+                else:
+                    whole[self.row[x:y]] += self.weight[x:y] * w
+            got[span] = whole[span]
             if skip >= 0:
                 got[skip] = 0
-            rows = np.flatnonzero(got)
-            if len(rows) >= k:
-                bar = np.partition(got[rows], len(rows) - k)[len(rows) - k]
-            at = to
-        rows = np.flatnonzero(got)
-        best = np.lexsort((rows, -got[rows]))[:k]
-        return rows[best], got[rows[best]]
+        rows = np.flatnonzero(got >= max(np.partition(got, self.n_rows - k)[self.n_rows - k], TINY) if self.n_rows >= k else got > 0)
+        rows = rows[np.lexsort((rows, -got[rows]))[:k]]
+        return rows, got[rows]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,28 +187,31 @@ class NearestLabelled:
         doc, t, weight = doc[order], t[order], weight[order]
         first = np.searchsorted(doc, np.arange(n + 1))
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
-        x, y, w = [], [], []
-        for i in np.flatnonzero(~blank).tolist():
-            rows, cos = self.index.nearest(t[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], NEIGHBOURS, skip=i)
-            x.append(self.raw(rows, cos))
-            y.append(self.labels[i])
-            w.append(self.vote[i])
-        if x:
-            self.curve = monotone(np.array(x), np.array(y), np.array(w))
-
-    def raw(self, rows: np.ndarray, cos: np.ndarray) -> float:
-        """Votes by cosine and sampling rate; one vote's worth of what texts without terms have."""
+        some = np.flatnonzero(~blank)
+        if len(some):
+            own = np.append(first[some], len(t))  # documents without terms take no room
+            q, rows, cos = self.index.nearest_many(own, t, weight, NEIGHBOURS, some)
+            self.curve = monotone(self.raw(len(some), q, rows, cos), self.labels[some], self.vote[some])
+
+    def raw(self, n: int, q: np.ndarray, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """Votes of n queries by cosine and sampling rate; a tenth of a vote is what texts without terms have."""
         w = cos * self.vote[rows]
         unit = self.vote.min()
-        return float((w @ self.labels[rows] + 0.1 * unit * self.blank) / (w.sum() + 0.1 * unit))
+        return (np.bincount(q, w * self.labels[rows], n) + 0.1 * unit * self.blank) / (np.bincount(q, w, n) + 0.1 * unit)
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(probability, example rows, cosines) of a text's terms, given by their place in the vocabulary."""
+    def scores(self, first: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of texts, and (text, example row, cosine) of their neighbours. Text i has the terms (places in the
+        vocabulary) first[i] to first[i + 1], one at least."""
+        n = len(first) - 1
         weight = (1 + np.log(count)) * self.idf[term]
-        rows, cos = self.index.nearest(term, weight / np.sqrt(weight @ weight), NEIGHBOURS)
-        if not len(rows) or self.curve is None:
-            return self.blank, rows, cos
-        return float(np.clip(np.interp(self.raw(rows, cos), *self.curve), 0, 1)), rows, cos
+        of = np.repeat(np.arange(n), np.diff(first))
+        weight = weight / np.sqrt(np.bincount(of, weight**2, n))[of]
+        q, rows, cos = self.index.nearest_many(first, term, weight, NEIGHBOURS)
+        score = np.full(n, self.blank)
+        if self.curve is not None:
+            found = np.bincount(q, minlength=n) > 0
+            score[found] = np.clip(np.interp(self.raw(n, q, rows, cos)[found], *self.curve), 0, 1)
+        return score, q, rows, cos
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NearestLabelled:
@@ -203,15 +257,14 @@ def score_texts(docs: DataFrame, model: NearestLabelled) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at_text = names.index("text")
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: NearestLabelled = sent.value
         for batch in batches:
-            score, evidence = np.full(len(batch), own.blank), [[] for _ in range(len(batch))]
+            score, lists = np.full(len(batch), own.blank), []
             for a, _, data, off in K.blocks(batch.column(at_text)):
                 if not len(own.words):
-                    continue
+                    break
                 h, doc = terms(data, off)
                 maybe = np.flatnonzero(own.gate[(h & K.U(0xFFFF)).astype(np.int64)])
                 h, doc = h[maybe], doc[maybe]
@@ -220,11 +273,13 @@ def score_texts(docs: DataFrame, model: NearestLabelled) -> DataFrame:
                 key, n = np.unique(doc[known] * len(own.words) + slot[known], return_counts=True)
                 of, term = key // len(own.words), key % len(own.words)
                 start = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
-                for s, e in zip(start.tolist(), np.append(start[1:], len(of)).tolist(), strict=True) if len(of) else ():
-                    i = a + int(of[s])
-                    score[i], rows, cos = own.score(term[s:e], n[s:e])
-                    evidence[i] = [{"doc_id": d, "cosine": c} for d, c in zip(own.doc_ids[rows].tolist(), cos.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(evidence, kind)], [*names, "score", "evidence"])
+                found, q, rows, cos = own.scores(np.append(start, len(of)), term, n)
+                score[a + of[start]] = found
+                lists.append((a + of[start][q], rows, cos))
+            of, rows, cos = (np.concatenate(x) for x in zip(*lists, strict=True)) if lists else (np.zeros(0, np.int64),) * 3
+            inner = pa.StructArray.from_arrays([pa.array(own.doc_ids[rows], pa.int64()), pa.array(cos, pa.float64())], ["doc_id", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(K.counts_before(np.bincount(of, minlength=len(batch))).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), evidence], [*names, "score", "evidence"])
 
     schema = docs.withColumns({"score": F.lit(0.0), "evidence": F.expr("cast(null as array<struct<doc_id:long,cosine:double>>)")}).schema
     return docs.mapInArrow(run, schema)
