@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its written table has at most so many bytes of Parquet.
 BROADCAST_BYTES = 4 << 20
+#: Rows and bytes of an Arrow batch.
+ROWS_A_BATCH, BATCH_BYTES = 1000, 8 << 20
 #: A key is heavy if it has one in HEAVY_KEYS of all rows, and HEAVY_ROWS at least: so there are never more than HEAVY_KEYS.
 HEAVY_KEYS, HEAVY_ROWS = 1000, 500
 
@@ -96,6 +99,17 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS_A_BATCH rows and about BATCH_BYTES, unless the session has limits of its own: whole texts go
+    through them, and each is held by the JVM and by a Python worker at once."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", ROWS_A_BATCH), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name) or ""
+        if now and (now == usual or usual is None and int(re.sub(r"\D", "", now) or 0) >= 64 << 20):
+            spark.conf.set(name, str(own))
+
+
 def strip_to(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; what else a table holds never meets the operator's own column names."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
