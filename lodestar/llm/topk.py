@@ -21,6 +21,8 @@ from lodestar.llm.shared import Table
 CANDIDATES, QUERIES = 8192, 1024
 #: Rows whose scores are resolved at the end of reading, for each k.
 RESOLVED = 16
+#: Products whose size may reach WIDE are taken in whole numbers of any size and held to LONG, the largest of 64 bits.
+WIDE, LONG = 1 << 62, (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -45,7 +47,7 @@ class SortedLists:
         self.sorted = np.take_along_axis(self.v, order, axis=0)  # depth x dimension
         self.rank = np.empty(self.v.shape, np.int32)
         np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
-        self.largest = int(np.abs(self.v).max(initial=0))
+        self.largest = max(int(self.v.max(initial=0)), -int(self.v.min(initial=0)))
         self.floats: dict[type, np.ndarray] = {}
         self.depth = len(ids) // 2
 
@@ -53,8 +55,10 @@ class SortedLists:
         """(ids, scores) of the k best of this block, the query's own row apart."""
         n = len(self.ids)
         rows = np.arange(n)
-        if n > RESOLVED * k:
-            kind = np.float32 if self.largest * int(np.abs(q).sum()) < 1 << 23 else np.float64  # sums are exact
+        size = self.largest * sum(abs(x) for x in q.tolist())  # no product is larger
+        if n > RESOLVED * k and size < WIDE:
+            kind = np.float32 if size < 1 << 23 else np.float64  # sums are exact
+            slack = size * (len(q) + 2) * 2.0**-50 if size >= 1 << 52 else 0.0  # or off by less
             if kind not in self.floats:
                 self.floats[kind] = self.v.astype(kind)
             values, weight, down = self.floats[kind], q.astype(kind), q > 0
@@ -70,14 +74,18 @@ class SortedLists:
                 upper, lower = known + (edge.sum() - bounds[:, 0]), known + (worst.sum() - bounds[:, 1])
                 lower[self.ids[rows] == query_id] = -np.inf
                 bar = np.partition(lower, len(rows) - k)[len(rows) - k]
-                rows = rows[upper >= bar]
+                rows = rows[upper >= bar - slack]
                 if len(rows) <= RESOLVED * k or depth == n:
                     break
                 depth = min(n, depth + step)
             self.depth = max(1, min(n - 1, depth) - step // 2)
         rows = rows[self.ids[rows] != query_id]
-        score = self.v[rows] @ q
-        best = np.lexsort((self.ids[rows], -score))[:k]
+        if size < WIDE:
+            score = self.v[rows] @ q
+        else:
+            whole = (sum(x * y for x, y in zip(row, q.tolist(), strict=True)) for row in self.v[rows].tolist())
+            score = np.array([min(max(x, -LONG - 1), LONG) for x in whole], np.int64)
+        best = np.lexsort((self.ids[rows], ~score))[:k]
         return self.ids[rows[best]], score[best]
 
 
@@ -85,9 +93,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     """query_id, rank, vec_id, score: the `k` largest integer inner products of each query with every other row.
 
     `vectors` has vec_id and embedding; queries are the rows whose vec_id is divisible by `every`. Ties go to the
-    smaller vec_id; fewer rows than k give all. Vectors null, empty or with null or non-finite components take no part;
+    smaller vec_id; fewer rows than k give all. Components and products beyond 64 bits count as the nearest number of 64
+    bits. Vectors null, empty or with null or non-finite components take no part;
     vectors of different lengths meet only their like. Rows with the query's own vec_id are not its candidates; other
-    repeated vec_ids give a row each. An empty table gives no rows; other columns are ignored. Every block of candidates
+    repeated vec_ids give a row each, and query rows of one vec_id share its k ranks. An empty table gives no rows; other columns are ignored. Every block of candidates
     keeps k rows a query, so what is shuffled to be ranked is k rows a query and block.
     """
     # quantized once, with ids that a repeated task finds again
