@@ -245,3 +245,80 @@ def reexports(observations: DataFrame, order: str) -> DataFrame:
     own = own.withColumn("name", F.coalesce(F.nullif(F.col("alias"), F.lit("")), F.col("imported"))).withColumn("sure", ~F.col("conditional") | F.coalesce("state", F.lit(False)))
     out = own.groupBy("package", "name").agg(F.min_by("module", order).alias("module"), F.min("module").alias("low"), F.max("module").alias("high"), F.bool_or("sure").alias("sure"))
     return out.select("package", "name", "module", (F.col("low") < F.col("high")).alias("ambiguous"), (~F.col("sure")).alias("conditional"))
+
+
+#: Subject and unit that a rule's message names, and how it names the limit.
+MESSAGE_SUBJECTS = {
+    "source:file.max-lines": ("File", "lines"), "source:callable.max-lines": ("Callable", "lines"),
+    "source:callable.max-cyclomatic-complexity": ("Callable", "complexity"), "source:callable.max-nesting-depth": ("Callable", "nesting depth"),
+}
+MESSAGE_LIMITS = {
+    "greater_than": "configured maximum is {}", "greater_or_equal": "configured minimum is {}", "less_than": "configured condition is less than {}",
+    "less_or_equal": "configured maximum is {} or less", "equal": "configured value is {}", "not_equal": "configured value must not be {}",
+}
+
+
+def threshold_message(rule: Column, unit: Column, observed: Column, operator: Column, limit: Column) -> Column:
+    """What a finding says of the value observed and of the limit that it broke."""
+    subject, measure = F.lit("Subject"), F.regexp_replace(unit, "^unit:", "")
+    for id_, (s, m) in MESSAGE_SUBJECTS.items():
+        subject, measure = F.when(rule == id_, s).otherwise(subject), F.when(rule == id_, m).otherwise(measure)
+    bound = F.lit("configured limit is {}")
+    for name, text in MESSAGE_LIMITS.items():
+        bound = F.when(operator == name, text).otherwise(bound)
+    bound = F.replace(bound, F.lit("{}"), limit.cast("string"))
+    return F.concat(subject, F.lit(" has "), observed.cast("string"), F.lit(" "), measure, F.lit("; "), bound)
+
+
+def sequence_less(left: Column, right: Column) -> Column:
+    """Order of event sequence numbers: as numbers if both are whole numbers of 64 bits without sign, else as texts."""
+    a, b = (F.when(x.rlike("^[0-9]+$"), F.regexp_replace(x, "^0+(?=[0-9])", "")) for x in (left, right))
+    a, b = (F.when((F.length(x) < 20) | (F.length(x) == 20) & (x <= str(2**64 - 1)), F.lpad(x, 20, "0")) for x in (a, b))
+    return F.coalesce(a < b, left < right)
+
+
+def build_constraints(content: Column, most: int = 100) -> Column:
+    """Sorted build constraints from the comments that a Go file starts with, within its first `most` lines."""
+    lines = F.transform(F.slice(T.split_lines(content), 1, most), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    code = F.array_position(F.transform(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("//"))), True)
+    head = F.when(code == 0, lines).when(code == 1, F.expr("cast(array() as array<string>)")).otherwise(F.slice(lines, F.lit(1), (code - 1).cast("int")))
+    forms = r"^(//go:build |// \+build )"
+    return F.array_sort(F.transform(F.filter(head, lambda x: x.rlike(forms)), lambda x: F.trim(F.regexp_replace(x, forms, ""))))
+
+
+def module_file_relations(files: DataFrame) -> DataFrame:
+    """A `contains` relation, with the span of the whole file, from the module of each file (scope_id, module_id, file_id,
+    content); files without a module have none."""
+    own = files.filter("coalesce(module_id, '') <> ''")
+    text = T.unified_newlines(F.col("content"))
+    rest = F.substring_index(text, "\n", -1)
+    line = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    id_ = stable_id("relation", "scope_id", F.lit("module-file"), "module_id", "file_id")
+    return own.select(id_.alias("relation_id"), F.lit("contains").alias("category"), "module_id", "file_id", F.octet_length("content").alias("end_byte"), line.alias("end_line"), (F.octet_length(rest) + 1).alias("end_column"))
+
+
+def with_provenance(facts_: DataFrame, basis: str, provider: str, version: str, evidence: Column | None = None) -> DataFrame:
+    """status, basis, provider, provider_version where they are empty, and evidence_ids: a null list is empty, an empty one
+    takes `evidence`, if given."""
+    usual = {"status": "observed", "basis": basis, "provider": provider, "provider_version": version}
+    ids = F.coalesce("evidence_ids", F.expr("cast(array() as array<string>)"))
+    if evidence is not None:
+        ids = F.when(F.size(ids) == 0, F.array(evidence)).otherwise(ids)
+    return facts_.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)) for c, v in usual.items()} | {"evidence_ids": ids})
+
+
+def dependency_counts(dependencies: DataFrame) -> DataFrame:
+    """Per type (owner): distinct types that it depends on (name), and those of them that are no interface."""
+    each = dependencies.groupBy("owner", "name").agg(F.bool_or("interface").alias("interface"))
+    return each.groupBy("owner").agg(F.count("*").alias("dependencies"), F.count_if(~F.col("interface")).alias("concrete"))
+
+
+def analyzer_of(columns: list[str], sources: list[str]) -> list[Column]:
+    """The named columns of the first of `sources` (structs, the best first) whose id is not empty, the last one else."""
+    picked = []
+    for c in columns:
+        out = F.col(f"{sources[-1]}.{c}")
+        for s in reversed(sources[:-1]):
+            out = F.when(F.coalesce(F.col(f"{s}.id"), F.lit("")) != "", F.col(f"{s}.{c}")).otherwise(out)
+        picked.append(out.alias(c))
+    return picked

@@ -271,3 +271,70 @@ def same_sets(spark, sf):
     shown = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus"))
     g = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(shown).alias("a"), F.collect_set(F.when(F.col("o_totalprice") > 100000, "F").otherwise("P")).alias("b"))
     return g.select("id", model.same_set(model.sorted_distinct(F.col("a"), drop_empty=True), F.col("b")).alias("same"))
+
+
+@query("""WITH RECURSIVE up(id, top, path) AS (SELECT s_suppkey, s_suppkey // 2, [s_suppkey // 2, s_suppkey] FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT id, top // 2, list_prepend(top // 2, path) FROM up WHERE top > 0)
+SELECT id, array_to_string(path, '>') AS path FROM up WHERE top = 0 UNION ALL SELECT 0, '0'""")
+def breadcrumbs(spark, sf):
+    from lodestar.operators import graph
+
+    parents = table(spark, sf, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").alias("child"), F.expr("s_suppkey div 2").alias("parent"))
+    return graph.paths_to_roots(parents).select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'File' WHEN 1 THEN 'Callable' ELSE 'Subject' END || ' has ' || p_size || CASE p_size % 3 WHEN 0 THEN ' lines' WHEN 1 THEN ' nesting depth' ELSE ' methods' END || '; ' ||
+CASE p_partkey % 4 WHEN 0 THEN 'configured maximum is 20' WHEN 1 THEN 'configured maximum is 20 or less' WHEN 2 THEN 'configured value must not be 20' ELSE 'configured limit is 20' END AS message FROM part""")
+def threshold_messages(spark, sf):
+    n, k = F.col("p_size") % 3, F.col("p_partkey") % 4
+    rule = F.when(n == 0, "source:file.max-lines").when(n == 1, "source:callable.max-nesting-depth").otherwise("own")
+    operator = F.when(k == 0, "greater_than").when(k == 1, "less_or_equal").when(k == 2, "not_equal").otherwise("other")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), facts.threshold_message(rule, F.lit("unit:methods"), F.col("p_size"), operator, F.lit(20)).alias("message"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 'x' ELSE '00' END || o_custkey AS a, CAST(o_orderkey % 700 AS VARCHAR) AS b FROM orders)
+SELECT id, CASE WHEN starts_with(a, 'x') THEN a < b ELSE CAST(a AS BIGINT) < CAST(b AS BIGINT) END AS less FROM s""")
+def sequence_order(spark, sf):
+    a = F.concat(F.when(F.col("o_custkey") % 5 == 0, "x").otherwise("00"), F.col("o_custkey").cast("string"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), facts.sequence_less(a, (F.col("o_orderkey") % 700).cast("string")).alias("less"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand || ' || windows' ELSE CASE WHEN p_brand < 'cgo' THEN p_brand || ' || windows;cgo' ELSE 'cgo;' || p_brand || ' || windows' END END AS constraints FROM part""")
+def build_constraints(spark, sf):
+    n, brand = F.col("p_size") % 3, F.concat(F.lit("//go:build "), "p_brand", F.lit(" || windows \n"))
+    content = F.when(n == 0, F.concat(F.lit("package a\n"), brand)).when(n == 1, F.concat(F.lit("// about\r\n\r\n"), brand, F.lit("package a\n// +build late\n"))).otherwise(F.concat(F.lit("  // +build cgo\n"), brand))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(facts.build_constraints(content), ";").alias("constraints"))
+
+
+@query("""SELECT 'model:relation:' || substr(sha256(concat_ws(chr(0), 'relation', lang, 'module-file', source, CAST(doc_id AS VARCHAR))), 1, 16) AS relation_id, source AS module_id, doc_id AS file_id, CAST(strlen(text) AS BIGINT) AS end_byte,
+  CAST(len(string_split(text, chr(10))) AS BIGINT) AS end_line, CAST(strlen(string_split(text, chr(10))[-1]) + 1 AS BIGINT) AS end_column FROM documents WHERE source <> 'src3' AND text IS NOT NULL""")
+def module_file_relations(spark, sf):
+    d = table(spark, sf, "documents").filter("text is not null")
+    own = facts.module_file_relations(d.select(F.col("lang").alias("scope_id"), F.when(F.col("source") != "src3", F.col("source")).alias("module_id"), F.col("doc_id").alias("file_id"), F.col("text").alias("content")))
+    return own.select("relation_id", "module_id", "file_id", *[F.col(c).cast("long").alias(c) for c in ("end_byte", "end_line", "end_column")])
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'observed' END AS status, 'syntax' AS basis, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'extractor:source-index' END AS provider, '1.0.0' AS provider_version,
+  CASE WHEN p_size % 4 = 0 THEN 'e' || p_size ELSE 'scope:s:' || p_brand END AS evidence FROM part""")
+def metric_provenance(spark, sf):
+    n = F.col("p_size")
+    own = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), "p_brand", F.when(n % 3 == 0, F.col("p_brand")).when(n % 3 == 1, "").alias("status"), F.lit("").alias("basis"), F.when(n % 2 == 0, F.col("p_type")).otherwise("").alias("provider"),
+        F.lit(None).cast("string").alias("provider_version"), F.when(n % 4 == 0, F.array(F.concat(F.lit("e"), n.cast("string")))).when(n % 4 == 1, F.expr("cast(array() as array<string>)")).alias("evidence_ids"),
+    )
+    out = facts.with_provenance(own, "syntax", "extractor:source-index", "1.0.0", F.concat(F.lit("scope:s:"), "p_brand"))
+    return out.select("id", "status", "basis", "provider", "provider_version", F.array_join("evidence_ids", ",").alias("evidence"))
+
+
+@query("SELECT l_suppkey AS owner, count(DISTINCT l_partkey) AS dependencies, count(DISTINCT l_partkey) FILTER (l_partkey % 3 > 0) AS concrete FROM lineitem GROUP BY l_suppkey")
+def dependency_counts(spark, sf):
+    return facts.dependency_counts(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name"), (F.col("l_partkey") % 3 == 0).alias("interface")))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN 'result' WHEN c_nationkey % 2 = 0 THEN 'manifest' ELSE 'job' END AS analyzer, CASE WHEN c_nationkey % 3 = 0 THEN c_name WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'v1' END AS version FROM customer""")
+def scope_summaries(spark, sf):
+    def part(name, given, version):
+        return F.struct(F.when(given, name).otherwise("").alias("analyzer"), F.when(given, name).otherwise("").alias("id"), version.alias("version")).alias(name)
+
+    n = F.col("c_nationkey")
+    jobs = table(spark, sf, "customer").select("c_custkey", part("result", n % 3 == 0, F.col("c_name")), part("manifest", n % 2 == 0, F.col("c_mktsegment")), part("job", F.lit(True), F.lit("v1")))
+    return jobs.select(F.col("c_custkey").alias("id"), *facts.analyzer_of(["analyzer", "version"], ["result", "manifest", "job"]))

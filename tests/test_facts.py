@@ -47,3 +47,21 @@ def test_reports_without_identities_are_compatible(spark):
     one = spark.createDataFrame([(None,)], "rule string")
     assert facts.compatible(none, none, ["rule"]).first()[0] and facts.compatible(one, one, ["rule"]).first()[0]
     assert not facts.compatible(none, one, ["rule"]).first()[0]
+
+
+def test_sequence_order(spark):
+    pairs = [("9", "10", True), ("010", "9", False), ("a", "10", False), ("18446744073709551615", "18446744073709551616", True), ("18446744073709551616", "9", True), ("18446744073709551614", "18446744073709551615", True), ("7", "7", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.want == r.got for r in rows.withColumn("got", facts.sequence_less(F.col("a"), F.col("b"))).collect())
+
+
+def test_build_constraints(spark):
+    texts = ["", "package a\n//go:build x", "\n//go:build b\r\n\t// +build a \n// other\npackage p\n//go:build late", "//go:build only", "//\n" * 100 + "//go:build late"]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(facts.build_constraints(F.col("t")).alias("c")).collect()]
+    assert got == [[], [], ["a", "b"], ["only"], []]
+
+
+def test_file_ends(spark):
+    rows = [("s", "m", "f1", "a\r\nbé"), ("s", "m", "f2", ""), ("s", "m", "f3", "x\ry\n"), ("s", "", "f4", "x"), ("s", None, "f5", "x")]
+    got = facts.module_file_relations(spark.createDataFrame(rows, "scope_id string, module_id string, file_id string, content string"))
+    assert {r.file_id: (r.end_byte, r.end_line, r.end_column) for r in got.collect()} == {"f1": (6, 2, 4), "f2": (0, 1, 1), "f3": (4, 3, 1)}
