@@ -322,3 +322,43 @@ def analyzer_of(columns: list[str], sources: list[str]) -> list[Column]:
             out = F.when(F.coalesce(F.col(f"{s}.id"), F.lit("")) != "", F.col(f"{s}.{c}")).otherwise(out)
         picked.append(out.alias(c))
     return picked
+
+
+#: Crates of the standard library.
+STANDARD_CRATES = ("std", "core", "alloc", "proc_macro", "test")
+
+
+def resolved_uses(uses: DataFrame, modules: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Rust `use` paths (use_id, module_id, module_path array, path, package) with what they name: module_id_used and scope
+    (local, standard_library, external, unresolved).
+
+    A path is tried from the crate's root (`crate`, the package's own name), from its module (`self`), from an outer one
+    (`super`), else as it is and from every enclosing module, the nearest first; each of these by its longest prefix that
+    is a module (modules: module_id, key `a::b`). `dependencies` (name) are the crates that the project declares.
+    """
+    part, here = F.split("path", "::"), F.col("module_path")
+    supers = F.expr("(length(regexp_extract(path, '^((super(::|$))*)', 1)) + 2) div 7").cast("int")
+    tail = F.slice(part, F.lit(2), F.greatest(F.size(part), F.lit(1)))
+    none = F.expr("cast(array() as array<string>)")
+    base = F.slice(here, F.lit(1), F.greatest(F.size(here) - supers, F.lit(0)))
+    beyond = F.slice(part, supers + 1, F.size(part))
+
+    def tried(path: Column, least: Column) -> Column:
+        return F.struct(path.alias("path"), least.cast("int").alias("least"))
+
+    from_root = F.array(tried(tail, F.when(F.size(tail) == 0, 0).otherwise(1)))
+    cargo_name = lambda c: F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-"))
+    first = F.when(cargo_name(part[0]) == cargo_name(F.col("package")), from_root).otherwise(F.array(tried(part, F.lit(1))))
+    enclosing = F.transform(F.reverse(F.sequence(F.lit(0), F.size(here))), lambda n: tried(F.concat(F.slice(here, F.lit(1), n), part), F.lit(1)))
+    relative = part[0].isin("crate", "self", "super")
+    tries = F.when(part[0] == "crate", from_root).when(part[0] == "self", F.array(tried(F.concat(here, tail), F.size(here) + F.when(F.size(tail) > 0, 1).otherwise(0))))
+    tries = tries.when(part[0] == "super", F.when(F.size(beyond) > 0, F.array(tried(F.concat(base, beyond), F.size(base) + 1)))).otherwise(F.concat(first, enclosing))
+    each = uses.filter("path <> ''").select("use_id", "module_id", F.posexplode(tries).alias("place", "t"))
+    each = each.select("use_id", "module_id", "place", "t.path", F.explode(F.expr("if(t.least > size(t.path), array(), sequence(t.least, size(t.path)))")).alias("size"))
+    each = each.select("use_id", "module_id", "place", "size", F.array_join(F.when(F.col("size") > 0, F.slice("path", F.lit(1), F.col("size"))).otherwise(none), "::").alias("key"))
+    met = each.join(modules.select("key", F.col("module_id").alias("module_id_used")), "key").filter("size > 0 or module_id <> module_id_used")
+    best = met.groupBy("use_id").agg(F.min_by("module_id_used", F.struct("place", -F.col("size"))).alias("module_id_used"))
+    known = dependencies.select(cargo_name(F.col("name")).alias("crate")).distinct().withColumn("declared", F.lit(True))
+    out = uses.withColumn("crate", cargo_name(part[0])).join(best, "use_id", "left").join(known, "crate", "left")
+    scope = F.when(F.col("module_id_used").isNotNull(), "local").when(relative, "unresolved").when(F.lower(F.trim(part[0])).isin(*STANDARD_CRATES), "standard_library").when(F.col("declared"), "external").otherwise("unresolved")
+    return out.select("use_id", "module_id_used", scope.alias("scope"))

@@ -338,3 +338,19 @@ def scope_summaries(spark, sf):
     n = F.col("c_nationkey")
     jobs = table(spark, sf, "customer").select("c_custkey", part("result", n % 3 == 0, F.col("c_name")), part("manifest", n % 2 == 0, F.col("c_mktsegment")), part("job", F.lit(True), F.lit("v1")))
     return jobs.select(F.col("c_custkey").alias("id"), *facts.analyzer_of(["analyzer", "version"], ["result", "manifest", "job"]))
+
+
+@query("""SELECT c_custkey AS use_id, CASE c_custkey % 5 WHEN 0 THEN 'n' || n_nationkey WHEN 1 THEN 'r' || r_regionkey WHEN 4 THEN 'n' || n_nationkey END AS module, CASE c_custkey % 5 WHEN 2 THEN 'standard_library' WHEN 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'external' ELSE 'unresolved' END ELSE 'local' END AS scope
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def rust_uses(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    region, nation = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    modules = r.select(region.alias("module_id"), F.col("r_name").alias("key")).unionByName(places.select(nation.alias("module_id"), F.concat_ws("::", "r_name", "n_name").alias("key")))
+    k = F.col("c_custkey") % 5
+    path = F.when(k == 0, F.concat_ws("::", F.lit("crate"), "r_name", "n_name", F.lit("Item"))).when(k == 1, F.concat_ws("::", F.lit("super"), F.lit("super"), "r_name", F.lit("missing")))
+    path = path.when(k == 2, "std::fs").when(k == 3, F.concat(F.lit("dep_"), F.col("c_nationkey").cast("string"))).otherwise("self")
+    c = table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    uses = c.select(F.col("c_custkey").alias("use_id"), nation.alias("module_id"), F.when(~k.isin(2, 3), F.array("r_name", "n_name")).otherwise(F.expr("cast(array() as array<string>)")).alias("module_path"), path.alias("path"), F.lit("own").alias("package"))
+    crates = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("dep-"), F.col("n_nationkey").cast("string")).alias("name"))
+    return facts.resolved_uses(uses, modules, crates).select("use_id", F.col("module_id_used").alias("module"), "scope")

@@ -65,3 +65,43 @@ def test_file_ends(spark):
     rows = [("s", "m", "f1", "a\r\nbé"), ("s", "m", "f2", ""), ("s", "m", "f3", "x\ry\n"), ("s", "", "f4", "x"), ("s", None, "f5", "x")]
     got = facts.module_file_relations(spark.createDataFrame(rows, "scope_id string, module_id string, file_id string, content string"))
     assert {r.file_id: (r.end_byte, r.end_line, r.end_column) for r in got.collect()} == {"f1": (6, 2, 4), "f2": (0, 1, 1), "f3": (4, 3, 1)}
+
+
+def plain_use(path, here, own, package, modules, crates):
+    parts, name = path.split("::"), lambda x: x.strip().lower().replace("_", "-")
+    head, tail, outer = parts[0], parts[1:], list(here)
+    if head == "crate":
+        tries = [(tail, min(1, len(tail)))]
+    elif head == "self":
+        tries = [(here + tail, len(here) + min(1, len(tail)))]
+    elif head == "super":
+        while parts and parts[0] == "super":
+            outer, parts = outer[:-1], parts[1:]
+        tries = [(outer + parts, len(outer) + 1)] if parts else []
+    else:
+        tries = [(tail, min(1, len(tail))) if name(head) == name(package) else (parts, 1)]
+        tries += [(here[:n] + parts, 1) for n in range(len(here), -1, -1)]
+    for whole, least in tries:
+        for n in range(len(whole), least - 1, -1):
+            found = modules.get("::".join(whole[:n]))
+            if found is not None and (n or found != own):
+                return found, "local"
+    if head in ("crate", "self", "super"):
+        return None, "unresolved"
+    return None, "standard_library" if head in facts.STANDARD_CRATES else "external" if name(head) in crates else "unresolved"
+
+
+def test_rust_uses(spark):
+    modules = {"": 0, "a": 1, "a::b": 2, "a::b::c": 3, "d": 4, "a::d": 5, "std::x": 6}
+    paths = ["crate", "crate::a::b::T", "crate::z", "self", "self::c::F", "self::q", "super", "super::d::T", "super::super::d", "super::super::super::super::a", "a", "d::T", "b::c", "my_crate", "my-crate::a::X", "my_crate::zz", "std::fs", "std::x::y", "serde::Ser", "serde_json", "other::X", "superb::x", "selfie", ""]
+    rows, want = [], {}
+    for here, own in [("", 0), ("a", 1), ("a::b", 2), ("a::b::c", 3), ("d", 4)]:
+        for p in paths:
+            at = here.split("::") if here else []
+            rows.append((len(rows), own, at, p, "my_crate"))
+            want[len(rows) - 1] = plain_use(p, at, own, "my_crate", modules, {"serde", "serde-json"}) if p else (None, "unresolved")
+    uses = spark.createDataFrame(rows, "use_id int, module_id int, module_path array<string>, path string, package string")
+    known = spark.createDataFrame([(m, k) for k, m in modules.items()], "module_id int, key string")
+    got = facts.resolved_uses(uses, known, spark.createDataFrame([("serde",), ("Serde_json",)], "name string")).collect()
+    bad = {(rows[r.use_id][2:4].__repr__()): ((r.module_id_used, r.scope), want[r.use_id]) for r in got if (r.module_id_used, r.scope) != want[r.use_id]}
+    assert len(got) == len(rows) and not bad, bad
