@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, divergence, langid, linededup, neardup, packing, substring, tokencount, tokenfile, topk, toxicity
+from lodestar.llm import decontaminate, divergence, hardneg, langid, linededup, neardup, packing, substring, tokencount, tokenfile, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +145,29 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEG
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 100, 5, 10, 30, 90, relabel_every=7)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+neg AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM neg WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity, "op11_source_divergence": op11_source_divergence}
+    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity, "op11_source_divergence": op11_source_divergence, "op12_hard_negatives": op12_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_top_k": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_top_k": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_hard_negatives": OP12_SQL}
