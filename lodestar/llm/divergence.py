@@ -221,7 +221,7 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFram
     per_group = Table(own.df.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms")), "group-totals")
     langs = kept.df.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     occurring = counts.df.filter("term = ''").select("lang", "source")
-    sizes = occurring.groupBy("lang").agg(F.count("*").alias("n_groups"))
+    sizes = Table(occurring.groupBy("lang").agg(F.count("*").alias("n_groups")), "language-groups").maybe_broadcast()
     light = kept.df.join(sizes, "lang").groupBy("lang").agg(F.count_if(~is_heavy()).alias("spare"))
     sizes = Table(sizes.join(langs, "lang", "left").join(light, "lang", "left"), "languages")
     zero = F.lit(0).cast("long")

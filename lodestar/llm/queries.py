@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, divergence, hardneg, langid, linededup, neardup, packing, substring, tokencount, tokenfile, topk, toxicity
+from lodestar.llm import decontaminate, divergence, hardneg, langid, linededup, neardup, packing, substring, suffixtree, tokencount, tokenfile, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,12 @@ SELECT * FROM neg WHERE rank <= 10
 """
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.language_model(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity, "op11_source_divergence": op11_source_divergence, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_decontamination": op1_decontamination, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_language_id": op6_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity, "op11_source_divergence": op11_source_divergence, "op12_hard_negatives": op12_hard_negatives, "op13_language_model": op13_language_model}
 
 
 def oracle_sql() -> dict[str, str]:
