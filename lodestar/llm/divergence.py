@@ -10,7 +10,7 @@ compared row by row. All other terms are light, and for them the sum is put toge
                                       + sum over terms of both of f(p, q) - f(p, blank of b) - f(blank of a, q) + f(blanks)
                                       + (light terms - a's - b's) * f(blanks)
 
-The first sums need no terms at all, only how many of a group's light terms have each p. All of it is whole numbers, so
+(and heavy terms that no group of a tile holds are counted with the last). The first sums need no terms at all, only how many of a group's light terms have each p. All of it is whole numbers, so
 partial sums of shards of terms add up to the same result in any order.
 """
 
@@ -112,10 +112,10 @@ def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // (p + q)
 
 
-def cell_sums(kind: np.ndarray, source: np.ndarray, own: np.ndarray, term: np.ndarray, p: np.ndarray, weight: np.ndarray, spare: np.ndarray, blocks: tuple[int, int], first_shard: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_sums(kind: np.ndarray, source: np.ndarray, own: np.ndarray, term: np.ndarray, p: np.ndarray, weight: np.ndarray, terms: np.ndarray, blocks: tuple[int, int], first_shard: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, value) for the pairs of groups of a cell; `source` numbers the groups in their order, 0 to n - 1.
 
-    A GROUP row has the group's blank share p, `weight` light terms and `spare` light terms of the language; HEAVY and
+    A GROUP row has the group's blank share p, `weight` light terms and `terms` terms of the language; HEAVY and
     LIGHT rows are postings; a BLANKS row says that `weight` light terms of the group have the share p.
     """
     n = int(source.max()) + 1
@@ -125,10 +125,12 @@ def cell_sums(kind: np.ndarray, source: np.ndarray, own: np.ndarray, term: np.nd
     a, b = np.flatnonzero(side == blocks[0]), np.flatnonzero(side == blocks[1])
     total = np.zeros((n, n), np.int64)  # [i, j] and [j, i] are parts of one pair
     at = kind == HEAVY
+    tiled = 0
     if at.any():
         names, t = np.unique(term[at], return_inverse=True)
         tile = np.repeat(blank[:, None], len(names), axis=1)
         tile[source[at], t] = p[at]
+        tiled = len(names)
         for i in a.tolist():
             others = b[b > i] if blocks[0] == blocks[1] else b
             total[i, others] += f(tile[i][None, :], tile[others]).sum(axis=1)
@@ -159,9 +161,11 @@ def cell_sums(kind: np.ndarray, source: np.ndarray, own: np.ndarray, term: np.nd
     if blocks[0] == blocks[1]:
         i, j = i[i < j], j[i < j]
     value = total[i, j] + total[j, i]
+    # terms that neither group has: all of them once, without those of the tiles and the postings
+    blanks = f(blank[i], blank[j])
     if first_shard and len(i):
-        rest = int(spare[kind == GROUP][0])
-        value += (rest - light[i] - light[j]) * f(blank[i], blank[j])
+        value += (int(terms[kind == GROUP][0]) - light[i] - light[j]) * blanks
+    value -= tiled * blanks
     return i, j, value
 
 
@@ -172,14 +176,14 @@ def pair_sums(postings: DataFrame, groups: DataFrame) -> DataFrame:
     light = postings.filter("not heavy")
     per_group = light.groupBy("lang", "source").agg(F.count("*").alias("light"))
     g = groups.join(per_group, ["lang", "source"], "left")
-    columns = ("lang", "own", "n_blocks", "shard", "kind", "source", "term", "p", "weight", "spare")
+    columns = ("lang", "own", "n_blocks", "shard", "kind", "source", "term", "p", "weight", "terms")
 
-    def shaped(df: DataFrame, kind: int, shard: Column, term: Column, p: str, weight: Column, spare_: Column) -> DataFrame:
-        return df.select("lang", own.alias("own"), n_blocks.alias("n_blocks"), shard.alias("shard"), F.lit(kind).alias("kind"), "source", term.alias("term"), F.col(p).alias("p"), weight.alias("weight"), spare_.alias("spare")).select(*columns)
+    def shaped(df: DataFrame, kind: int, shard: Column, term: Column, p: str, weight: Column, terms: Column) -> DataFrame:
+        return df.select("lang", own.alias("own"), n_blocks.alias("n_blocks"), shard.alias("shard"), F.lit(kind).alias("kind"), "source", term.alias("term"), F.col(p).alias("p"), weight.alias("weight"), terms.alias("terms")).select(*columns)
 
     zero, no_term, by_term = F.lit(0).cast("long"), F.lit(""), F.pmod(F.xxhash64("term"), shards)
     blanks = light.groupBy("lang", "source", "p", "n_groups", "kept").agg(F.count("*").alias("of"))
-    rows = shaped(g, GROUP, F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)), no_term, "blank", F.coalesce("light", zero), F.col("spare"))
+    rows = shaped(g, GROUP, F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)), no_term, "blank", F.coalesce("light", zero), F.col("kept"))
     rows = rows.unionByName(shaped(postings.filter("heavy"), HEAVY, by_term, F.col("term"), "p", zero, zero))
     rows = rows.unionByName(shaped(light.filter("holders > 1"), LIGHT, by_term, F.col("term"), "p", zero, zero))
     rows = rows.unionByName(shaped(blanks, BLANKS, F.pmod(F.xxhash64("source", "p"), shards), no_term, "p", F.col("of"), zero))
@@ -190,11 +194,11 @@ def pair_sums(postings: DataFrame, groups: DataFrame) -> DataFrame:
     def cell(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         lang, x, y, shard = (k.as_py() for k in key)
         t = t.combine_chunks()
-        c = {name: t[name].to_numpy() for name in ("kind", "own", "p", "weight", "spare")}
+        c = {name: t[name].to_numpy() for name in ("kind", "own", "p", "weight", "terms")}
         names = sorted(set(t["source"].to_pylist()))  # code points ascend as UTF-8 does
         source = pa.compute.index_in(t["source"], pa.array(names, pa.string())).to_numpy()
         term = t["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        i, j, value = cell_sums(c["kind"], source.astype(np.int64), c["own"], term, c["p"], c["weight"], c["spare"], (x, y), shard == 0)
+        i, j, value = cell_sums(c["kind"], source.astype(np.int64), c["own"], term, c["p"], c["weight"], c["terms"], (x, y), shard == 0)
         name = pa.array(names, pa.string())
         u, v = np.minimum(i, j), np.maximum(i, j)
         return pa.table([pa.array([lang] * len(i), pa.string()), name.take(pa.array(u)), name.take(pa.array(v)), pa.array(value, pa.int64())], schema=schema)
@@ -221,12 +225,10 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFram
     per_group = Table(own.df.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms")), "group-totals")
     langs = kept.df.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     occurring = counts.df.filter("term = ''").select("lang", "source")
-    sizes = Table(occurring.groupBy("lang").agg(F.count("*").alias("n_groups")), "language-groups").maybe_broadcast()
-    light = kept.df.join(sizes, "lang").groupBy("lang").agg(F.count_if(~is_heavy()).alias("spare"))
-    sizes = Table(sizes.join(langs, "lang", "left").join(light, "lang", "left"), "languages")
+    sizes = Table(occurring.groupBy("lang").agg(F.count("*").alias("n_groups")).join(langs, "lang", "left"), "languages")
     zero = F.lit(0).cast("long")
     groups = occurring.join(per_group.maybe_broadcast(), ["lang", "source"], "left").join(sizes.maybe_broadcast(), "lang")
-    groups = groups.select("lang", "source", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "kept", "lang_total", "spare")])
+    groups = groups.select("lang", "source", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "kept", "lang_total")])
     groups = Table(groups.withColumn("blank", share(zero, F.col("total"), F.col("kept"))), "groups")
     if groups.bytes <= 4 << 20:
         marked = own.df.join(F.broadcast(groups.df), ["lang", "source"])

@@ -10,6 +10,7 @@ reaches the last of those found for it.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -94,11 +95,13 @@ class Pair:
         return np.clip(whole, -LONG - 1, LONG).astype(np.int64)
 
     def search(self, matters: Callable[[int, int, float, float], bool], score: Callable[[int, int, int, int, np.ndarray], None]) -> None:
-        """Visits the pairs of leaves that matter, those of higher products first."""
-        stack = [(0, 0, *self.interval(0, 0))]
+        """Visits the pairs of leaves that matter, always the pair of the highest upper end next."""
+        low, high = self.interval(0, 0)
+        heap = [(-high, 0, 0, low)]
         a, c = self.a, self.c
-        while stack:
-            i, j, low, high = stack.pop()
+        while heap:
+            high, i, j, low = heapq.heappop(heap)
+            high = -high
             if not matters(i, j, low, high):
                 self.dropped += (a.end[i] - a.start[i]) * (c.end[j] - c.start[j])
                 continue
@@ -112,7 +115,9 @@ class Pair:
                 below = [(k, j) for k in a.child[i]]
             else:
                 below = [(i, k) for k in c.child[j]]
-            stack += sorted(((p, q, *self.interval(p, q)) for p, q in below), key=lambda x: x[3])
+            for p, q in below:
+                low, high = self.interval(p, q)
+                heapq.heappush(heap, (-high, p, q, low))
 
 
 class Best:
