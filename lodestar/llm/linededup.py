@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernel as K
-from lodestar.llm.shared import Table, strip_to
+from lodestar.llm.shared import Table, numbered, place, strip_to, without_columns
 
 #: A filter has about one bit for so many bytes of text, within these bounds. Beyond the upper one more lines are
 #: suspected and counted exactly; results stay the same.
@@ -139,10 +139,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     holds them. A null or empty text is one empty line and gives ''. Rows with a repeated doc_id are one document in
     this count, and all rows of the largest doc_id keep the line. A row without doc_id counts as a document of its own, and
     keeps its lines. One text and its lines fit into memory. Columns
-    named n_lines or n_dropped in the input are replaced; an empty table gives no rows.
+    named n_lines or n_dropped in the input are replaced, all others kept whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = without_columns(docs, "n_lines", "n_dropped")
     thin = strip_to(docs, doc_id="long", text="string")
     twice = spark.sparkContext.broadcast(twice_filter(thin, min_chars))
 
@@ -165,11 +165,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     n_docs = F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1))
     shared = Table(per_doc.groupBy("d1", "d2").agg(n_docs.alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "shared-lines")
     losers = found.df.join(shared.maybe_broadcast(), ["d1", "d2"]).filter(F.col("doc_id") < F.col("keeper"))
-    drops = Table(losers.groupBy("doc_id").agg(F.collect_list("h").alias("h")).select(F.col("doc_id").alias("__drop_id"), F.col("h").alias("__drop_h")), "line-drops")
-    joined = docs.join(drops.maybe_broadcast(), F.col("doc_id").cast("long") == F.col("__drop_id"), "left").drop("__drop_id")
-    names = docs.columns
-    out_schema = docs.select(*[F.lit("").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    at_text = names.index("text")
+    drops = Table(losers.groupBy("doc_id").agg(F.collect_list("h").alias("h")).select(F.col("doc_id").alias("drop_id"), F.col("h").alias("drop_h")), "line-drops")
+    plain, names = numbered(docs)
+    at_text, at_id = place(names, "text"), place(names, "doc_id")
+    joined = plain.join(drops.maybe_broadcast(), F.col(f"c{at_id}").cast("long") == F.col("drop_id"), "left").select(*plain.columns, "drop_h")
+    out_schema = plain.withColumn(f"c{at_text}", F.lit("")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +201,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
                 kept.append(new.cast(pa.string()))
             columns = list(batch.columns[: len(names)])
             columns[at_text] = pa.concat_arrays(kept) if kept else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], out_schema.names)
 
-    return joined.select(*[f"`{c}`" for c in names], "__drop_h").mapInArrow(keep, out_schema)
+    return joined.mapInArrow(keep, out_schema).toDF(*names, "n_lines", "n_dropped")

@@ -109,7 +109,30 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(own))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`df` with its columns renamed to c0, c1 ... by position, and their names: dots, capitals and repeated names in them
+    never meet an operator's own columns."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def place(names: list[str], name: str) -> int:
+    """Where the column `name` stands: written just so, else the first that differs in capitals only."""
+    for same in (str, str.lower):
+        for i, c in enumerate(names):
+            if same(c) == same(name):
+                return i
+    raise ValueError(f"there is no column {name} among {names}")
+
+
+def without_columns(df: DataFrame, *gone: str) -> DataFrame:
+    """`df` without the columns of these names, in whatever capitals."""
+    plain, names = numbered(df)
+    keep = [i for i, c in enumerate(names) if c.lower() not in gone]
+    return plain.select(*[f"c{i}" for i in keep]).toDF(*[names[i] for i in keep])
+
+
 def strip_to(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; what else a table holds never meets the operator's own column names."""
     small_batches(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+    plain, names = numbered(df)
+    return plain.select(*[F.col(f"c{place(names, c)}").cast(t).alias(c) for c, t in types.items()])

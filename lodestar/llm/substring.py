@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import kernel as K
 from lodestar.llm.decontaminate import asked, bit_filter
 from lodestar.llm.fmindex import FMIndex
-from lodestar.llm.shared import Table, heavy_keys, heavy_limit, join_heavy, strip_to
+from lodestar.llm.shared import Table, heavy_keys, heavy_limit, join_heavy, numbered, place, strip_to, without_columns
 
 #: Words of an anchor; of the anchors of a window the least is kept.
 GRAM = 6
@@ -269,21 +269,21 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     starts in a document with a smaller doc_id, negative ones included; all windows are judged on the input. A null or
     empty text has no words and gives ''; texts shorter than a window stay whole. Rows with a repeated doc_id never
     remove from each other; a row without doc_id neither loses words nor takes any. An empty table gives no rows; columns
-    named n_words or n_removed in the input are replaced. One text and its words fit into memory; whatever is more
+    named n_words or n_removed in the input are replaced, all others kept whatever their names. One text and its words fit into memory; whatever is more
     follows blocks, shards and parts.
     """
-    docs = docs.drop("n_words", "n_removed")
+    docs = without_columns(docs, "n_words", "n_removed")
     thin = strip_to(docs, doc_id="long", text="string").filter("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
     first = resolve(thin.withColumn("base", F.lit(0).cast("long")), window, min(GRAM, window))
     again = first.filter("words is not null").select("doc_id", "th", F.col("start").alias("base"), F.col("words").alias("text"))
     second = resolve(again, window, window)
     gone = first.filter("words is null").unionByName(second.filter("words is null")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
-    cuts = Table(gone.select(F.col("doc_id").alias("__cut_id"), F.col("th").alias("__cut_th"), F.col("cut").alias("__cut")), "cuts")
-    on = (F.col("doc_id").cast("long") == F.col("__cut_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__cut_th"))
-    joined = docs.join(cuts.maybe_broadcast(), on, "left")
-    names = docs.columns
-    at_text = names.index("text")
-    out_schema = docs.select(*[F.lit("").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    cuts = Table(gone.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cut"), "cuts")
+    plain, names = numbered(docs)
+    at_text, at_id = place(names, "text"), place(names, "doc_id")
+    on = (F.col(f"c{at_id}").cast("long") == F.col("cut_id")) & (F.xxhash64(F.col(f"c{at_text}").cast("string")) == F.col("cut_th"))
+    joined = plain.join(cuts.maybe_broadcast(), on, "left").select(*plain.columns, "cut")
+    out_schema = plain.withColumn(f"c{at_text}", F.lit("")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,6 +312,6 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                 texts += [raw[x : max(x, y - 1)].decode() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             columns = list(batch.columns[: len(names)])
             columns[at_text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_removed)], [*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words), pa.array(n_removed)], out_schema.names)
 
-    return joined.select(*[f"`{c}`" for c in names], "__cut").mapInArrow(keep, out_schema)
+    return joined.mapInArrow(keep, out_schema).toDF(*names, "n_words", "n_removed")
