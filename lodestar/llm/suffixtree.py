@@ -9,8 +9,8 @@ the rest in the suffix's proportions. Below all states is the distribution of si
                                    + for those that keep the token: the token's own factor over `rest`
 
 is a sum of entries (key, value): one for each known word, each state and each kept symbol. Scoring looks up the keys of
-every position. Entries of keys with more than one in COMMON of all training tokens are broadcast (there cannot be more
-than COMMON of them for each kind of key); all others are joined.
+every position. The entries of the most common keys, COMMON of them at most, are broadcast; all others are joined. Seven kinds
+of keys share the training tokens, so a key that is joined holds fewer than 7 / COMMON of them: none is hot.
 
 Counting goes level by level. The successors of contexts that pass the filter of frequent contexts are gathered per task
 as runs (context, its next symbols), dealt out by context, and summed exactly. Contexts that hold many of all tokens are
@@ -38,6 +38,7 @@ COST, PRIOR = 8.0, 2.0
 SHARD_BYTES, GATHERED = 16 << 20, 1 << 21
 #: Contexts with one in HEAVY of all tokens are split into PIECES.
 HEAVY, PIECES = 1024, 64
+#: Entries that are broadcast for scoring, those of the most common keys; all others are joined.
 COMMON = 1 << 20
 #: Bits of the filters: about 16 a key, between these.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
@@ -375,7 +376,15 @@ class Lookup:
 def score(docs: DataFrame, tree: SuffixTree, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, held_out, text)."""
     spark = docs.sparkSession
-    common = tree.entries.filter(F.col("weight") * COMMON >= tree.tokens)
+    # weights in steps of an eighth of a doubling; the highest steps that hold COMMON entries at most
+    step = F.floor(8 * F.log2("weight"))
+    limit, held = 1 << 62, 0
+    for s, n in sorted(tree.entries.groupBy(step.alias("s")).count().collect(), reverse=True):  # a few hundred rows
+        held += n
+        if held > COMMON:
+            break
+        limit = s
+    common = tree.entries.filter(step >= limit)
     got = common.select("key", "value", "word").toArrow()
     states = None
     if tree.states is not None and (n := tree.states.count()):
@@ -409,7 +418,7 @@ def score(docs: DataFrame, tree: SuffixTree, depth: int = DEPTH) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     asking = rows.mapInArrow(ask, "row long, key long, n int, info struct<doc_id:long,held_out:boolean,n:long,known:long,base:double,more:double>")
-    rare = tree.entries.filter(F.col("weight") * COMMON < tree.tokens).select("key", "value", "word")
+    rare = tree.entries.filter(step < limit).select("key", "value", "word")
     met = asking.join(rare, "key", "left")
     gained = F.col("n") * F.col("value")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))

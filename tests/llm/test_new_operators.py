@@ -230,7 +230,7 @@ def close(got, want):
     return len(got) == len(want) and all(a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9, atol=1e-7) for a, b in zip(got, want, strict=True))
 
 
-@pytest.mark.parametrize("common,heavy,gathered", [(1 << 20, 1024, 1 << 21), (40, 16, 500), (1, 1, 100)])
+@pytest.mark.parametrize("common,heavy,gathered", [(1 << 20, 1024, 1 << 21), (200, 16, 500), (0, 1, 100)])
 def test_language_model(spark, monkeypatch, common, heavy, gathered):
     """With all entries broadcast and no context split; with some of both; with most entries joined."""
     monkeypatch.setattr(suffixtree, "COMMON", common)
