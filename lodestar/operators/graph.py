@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from lodestar.operators.tables import written
 
 #: Edges up to which a graph goes to one task.
 SMALL_EDGES = 1_000_000
-#: Vertices up to which a component's feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
+#: Vertices up to which feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
 BIT_VERTICES = 1 << 14
+#: Edges of a larger component that one task takes at a time.
+BATCH_EDGES = 200_000
 
 
 def coupling(vertices: DataFrame, edges: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -176,35 +179,66 @@ def cycle_groups(components: DataFrame, edges: DataFrame) -> DataFrame:
     return groups.withColumn("size", F.size("members").cast("long")).filter("size > 1 or self").select("component", "members", "size")
 
 
-def feedback_edges(components: DataFrame, edges: DataFrame, bit_vertices: int = BIT_VERTICES) -> DataFrame:
+class Descendants:
+    """Which vertices (numbered from 0) each vertex reaches over the edges kept so far: a matrix of bits."""
+
+    def __init__(self, n: int, bits: np.ndarray | None = None) -> None:
+        self.bits = np.zeros((n, -(-n // 64)), np.uint64) if bits is None else bits
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.bits[a, b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1) > 0
+
+    def decided(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(closes a cycle, adds nothing) of edges a to b. Both stay true however many edges are kept later."""
+        closes = (a == b) | self.reach(b, a)
+        return closes, ~closes & self.reach(a, b)
+
+    def keep(self, a: int, b: int) -> None:
+        more = self.bits[b].copy()
+        more[b >> 6] |= np.uint64(1 << (b & 63))
+        above = np.flatnonzero(self.bits[:, a >> 6] >> np.uint64(a & 63) & np.uint64(1))
+        self.bits[np.append(above, a)] |= more
+
+    def greedy(self, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Which edges, taken in this order, close a cycle; the others are kept."""
+        closed = np.zeros(len(a), bool)
+        for s in range(0, len(a), chunk):
+            x, y = a[s : s + chunk], b[s : s + chunk]
+            closes, idle = self.decided(x, y)
+            closed[s : s + chunk] = closes
+            for i in np.flatnonzero(~(closes | idle)).tolist():
+                p, q = int(x[i]), int(y[i])
+                if self.bits[q, p >> 6] >> np.uint64(p & 63) & np.uint64(1):
+                    closed[s + i] = True
+                elif not self.bits[p, q >> 6] >> np.uint64(q & 63) & np.uint64(1):
+                    self.keep(p, q)
+        return closed
+
+
+def feedback_edges(components: DataFrame, edges: DataFrame, small: int = SMALL_EDGES, bit_vertices: int = BIT_VERTICES, batch: int = BATCH_EDGES) -> DataFrame:
     """edge_id of the edges that a greedy pass in edge_id order leaves out of each component so that the rest is acyclic.
 
-    Components are solved in parallel; the pass within one is sequential by definition.
+    Components of at most `small` edges are solved in parallel, one task each. The edges of larger ones are taken in
+    batches: what is kept so far decides most of the edges still to come, wherever they are (an edge whose target reaches
+    its source closes a cycle, one whose source reaches its target changes nothing), and only the first `batch` of the
+    others go to one task. Up to `bit_vertices` vertices, what is reached is one matrix of bits, which is broadcast;
+    beyond, each batch gathers what its own ends reach by rounds of joins, and is as small as these ends have to be.
     """
     kind = edges.schema["edge_id"].dataType.simpleString()
     inner = edges.join(components.select(F.col("id").alias("src"), F.col("component").alias("cs")), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("cd")), "dst").filter("cs = cd")
-
-    def over_bits(pdf: pd.DataFrame, place: dict) -> pd.DataFrame:
-        below, chosen = [0] * len(place), []
-        for k, s, d in pdf.sort_values("edge_id")[["edge_id", "src", "dst"]].itertuples(index=False):
-            a, b = place[s], place[d]
-            if a == b or below[b] >> a & 1:
-                chosen.append(k)
-            elif not below[a] >> b & 1:
-                bit, more = 1 << a, below[b] | 1 << b
-                below[a] |= more
-                for i, have in enumerate(below):
-                    if have & bit:
-                        below[i] = have | more
-        return pd.DataFrame({"edge_id": chosen})
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {v: i for i, v in enumerate(pd.unique(pd.concat([pdf["src"], pdf["dst"]])))}
-        if len(place) <= bit_vertices:
-            return over_bits(pdf, place)
+    inner = written(inner.select("cs", "edge_id", "src", "dst"))
+    sizes = written(inner.groupBy("cs").agg(F.count("*").alias("n")))
+    giant = sizes.filter(F.col("n") > small).select("cs")  # fewer than edges / small of them
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("edge_id")
+        at, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
+        if len(names) <= bit_vertices:
+            closed = Descendants(len(names)).greedy(at[: len(pdf)], at[len(pdf) :])
+            return pd.DataFrame({"edge_id": pdf["edge_id"].to_numpy()[closed]})
         out: dict = {}
         chosen = []
-        for k, s, d in pdf.sort_values("edge_id")[["edge_id", "src", "dst"]].itertuples(index=False):
+        for k, s, d in pdf[["edge_id", "src", "dst"]].itertuples(index=False):
             closes, todo, seen = s == d, [d], {d}
             while todo and not closes:
                 for w in out.get(todo.pop(), ()):
@@ -220,7 +254,82 @@ def feedback_edges(components: DataFrame, edges: DataFrame, bit_vertices: int =
                 out.setdefault(s, []).append(d)
         return pd.DataFrame({"edge_id": chosen})
 
-    return inner.select("cs", "edge_id", "src", "dst").groupBy("cs").applyInPandas(greedy, f"edge_id {kind}")
+    alone = inner.join(F.broadcast(giant), "cs", "left_anti").groupBy("cs").applyInPandas(solve, f"edge_id {kind}")
+    if giant.isEmpty():
+        return alone
+    rest = written(inner.join(F.broadcast(giant), "cs").select("edge_id", "src", "dst"))
+    ends = written(rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct())
+    found = _batched_over_bits(rest, ends, batch, kind) if ends.limit(bit_vertices + 1).count() <= bit_vertices else _batched_over_joins(rest, max(1, bit_vertices // 2), kind)
+    for part in found:
+        alone = alone.unionByName(part)
+    return alone
+
+
+def _batched_over_bits(rest: DataFrame, ends: DataFrame, batch: int, kind: str) -> list[DataFrame]:
+    """The edges of `rest` that close cycles, as written parts; all its vertices have a row in one matrix of bits."""
+    spark = rest.sparkSession
+    names = pd.Index(sorted(r[0] for r in ends.collect()))  # bit_vertices at most
+    known, found = Descendants(len(names)), []
+    while True:
+        sent = spark.sparkContext.broadcast(known)
+
+        def sort_out(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                closes, idle = sent.value.decided(names.get_indexer(pdf["src"]), names.get_indexer(pdf["dst"]))
+                yield pdf.assign(closes=closes)[~idle]
+
+        def solve(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            some = list(parts)
+            if not some:
+                return
+            pdf = pd.concat(some, ignore_index=True).sort_values("edge_id")
+            own = Descendants(len(names), sent.value.bits.copy())
+            closed = own.greedy(names.get_indexer(pdf["src"]), names.get_indexer(pdf["dst"]))
+            yield pd.DataFrame({"edge_id": pdf["edge_id"], "closes": closed, "bits": None})
+            yield pd.DataFrame({"edge_id": None, "closes": False, "bits": [own.bits.tobytes()]})
+
+        judged = written(rest.mapInPandas(sort_out, rest.withColumn("closes", F.lit(False)).schema))
+        found.append(judged.filter("closes").select("edge_id"))
+        rest = judged.filter("not closes").drop("closes")
+        first = rest.orderBy("edge_id").limit(batch)
+        solved = written(first.coalesce(1).mapInPandas(solve, f"edge_id {kind}, closes boolean, bits binary"))
+        found.append(solved.filter("closes").select("edge_id"))
+        upto, bits = solved.agg(F.max("edge_id"), F.max("bits")).head()
+        if bits is None:
+            return found
+        known = Descendants(len(names), np.frombuffer(bits, np.uint64).reshape(known.bits.shape))
+        rest = rest.filter(F.col("edge_id") > F.lit(upto))
+
+
+def _batched_over_joins(rest: DataFrame, batch: int, kind: str) -> list[DataFrame]:
+    """As _batched_over_bits, for more vertices than a matrix may have: a batch knows what its own ends reach, over what was kept."""
+    found, kept = [], None
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts), ignore_index=True)
+        at, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
+        a, b = at[: len(pdf)], at[len(pdf) :]
+        own, reached = Descendants(len(names)), ~pdf["asks"].to_numpy(bool)
+        np.bitwise_or.at(own.bits, (a[reached], b[reached] >> 6), np.uint64(1) << (b[reached] & 63).astype(np.uint64))
+        edges = pdf[~reached].sort_values("edge_id")
+        order = edges.index.to_numpy()
+        yield edges.drop(columns="asks").assign(closes=own.greedy(a[order], b[order]))
+
+    while True:
+        first = written(rest.orderBy("edge_id").limit(batch))
+        if first.isEmpty():
+            return found
+        asking = first.withColumn("asks", F.lit(True))
+        if kept is not None:
+            first_id = F.lit(first.head()["edge_id"])  # any number: only edges that ask are told apart
+            ends = first.select(F.col("src").alias("id")).unionByName(first.select(F.col("dst").alias("id"))).distinct()
+            pairs = reachability(kept, ends).filter("start <> id").join(ends, "id", "left_semi")
+            asking = asking.unionByName(pairs.select(first_id.alias("edge_id"), F.col("start").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("asks")))
+        solved = written(asking.coalesce(1).mapInPandas(solve, first.withColumn("closes", F.lit(False)).schema))
+        found.append(solved.filter("closes").select("edge_id"))
+        new = solved.filter("not closes").select("src", "dst")
+        kept = new if kept is None else kept.unionByName(new)
+        rest = rest.filter(F.col("edge_id") > F.lit(first.agg(F.max("edge_id")).head()[0]))
 
 
 def _small_layers(vertices: DataFrame, e: DataFrame) -> DataFrame:

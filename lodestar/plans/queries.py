@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import ids
 from lodestar.functions import text as T
 from lodestar.operators import graph, knowledge, model, planning, quality, scene, search
+from lodestar.operators.tables import written
 from lodestar.plans import domain as D
 from lodestar.plans.domain import sql, table
 from lodestar.sources import files as source_files
@@ -88,12 +89,13 @@ def reachability(spark, sf, edges=D.all_edges):
 
 @query(sql("cand top scc", "SELECT id, component FROM scc", True))
 def scc_components(spark, sf, edges=D.all_edges):
-    return graph.strong_components(D.vertices(spark, sf), edges(spark, sf))
+    return graph.strong_components(D.vertices(spark, sf), written(edges(spark, sf)))
 
 
 @query(sql("cand top scc", "SELECT component, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members, count(*) AS size FROM scc JOIN cyc USING (component) GROUP BY component", True))
 def cycle_groups(spark, sf, edges=D.all_edges):
-    got = graph.cycle_groups(scc_components(spark, sf, edges), edges(spark, sf))
+    e = written(edges(spark, sf))
+    got = graph.cycle_groups(graph.strong_components(D.vertices(spark, sf), e), e)
     return got.select("component", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "size")
 
 
@@ -102,14 +104,22 @@ def self_edges(spark, sf):
     return D.successions(spark, sf).filter("src = dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
 
 
+def _feedback(spark, sf, edges):
+    """(edges, components, feedback edges), the first two written: what all queries over feedback edges stand on."""
+    e = written(edges(spark, sf))
+    scc = written(graph.strong_components(D.vertices(spark, sf), e))
+    return e, scc, graph.feedback_edges(scc, e)
+
+
 @query(sql("cand top scc", "SELECT edge_id FROM fb", True))
 def feedback_edges(spark, sf, edges=D.all_edges):
-    return graph.feedback_edges(scc_components(spark, sf, edges), edges(spark, sf))
+    return _feedback(spark, sf, edges)[2]
 
 
 @query(sql("cand top scc", "SELECT id, layer FROM walk", True))
 def dependency_layers(spark, sf, edges=D.all_edges):
-    return graph.dependency_layers(D.vertices(spark, sf), edges(spark, sf), feedback_edges(spark, sf, edges))
+    e, _, fb = _feedback(spark, sf, edges)
+    return graph.dependency_layers(D.vertices(spark, sf), e, fb)
 
 
 @query(sql("cand top modules scc", "SELECT layer, count(DISTINCT n_name) AS nodes, count(*) AS modules FROM walk JOIN modules USING (id) GROUP BY layer".replace("USING (id)", "ON walk.id = modules.id").replace("SELECT layer", "SELECT walk.layer AS layer").replace("BY layer", "BY walk.layer"), True))
@@ -145,8 +155,8 @@ def layer_direction(spark, sf, edges=D.all_edges):
   a.r_name = b.r_name AND NOT bool_or(sa.component = sb.component) AS summary
 FROM top JOIN modules a ON a.id = src JOIN modules b ON b.id = dst JOIN scc sa ON sa.id = src JOIN scc sb ON sb.id = dst GROUP BY a.r_name, b.r_name""", True))
 def visible_edges(spark, sf, edges=D.all_edges):
-    scc, top = scc_components(spark, sf, edges), edges(spark, sf)
-    fb = graph.feedback_edges(scc, top).withColumn("feedback", F.lit(True))
+    top, scc, fb = _feedback(spark, sf, edges)
+    fb = fb.withColumn("feedback", F.lit(True))
     e = top.join(scc.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(scc.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").join(fb, "edge_id", "left")
     e = e.select("edge_id", F.lit("depends_on").alias("type"), "src", "dst", (F.col("a") == F.col("b")).alias("cyclic"), F.coalesce("feedback", F.lit(False)).alias("feedback"))
     return scene.visible_edges(e, D.modules(spark, sf).select("id", F.col("hierarchy")[0].alias("node"))).drop("type")
