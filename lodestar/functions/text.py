@@ -75,7 +75,7 @@ def matches(c: Column, pattern: str, case_sensitive: bool = True, regex: bool =
 def literal_matches(c: Column, needle: str) -> Column:
     """Byte positions [start, end) of a literal's non-overlapping matches, by built-in functions alone."""
     n = F.octet_length(F.lit(needle))
-    parts = F.split(c, f"\\Q{needle}\\E", -1)
+    parts = F.split(c, re.sub(r"([^0-9A-Za-z\s\x80-\U0010FFFF])", r"\\\1", needle), -1)  # each sign by itself: \\Q would end at a \\E
     ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda acc, p: F.concat(acc, F.array(F.struct((F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1))["end"], F.lit(0)) + F.octet_length(p)).cast("int").alias("start"), (F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1))["end"], F.lit(0)) + F.octet_length(p) + n).cast("int").alias("end")))))
     return ends
 

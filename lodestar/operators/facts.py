@@ -30,6 +30,7 @@ LINE_COUNT, LINE_ALIASES = "source:file.line_count", ("source:size", "source:fil
 CALLABLE_PREFIX, CALLABLE_ALIASES = "source:callable.", ("source:callable.metrics", "source:declarations")
 
 SPAN = ["file_id", "start", "end", "coordinates"]
+JSON_STRING = r'\A"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"\z'
 JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
@@ -118,15 +119,15 @@ def decimal_value(json: Column) -> Column:
 
 def integer_value(json: Column) -> Column:
     """The integer that a JSON number is (2 and 2.0, not 2.5 nor "2"); null for anything else, and beyond 64 bits."""
-    d = decimal_value(json)
-    exact = json.try_cast("bigint")
-    return F.when(json.rlike(r"^-?(0|[1-9][0-9]*)$"), exact).when((d == F.floor(d)) & (d >= -(2.0**63)) & (d < 2.0**63), d.cast("bigint"))
+    whole = F.regexp_extract(json, r"^(-?(?:0|[1-9][0-9]*))(?:\.0+)?$", 1)
+    d, exact = decimal_value(json), json.try_cast("decimal(38,9)")  # of numbers with an exponent or a fraction
+    return F.when(whole != "", whole.try_cast("bigint")).when((d == F.floor(d)) & (exact == F.floor(exact)), exact.cast("decimal(38,0)").cast("string").try_cast("bigint"))
 
 
 def valid_metric_value(kind: Column, json: Column) -> Column:
     """Whether a value, as JSON, is of the kind it claims."""
     out = F.when(kind == "integer", integer_value(json).isNotNull()).when(kind == "decimal", decimal_value(json).isNotNull())
-    out = out.when(kind == "boolean", json.isin("true", "false")).when(kind == "text", json.rlike(r'^".*"$'))
+    out = out.when(kind == "boolean", json.isin("true", "false")).when(kind == "text", json.rlike(JSON_STRING))
     return F.coalesce(out, F.lit(False))
 
 

@@ -13,6 +13,15 @@ def test_typed_values(spark):
     assert [d for _, d in got[:4]] == [2.0, 2.0, 2.5, 1000.0] and [d for _, d in got[8:]] == [None] * 5
 
 
+def test_large_and_quoted_values(spark):
+    numbers = {"9007199254740993.0": 9007199254740993, "9.007199254740993e15": 9007199254740993, "-9223372036854775808.00": -(2**63), "2.0000000001": None, "1e-3": None, "-0.0": 0, "9223372036854775808.0": None}
+    rows = spark.createDataFrame([(t,) for t in numbers], "j string").select("j", facts.integer_value(F.col("j")).alias("n"))
+    assert {r.j: r.n for r in rows.collect()} == numbers
+    texts = {'"a"': True, '"a"b"': False, '"a\\"b"': True, '""': True, '"': False, '"a" ,"b"': False, "a": False, "1": False, None: False}
+    rows = spark.createDataFrame([(t,) for t in texts], "j string").select("j", facts.valid_metric_value(F.lit("text"), F.col("j")).alias("ok"))
+    assert {r.j: r.ok for r in rows.collect()} == texts
+
+
 def test_conditions(spark):
     chains = {"": True, "if False: -> if os.name:": False, "if os.name: -> if False:": False, "if True: -> if os.name:": None, "if sys.version_info >= (3, 8):": True, "elif sys.version_info==(3,11):": False}
     rows = spark.createDataFrame([(c,) for c in chains], "c string").select("c", facts.python_condition(F.col("c"), F.lit(10)).alias("known"), facts.python_condition(F.col("c"), F.lit(None).cast("int")).alias("unknown"))

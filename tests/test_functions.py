@@ -21,6 +21,10 @@ def test_truncation_and_matches(spark):
     assert [(m["start"], m["end"]) for m in found] == [(2, 3), (4, 5), (5, 6)]
     literal = one(spark, "é.a.a..", T.literal_matches(F.col("v"), ".a"))
     assert [(m["start"], m["end"]) for m in literal] == [(2, 4), (4, 6)]
+    for needle in ("\\E", "\\Qa\\E", "[(", "a b\t#", "é|日", "\\", "$^"):
+        text = f"é{needle}x{needle}{needle}"
+        n = len(needle.encode())
+        assert [(m["start"], m["end"]) for m in one(spark, text, T.literal_matches(F.col("v"), needle))] == [(s, s + n) for s in (2, 3 + n, 3 + 2 * n)]
     for bad in (" ", "x" * 600):
         with pytest.raises(ValueError):
             T.matches(F.col("v"), bad)

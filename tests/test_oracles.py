@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestar.plans import fact_queries, report_queries  # noqa: F401  register their queries with the others
+from lodestar.plans import fact_queries, report_queries, structure_queries  # noqa: F401  register their queries with the others
 from lodestar.plans.queries import ORACLES, QUERIES
 
 
