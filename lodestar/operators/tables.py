@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as Parquet in the shared folder (spark.checkpoint.dir), read again: no lineage, and it survives executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one (spark.checkpoint.dir), deleted when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -18,8 +17,14 @@ def written(df: DataFrame) -> DataFrame:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is not set: executors share no folder")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}/round-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared folder, read again: no lineage, and it survives executors."""
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import exports, inheritance, projection
+from lodestar.operators.tables import shared_path
 from lodestar.plans import domain as D
 from lodestar.plans.domain import sql, table
-from lodestar.plans.queries import query
+from lodestar.plans.queries import WITHOUT_SQL, query
+from lodestar.sources import trees
+from lodestar.streaming import watch
 
 #: Every seventh supplier also names a base that does not exist, and 1 and 5 inherit from each other.
 PROFILES = """
@@ -105,3 +108,30 @@ def package_exports(spark, sf):
         .otherwise(F.lit('{"./other": "./other.js", "./oth*er": "./o.js"}'))
     )
     return exports.package_exports(p.select("request_id", json.alias("exports"), F.concat(F.lit("./"), "p_brand").alias("subpath"), "runtime"))
+
+
+TREE = """, f AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' WHEN doc_id % 11 = 1 THEN 'Build/' ELSE '' END || path AS path, coalesce(strlen(content), 0) AS bytes FROM files WHERE doc_id IS NOT NULL)"""
+
+
+@query(sql("files", "").rstrip() + TREE + "\nSELECT path, bytes, split_part(path, '/', 1) AS top FROM f WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE 'Build/%'")
+def tree_scan(spark, sf):
+    """The documents as a tree of files in the shared folder, read back by the tree source."""
+    f = D.files(spark, sf).filter("doc_id is not null")
+    prefix = F.when(F.col("doc_id") % 11 == 0, "node_modules/").when(F.col("doc_id") % 11 == 1, "Build/").otherwise("")
+    root = shared_path(spark, "tree")
+    trees.write_tree(f.select(F.concat(prefix, "path").alias("path"), "content"), root).write.format("noop").mode("overwrite").save()
+    return trees.scan(spark, root).select("path", "bytes", F.split("path", "/")[0].alias("top"))
+
+
+def watch_plans(spark, sf):
+    """The events as a stream of changes, a session for each remainder of the user by 50; purchases rename, errors end builds.
+    SQL has no counterpart of the fold over a session's state; tests/test_watch.py holds it against brute force."""
+    e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")  # a pattern: the source takes no single file
+    user = F.pmod("user_id", F.lit(50))
+    kind = F.when(F.col("event_type") == "error", "built").otherwise(F.element_at(F.create_map(*[F.lit(x) for p in D.KIND_OF_EVENT.items() for x in p]), F.col("event_type")))
+    path = F.concat(F.lit("src/u"), F.col("user_id").cast("string"))
+    own = e.select(user.cast("string").alias("session"), F.col("event_id").alias("seq"), path.alias("path"), F.when(F.col("event_type") == "purchase", F.concat(path, F.lit(".old"))).alias("old_path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    return watch.drained(watch.rebuild_plans(own, "0 seconds", debounce_ms=3_600_000, gaps=False), shared_path(spark, "watch"))
+
+
+WITHOUT_SQL["watch_plans"] = watch_plans
