@@ -13,7 +13,7 @@ from lodestar.operators.tables import shared_path
 from lodestar.plans import domain as D
 from lodestar.plans.domain import sql, table
 from lodestar.plans.queries import WITHOUT_SQL, query
-from lodestar.sources import trees
+from lodestar.sources import rust, trees
 from lodestar.streaming import watch
 
 #: Every seventh supplier also names a base that does not exist, and 1 and 5 inherit from each other.
@@ -135,3 +135,37 @@ def watch_plans(spark, sf):
 
 
 WITHOUT_SQL["watch_plans"] = watch_plans
+
+
+#: Supplier n is the module s<n>: every third a folder with mod.rs, some with #[path], for tests alone, or without a file.
+RUST = """WITH RECURSIVE m AS (SELECT s_suppkey AS id, s_suppkey // 8 AS parent, 's' || s_suppkey AS name FROM supplier WHERE s_suppkey > 0 AND s_suppkey % 11 <> 5),
+place AS (SELECT *, CASE WHEN id % 7 = 3 THEN '/odd_' || id || '.rs' WHEN id % 3 = 0 THEN '/' || name || '/mod.rs' ELSE '/' || name || '.rs' END AS tail FROM m),
+walk(id, module, dir, file) AS (SELECT CAST(0 AS BIGINT), '', 'k/src', 'k/src/lib.rs'
+  UNION ALL SELECT p.id, w.module || CASE WHEN w.module = '' THEN '' ELSE '::' END || p.name, w.dir || '/' || p.name, w.dir || p.tail FROM walk w JOIN place p ON p.parent = w.id WHERE p.id % 13 <> 6)"""
+
+
+def _rust_files(spark, sf):
+    s = table(spark, sf, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 8).alias("parent"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"))
+    key = F.col("id").cast("string")
+    item = F.concat(F.when(F.col("id") % 7 == 3, F.concat(F.lit('#[path = "odd_'), key, F.lit('.rs"]\n'))).otherwise(""), F.when(F.col("id") % 11 == 5, F.lit("#[cfg(test)]\n")).otherwise(""), F.lit("pub mod "), "name", F.lit("; // mod no;\n"))
+    content = s.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", item.alias("text"))))["text"], "").alias("content"))  # eight at most
+    up = F.transform(F.reverse(F.filter(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.floor(F.col("id") / F.pow(F.lit(8.0), k)).cast("long")), lambda x: x > 0)), lambda x: F.concat(F.lit("s"), x.cast("string")))
+    folder = F.concat_ws("/", F.lit("k/src"), F.slice(up, F.lit(1), F.greatest(F.size(up) - 1, F.lit(0))))
+    file = F.when(F.col("id") % 7 == 3, F.concat(F.lit("odd_"), key, F.lit(".rs"))).when(F.col("id") % 3 == 0, F.concat("name", F.lit("/mod.rs"))).otherwise(F.concat("name", F.lit(".rs")))
+    own = s.filter("id % 13 <> 6").select("id", F.concat(folder, F.lit("/"), file).alias("path")).unionByName(spark.range(1).select("id", F.lit("k/src/lib.rs").alias("path")))
+    return own.join(content.withColumnRenamed("parent", "id"), "id", "left").select("path", F.coalesce("content", F.lit("// empty")).alias("content"))
+
+
+def _rust_tree(spark, sf):
+    files = _rust_files(spark, sf)
+    return rust.module_tree(files, files.filter("path = 'k/src/lib.rs'").select(F.lit("k").alias("crate"), F.lit("k").alias("folder"), F.col("path").alias("file")))
+
+
+@query(RUST + "\nSELECT module, file, CASE WHEN id = 0 THEN 'crate' ELSE 'file_module' END AS kind FROM walk")
+def rust_modules(spark, sf):
+    return _rust_tree(spark, sf)[0].select(F.array_join("module", "::").alias("module"), "file", "kind")
+
+
+@query(RUST + "\nSELECT w.file, 'source_missing' AS code, CASE WHEN p.id % 7 = 3 THEN 'odd_' || p.id || '.rs' ELSE p.name END AS subject FROM walk w JOIN place p ON p.parent = w.id WHERE p.id % 13 = 6")
+def rust_module_diagnostics(spark, sf):
+    return _rust_tree(spark, sf)[1].select("file", "code", "subject")
