@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import exports, inheritance, projection
+from lodestar.operators.index import SourceIndex
 from lodestar.operators.tables import shared_path
 from lodestar.plans import domain as D
 from lodestar.plans.domain import sql, table
@@ -169,3 +170,37 @@ def rust_modules(spark, sf):
 @query(RUST + "\nSELECT w.file, 'source_missing' AS code, CASE WHEN p.id % 7 = 3 THEN 'odd_' || p.id || '.rs' ELSE p.name END AS subject FROM walk w JOIN place p ON p.parent = w.id WHERE p.id % 13 = 6")
 def rust_module_diagnostics(spark, sf):
     return _rust_tree(spark, sf)[1].select("file", "code", "subject")
+
+
+#: Files are documents, in a batch for each source and language; each has a symbol on line 1 + doc_id % 9, if it has so many.
+INDEX = sql("files", "").rstrip() + """,
+f AS (SELECT source || '/' || lang AS batch, doc_id, source, lang, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + CAST(NOT suffix(content, chr(10)) AS BIGINT) END AS lines FROM files WHERE doc_id IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL),
+bad AS (SELECT batch, count(*) AS facts, count(*) FILTER (1 + doc_id % 9 > lines + 6) AS wrong FROM f GROUP BY batch)"""
+
+
+def _index(spark, sf):
+    from lodestar.functions.text import physical_lines
+
+    f = D.files(spark, sf).filter("doc_id is not null and source is not null and lang is not null")
+    key = F.col("doc_id").cast("string")
+    f = f.select(F.concat_ws("/", "source", "lang").alias("batch"), F.concat(F.lit("f"), key).alias("file_id"), "path", physical_lines(F.coalesce("content", F.lit(""))).alias("n"), F.col("doc_id").alias("id"), F.concat(F.lit("s"), key).alias("symbol_id"))
+    line = 1 + F.col("id") % 9
+    symbols = f.select("batch", "symbol_id", "file_id", F.concat(F.lit("k"), (F.col("id") % 100).cast("string")).alias("key"), line.alias("line"), line.alias("end_line"))
+    relations = f.filter("id % 4 = 0").select("batch", F.concat(F.lit("r"), F.col("id").cast("string")).alias("relation_id"), F.col("symbol_id").alias("from_id"), F.concat(F.lit("k"), (F.col("id") % 130).cast("string")).alias("to_key"))
+    index = SourceIndex(spark, shared_path(spark, "index"))
+    index.append("all", {"files": f.select("batch", "file_id", "path", (F.col("n") + 6).alias("lines")), "symbols": symbols, "relations": relations})
+    return index
+
+
+@query(INDEX + "\nSELECT lang AS capability, count(*) AS batches, count(*) FILTER (wrong = 0) AS committed, CAST(coalesce(sum(total) FILTER (wrong = 0), 0) AS BIGINT) AS facts, CASE WHEN count(*) FILTER (wrong = 0) = count(*) THEN 'observed' WHEN count(*) FILTER (wrong = 0) > 0 THEN 'partial' ELSE 'not_evaluable' END AS status\nFROM (SELECT split_part(f.batch, '/', 2) AS lang, wrong, 2 * count(*) + count(*) FILTER (doc_id % 4 = 0) AS total FROM f JOIN bad USING (batch) GROUP BY f.batch, wrong) GROUP BY lang")
+def index_coverage(spark, sf):
+    return _index(spark, sf).coverage(F.split("batch", "/")[1])
+
+
+@query(INDEX + """,
+s AS (SELECT doc_id, 'k' || doc_id % 100 AS key FROM f JOIN bad USING (batch) WHERE wrong = 0),
+k AS (SELECT key, count(*) AS n, min('s' || doc_id) AS one FROM s GROUP BY key)
+SELECT 'r' || doc_id AS relation_id, 'k' || doc_id % 130 AS to_key, CASE WHEN n = 1 THEN one END AS to_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status
+FROM s LEFT JOIN k ON k.key = 'k' || doc_id % 130 WHERE doc_id % 4 = 0""")
+def index_relations(spark, sf):
+    return _index(spark, sf).relations().drop("from_id")
