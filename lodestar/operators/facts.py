@@ -191,11 +191,11 @@ def freshness(ready: Column, building: Column, unstable: Column, stale: Column)
     return F.when(building, F.when(ready, "updating").otherwise("initializing")).when(unstable, "input_unstable").when(stale, "stale").when(ready, "current").otherwise("initializing")
 
 
-def compatible(previous: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: whether two reports have the same set of identities (provider, rule and formula `columns`)."""
-    both = previous.select(*columns, F.lit(1).alias("side")).unionByName(current.select(*columns, F.lit(2).alias("side")))
-    each = both.groupBy(*columns).agg(F.count_distinct("side").alias("sides"))
-    return each.agg(F.coalesce(F.min("sides") == 2, F.lit(True)).alias("compatible"))
+def compatible(previous: DataFrame, current: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """One row (one for each `by`): whether two reports have the same set of identities (provider, rule and formula `columns`)."""
+    both = previous.select(*by, *columns, F.lit(1).alias("side")).unionByName(current.select(*by, *columns, F.lit(2).alias("side")))
+    each = both.groupBy(*by, *columns).agg(F.count_distinct("side").alias("sides"))
+    return each.groupBy(*by).agg(F.coalesce(F.min("sides") == 2, F.lit(True)).alias("compatible"))
 
 
 def state_mapping(state: Column, mapping: dict[str, str]) -> Column:

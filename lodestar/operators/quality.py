@@ -179,32 +179,33 @@ def suppress(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("entry_id").isNotNull(), "suppressed").otherwise("active"))
 
 
-def merge_baseline(baseline: DataFrame, additions: DataFrame) -> DataFrame:
-    """All entries with their origin: kept, existing (added again unchanged), added, or conflict (other reason or owner)."""
-    a = additions.select("finding_key", F.col("reason").alias("new_reason"), F.col("owner").alias("new_owner"))
-    both = baseline.join(a, "finding_key", "full")
+def merge_baseline(baseline: DataFrame, additions: DataFrame, by: list[str] = ()) -> DataFrame:
+    """All entries with their origin: kept, existing (added again unchanged), added, or conflict (other reason or owner). Entries
+    of different `by` never meet."""
+    a = additions.select(*by, "finding_key", F.col("reason").alias("new_reason"), F.col("owner").alias("new_owner"))
+    both = baseline.join(a, [*by, "finding_key"], "full")
     origin = F.when(F.col("reason").isNull() & F.col("owner").isNull(), "added").when(F.col("new_reason").isNull() & F.col("new_owner").isNull(), "kept").when(F.col("reason").eqNullSafe(F.col("new_reason")) & F.col("owner").eqNullSafe(F.col("new_owner")), "existing").otherwise("conflict")
-    return both.select("finding_key", F.coalesce("reason", "new_reason").alias("reason"), F.coalesce("owner", "new_owner").alias("owner"), origin.alias("origin"))
+    return both.select(*by, "finding_key", F.coalesce("reason", "new_reason").alias("reason"), F.coalesce("owner", "new_owner").alias("owner"), origin.alias("origin"))
 
 
-def compare_reports(previous: DataFrame, current: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(finding_key, change): suppressed, added (new, or suppressed before), unchanged, resolved.
+def compare_reports(previous: DataFrame, current: DataFrame, coverage: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(`by`, finding_key, change) of the reports of each `by`: suppressed, added (new, or suppressed before), unchanged, resolved.
 
     A finding that is gone is resolved only if every coverage row of its exact rule version is observed; else it is
     not reported.
     """
     sure = coverage.groupBy("rule_id", "rule_version").agg(F.bool_and(F.col("status") == "observed").alias("sure"))
-    p = previous.select("finding_key", F.col("rule_id").alias("p_rule"), F.col("rule_version").alias("p_version"), F.col("status").alias("p_status"))
-    c = current.select("finding_key", F.col("status").alias("c_status"))
-    both = p.join(c, "finding_key", "full").join(F.broadcast(sure.withColumnsRenamed({"rule_id": "p_rule", "rule_version": "p_version"})), ["p_rule", "p_version"], "left")
+    p = previous.select(*by, "finding_key", F.col("rule_id").alias("p_rule"), F.col("rule_version").alias("p_version"), F.col("status").alias("p_status"))
+    c = current.select(*by, "finding_key", F.col("status").alias("c_status"))
+    both = p.join(c, [*by, "finding_key"], "full").join(sure.withColumnsRenamed({"rule_id": "p_rule", "rule_version": "p_version"}), ["p_rule", "p_version"], "left")
     change = F.when(F.col("c_status") == "suppressed", "suppressed").when(F.col("c_status").isNotNull() & (F.col("p_status").isNull() | (F.col("p_status") == "suppressed")), "added").when(F.col("c_status").isNull() & F.coalesce("sure", F.lit(False)), "resolved").when(F.col("c_status").isNotNull(), "unchanged")
-    return both.select("finding_key", change.alias("change")).filter("change is not null")
+    return both.select(*by, "finding_key", change.alias("change")).filter("change is not null")
 
 
-def exit_policy(findings: DataFrame, minimum: str, statuses: list[str]) -> DataFrame:
-    """One row, triggered: any finding of at least that severity in one of the statuses."""
+def exit_policy(findings: DataFrame, minimum: str, statuses: list[str], by: list[str] = ()) -> DataFrame:
+    """One row (one for each `by`), triggered: any finding of at least that severity in one of the statuses."""
     hit = (severity_rank(F.col("severity")) >= SEVERITIES.index(minimum)) & F.col("status").isin(*statuses)
-    return findings.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("triggered"))
+    return findings.groupBy(*by).agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("triggered"))
 
 
 def first_metric(metrics: DataFrame) -> DataFrame:

@@ -116,10 +116,10 @@ def baseline_violations(entries: DataFrame, keys: list[str]) -> DataFrame:
     return incomplete.union(double).union(unordered)
 
 
-def baseline_candidates(findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Findings that may enter a baseline: active, and every coverage row of their exact rule observed (one at least)."""
-    sure = coverage.groupBy("rule_id", "rule_version").agg(F.bool_and(F.col("status") == "observed").alias("sure")).filter("sure").drop("sure")
-    return findings.filter(F.col("status") == "active").join(sure, ["rule_id", "rule_version"], "left_semi")
+def baseline_candidates(findings: DataFrame, coverage: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Findings that may enter a baseline: active, and every coverage row of their exact rule (within `by`) observed, one at least."""
+    sure = coverage.groupBy(*by, "rule_id", "rule_version").agg(F.bool_and(F.col("status") == "observed").alias("sure")).filter("sure").drop("sure")
+    return findings.filter(F.col("status") == "active").join(sure, [*by, "rule_id", "rule_version"], "left_semi")
 
 
 def next_revision(revision: Column) -> Column:

@@ -53,12 +53,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("src/u"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), "ts")
 
 
-def findings(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """Findings of a year: customers whose orders of that year total over 400,000; suppressed where the customer owes money."""
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the report of each year (y): customers whose orders of it total over 400,000; suppressed where the customer owes money."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    total = o.filter(F.year("o_orderdate") == year).groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")).filter("total > 400000")
+    total = o.groupBy(F.year("o_orderdate").alias("y"), "o_custkey").agg(F.sum("o_totalprice").alias("total")).filter("total > 400000")
     j = total.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return j.select(F.concat(F.lit("customer|"), F.col("o_custkey").cast("string")).alias("finding_key"), F.col("c_mktsegment").alias("rule_id"), F.lit("1.0.0").alias("rule_version"), F.when(F.col("c_acctbal") < 0, "suppressed").otherwise("active").alias("status"), F.when(F.col("total") > 900000, "error").otherwise("warning").alias("severity"))
+    return j.select("y", F.concat(F.lit("customer|"), F.col("o_custkey").cast("string")).alias("finding_key"), F.col("c_mktsegment").alias("rule_id"), F.lit("1.0.0").alias("rule_version"), F.when(F.col("c_acctbal") < 0, "suppressed").otherwise("active").alias("status"), F.when(F.col("total") > 900000, "error").otherwise("warning").alias("severity"))
 
 
 #: The same tables for the SQL counterparts.

@@ -415,36 +415,38 @@ def namespaced_ids(spark, sf):
 # --- reports
 
 
-@query(sql("findings", """SELECT finding_key, rule_id, CASE WHEN c_mktsegment IS NOT NULL THEN 'suppressed' ELSE 'active' END AS status FROM find
-LEFT JOIN (SELECT 'customer|' || c_custkey AS k, c_mktsegment FROM customer WHERE c_nationkey < 5) ON k = finding_key AND c_mktsegment = rule_id WHERE y = 1997"""))
+@query(sql("findings", """SELECT y, finding_key, rule_id, CASE WHEN c_mktsegment IS NOT NULL THEN 'suppressed' ELSE 'active' END AS status FROM find
+LEFT JOIN (SELECT 'customer|' || c_custkey AS k, c_mktsegment FROM customer WHERE c_nationkey < 5) ON k = finding_key AND c_mktsegment = rule_id"""))
 def baseline_suppression(spark, sf):
     one = [F.lit("1.0.0").alias("rule_version"), F.lit("p").alias("profile_id"), F.lit("1").alias("profile_version")]
-    found = D.findings(spark, sf, 1997).select("finding_key", "rule_id", *one, F.array(F.lit("b"), F.lit("a")).alias("formula_versions"))
+    found = D.findings(spark, sf).select("y", "finding_key", "rule_id", *one, F.array(F.lit("b"), F.lit("a")).alias("formula_versions"))
     base = table(spark, sf, "customer").filter("c_nationkey < 5").select(F.concat(F.lit("customer|"), F.col("c_custkey").cast("string")).alias("finding_key"), F.col("c_mktsegment").alias("rule_id"), *one, F.array(F.lit("a"), F.lit("b")).alias("formula_versions"), F.col("c_custkey").alias("entry_id"))
-    return quality.suppress(found, base).select("finding_key", "rule_id", "status")
+    return quality.suppress(found, base).select("y", "finding_key", "rule_id", "status")
 
 
-@query(sql("findings", """, b AS (SELECT finding_key, severity AS reason, rule_id AS owner FROM find WHERE y = 1996), a AS (SELECT finding_key, severity AS reason, rule_id AS owner FROM find WHERE y = 1997)
-SELECT coalesce(b.finding_key, a.finding_key) AS finding_key, coalesce(b.reason, a.reason) AS reason, coalesce(b.owner, a.owner) AS owner,
-  CASE WHEN b.finding_key IS NULL THEN 'added' WHEN a.finding_key IS NULL THEN 'kept' WHEN a.reason = b.reason AND a.owner = b.owner THEN 'existing' ELSE 'conflict' END AS origin FROM b FULL JOIN a USING (finding_key)"""))
+#: Every year's report against the one before.
+@query(sql("findings", """, b AS (SELECT y + 1 AS y, finding_key, severity AS reason, rule_id AS owner FROM find), a AS (SELECT y, finding_key, severity AS reason, rule_id AS owner FROM find)
+SELECT y, finding_key, coalesce(b.reason, a.reason) AS reason, coalesce(b.owner, a.owner) AS owner,
+  CASE WHEN b.reason IS NULL THEN 'added' WHEN a.reason IS NULL THEN 'kept' WHEN a.reason = b.reason AND a.owner = b.owner THEN 'existing' ELSE 'conflict' END AS origin FROM b FULL JOIN a USING (y, finding_key)"""))
 def baseline_merge(spark, sf):
-    old, new = (D.findings(spark, sf, y).select("finding_key", F.col("severity").alias("reason"), F.col("rule_id").alias("owner")) for y in (1996, 1997))
-    return quality.merge_baseline(old, new)
+    new = D.findings(spark, sf).select("y", "finding_key", F.col("severity").alias("reason"), F.col("rule_id").alias("owner"))
+    return quality.merge_baseline(new.withColumn("y", F.col("y") + 1), new, ["y"])
 
 
-@query(sql("findings", """, p AS (SELECT * FROM find WHERE y = 1996), c AS (SELECT * FROM find WHERE y = 1997),
-j AS (SELECT coalesce(p.finding_key, c.finding_key) AS finding_key, p.status AS ps, c.status AS cs, p.rule_id <> 'BUILDING' AS sure FROM p FULL JOIN c USING (finding_key)),
-k AS (SELECT finding_key, CASE WHEN cs = 'suppressed' THEN 'suppressed' WHEN cs IS NOT NULL AND (ps IS NULL OR ps = 'suppressed') THEN 'added' WHEN cs IS NULL AND sure THEN 'resolved' WHEN cs IS NOT NULL THEN 'unchanged' END AS change FROM j)
+@query(sql("findings", """, p AS (SELECT * REPLACE (y + 1 AS y) FROM find), c AS (SELECT * FROM find),
+j AS (SELECT y, finding_key, p.status AS ps, c.status AS cs, p.rule_id <> 'BUILDING' AS sure FROM p FULL JOIN c USING (y, finding_key)),
+k AS (SELECT y, finding_key, CASE WHEN cs = 'suppressed' THEN 'suppressed' WHEN cs IS NOT NULL AND (ps IS NULL OR ps = 'suppressed') THEN 'added' WHEN cs IS NULL AND sure THEN 'resolved' WHEN cs IS NOT NULL THEN 'unchanged' END AS change FROM j)
 SELECT * FROM k WHERE change IS NOT NULL"""))
 def report_compare(spark, sf):
     rules = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("rule_id")).distinct()
     cov = rules.select("rule_id", F.lit("1.0.0").alias("rule_version"), F.when(F.col("rule_id") == "BUILDING", "partial").otherwise("observed").alias("status"))
-    return quality.compare_reports(D.findings(spark, sf, 1996), D.findings(spark, sf, 1997), cov)
+    f = D.findings(spark, sf)
+    return quality.compare_reports(f.withColumn("y", F.col("y") + 1), f, cov, ["y"])
 
 
-@query(sql("findings", "SELECT y = 1996 AS early, bool_or(severity = 'error' AND status = 'active') AS triggered FROM find WHERE y IN (1996, 1997) GROUP BY ALL"))
+@query(sql("findings", "SELECT y, bool_or(severity = 'error' AND status = 'active') AS triggered FROM find GROUP BY y"))
 def exit_policy(spark, sf):
-    return quality.exit_policy(D.findings(spark, sf, 1996), "error", ["active"]).select(F.lit(True).alias("early"), "triggered").unionByName(quality.exit_policy(D.findings(spark, sf, 1997), "error", ["active"]).select(F.lit(False).alias("early"), "triggered"))
+    return quality.exit_policy(D.findings(spark, sf), "error", ["active"], ["y"])
 
 
 # --- references and confidence
@@ -487,22 +489,22 @@ def debounce_groups(spark, sf):
     return stream.debounced(D.events(spark, sf), "5 hours", ["path"]).select("path", "events", "first_seq", "last_seq")
 
 
-@query(sql("events", """, c AS (SELECT DISTINCT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS group_id, path, CAST(substr(path, 6) AS BIGINT) % 10 AS s FROM ev WHERE kind = 'rename')
+@query(sql("events", """, c AS (SELECT DISTINCT CAST(date_trunc('hour', ts) AS VARCHAR)[1:13] AS group_id, path, CAST(substr(path, 6) AS BIGINT) % 10 AS s FROM ev)
 SELECT group_id, bool_or(s = 9) AS "full", CASE WHEN bool_or(s = 9) THEN '' ELSE string_agg(DISTINCT 'scope' || s, ',' ORDER BY 'scope' || s) END AS scopes FROM c GROUP BY group_id"""))
 def invalidation_plan(spark, sf):
-    e = D.events(spark, sf).filter("kind = 'rename'")
+    e = D.events(spark, sf)
     where = F.concat(F.lit("root"), (F.substring("path", 6, 20).cast("long") % 10).cast("string"), F.lit("/"), "path")
-    changed = e.select(F.date_format("ts", "yyyy-MM-dd").alias("group_id"), where.alias("path"))
+    changed = e.select(F.date_format("ts", "yyyy-MM-dd HH").alias("group_id"), where.alias("path"))
     scopes = spark.createDataFrame([(f"root{i}", f"scope{i}") for i in range(9)], "root string, scope_id string")
     return planning.invalidation(changed, scopes).withColumn("scopes", F.array_join("scopes", ","))
 
 
-@query("""WITH p AS (SELECT doc_id AS d, sha256(text) AS h FROM documents WHERE lang <> 'fr'), c AS (SELECT doc_id AS d, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE lang <> 'es')
+@query("""WITH p AS (SELECT doc_id AS d, sha256(text) AS h FROM documents WHERE lang IS DISTINCT FROM 'fr'), c AS (SELECT doc_id AS d, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE lang IS DISTINCT FROM 'es')
 SELECT 'd' || coalesce(p.d, c.d) AS path, CASE WHEN p.d IS NULL THEN 'create' WHEN c.d IS NULL THEN 'delete' ELSE 'modify' END AS kind FROM p FULL JOIN c ON p.d = c.d WHERE p.h IS DISTINCT FROM c.h""")
 def snapshot_diff(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "lang")
-    now = d.filter("lang <> 'es'").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))
-    return stream.snapshot_diff(stream.fingerprints(d.filter("lang <> 'fr'")), stream.fingerprints(now))
+    now = d.filter("not lang <=> 'es'").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    return stream.snapshot_diff(stream.fingerprints(d.filter("not lang <=> 'fr'")), stream.fingerprints(now))
 
 
 # --- knowledge bundles

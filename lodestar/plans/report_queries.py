@@ -62,11 +62,11 @@ def report_list(spark, sf):
 
 
 @query(BASE + """SELECT finding_id, CAST(c_custkey % 50 + 1 AS BIGINT) AS first_line, CAST(least(c_custkey % 50 + 1 + c_custkey % 300, c_custkey % 50 + 120) AS BIGINT) AS last_line, c_custkey % 300 >= 120 AS truncated
-FROM f JOIN customer ON subject = CAST(c_custkey AS VARCHAR) WHERE report_id = 'report:1996'""")
+FROM f JOIN customer ON subject = CAST(c_custkey AS VARCHAR)""")
 def finding_evidence(spark, sf):
     k = F.col("c_custkey")
     spans = table(spark, sf, "customer").select(k.cast("string").alias("subject"), (k % 50 + 1).alias("first_line"), (k % 50 + 1 + k % 300).alias("last_line"))
-    return reports.finding_evidence(findings(spark, sf).filter("report_id = 'report:1996'"), spans).select("finding_id", "first_line", "last_line", "truncated")
+    return reports.finding_evidence(findings(spark, sf), spans).select("finding_id", "first_line", "last_line", "truncated")
 
 
 GATE = """WITH req AS (SELECT p_brand AS rule_id, p_name AS capability, min(p_partkey) AS ord FROM part GROUP BY ALL),
@@ -104,17 +104,19 @@ def report_identity(spark, sf):
     return reports.normalized_report(findings(spark, sf))
 
 
-BAD = BASE + """, g AS (SELECT finding_id, rule_id, rule_version, CASE WHEN CAST(subject AS BIGINT) % 50 = 0 THEN 'open' ELSE status END AS status, severity FROM f WHERE report_id IN ('report:1995', 'report:1996')
-  UNION ALL SELECT finding_id, rule_id, '2.0.0', status, severity FROM f WHERE report_id = 'report:1996' AND CAST(subject AS BIGINT) % 40 = 1)"""
+BAD = BASE + """, g AS (SELECT finding_id, rule_id, rule_version, CASE WHEN CAST(subject AS BIGINT) % 50 = 0 THEN 'open' ELSE status END AS status, severity FROM f
+  UNION ALL SELECT finding_id, rule_id, '2.0.0', status, severity FROM f WHERE CAST(subject AS BIGINT) % 40 = 1)"""
 
 
 @query(BAD + """SELECT 'duplicate' AS problem, finding_id AS id FROM g GROUP BY finding_id HAVING count(*) > 1 UNION ALL SELECT 'enum', finding_id FROM g WHERE status = 'open'
-UNION ALL SELECT 'no_coverage', finding_id FROM g WHERE rule_version = '2.0.0' UNION ALL SELECT 'coverage_enum', rule_id FROM cov WHERE status = 'none'""")
+UNION ALL SELECT 'no_coverage', finding_id FROM g WHERE rule_version = '2.0.0' UNION ALL SELECT 'coverage_enum', rule_id FROM cov WHERE rule_id = 'BUILDING' AND status = 'partial'""")
 def report_validation(spark, sf):
     f = findings(spark, sf)
-    g = f.filter("report_id in ('report:1995', 'report:1996')").withColumn("status", F.when(F.col("subject").cast("long") % 50 == 0, "open").otherwise(F.col("status")))
-    other = f.filter((F.col("report_id") == "report:1996") & (F.col("subject").cast("long") % 40 == 1)).withColumn("rule_version", F.lit("2.0.0"))
-    return reports.report_violations(g.unionByName(other), coverage(spark, sf))
+    g = f.withColumn("status", F.when(F.col("subject").cast("long") % 50 == 0, "open").otherwise(F.col("status")))
+    other = f.filter(F.col("subject").cast("long") % 40 == 1).withColumn("rule_version", F.lit("2.0.0"))
+    cov = coverage(spark, sf)
+    odd = cov.withColumn("status", F.when((F.col("rule_id") == "BUILDING") & (F.col("status") == "partial"), "none").otherwise(F.col("status")))
+    return reports.report_violations(g.unionByName(other), odd)
 
 
 ENTRIES = """WITH e AS (SELECT p_brand AS baseline_id, p_partkey AS ord, 'k' || p_size AS finding_key, p_type AS rule_id, CASE WHEN p_partkey % 31 = 0 THEN '' ELSE '1.' || p_size % 3 END AS rule_version, 'profile' AS profile_id,
@@ -133,10 +135,9 @@ def baseline_validation(spark, sf):
     return reports.baseline_violations(e, ["baseline_id", "finding_key", "rule_id", "rule_version"])
 
 
-@query(BASE + "SELECT finding_id, rule_id FROM f JOIN (SELECT rule_id, rule_version FROM cov WHERE report_id = 'report:1995' AND status = 'observed') USING (rule_id, rule_version) WHERE report_id = 'report:1995' AND f.status = 'active'")
+@query(BASE + "SELECT finding_id, rule_id FROM f JOIN (SELECT report_id, rule_id, rule_version FROM cov WHERE status = 'observed') USING (report_id, rule_id, rule_version) WHERE f.status = 'active'")
 def baseline_candidates(spark, sf):
-    own = "report_id = 'report:1995'"
-    return reports.baseline_candidates(findings(spark, sf).filter(own), coverage(spark, sf).filter(own)).select("finding_id", "rule_id")
+    return reports.baseline_candidates(findings(spark, sf), coverage(spark, sf), ["report_id"]).select("finding_id", "rule_id")
 
 
 @query("""WITH r AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '1.0.' || p_size WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE '2.x' || p_size || '-rc' END AS revision FROM part)
