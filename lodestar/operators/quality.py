@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,30 +227,54 @@ class Catalog:
     def __init__(self) -> None:
         self.providers: dict[tuple[str, str], object] = {}
         self.rules: dict[tuple[str, str], object] = {}
+        self.gives: dict[tuple[str, str], frozenset[str]] = {}
+        self.needs: dict[tuple[str, str], frozenset[str]] = {}
 
     @staticmethod
     def _add(where: dict, id_: str, version: str, value: object) -> None:
         if where.setdefault((id_, version), value) is not value:
             raise ValueError(f"{id_} {version} is registered already")
 
-    def provider(self, id_: str, version: str, compute) -> None:
+    def provider(self, id_: str, version: str, compute, gives: list[str] = ()) -> None:
+        """`compute` makes metrics of a context; `gives` names them, none: any."""
         self._add(self.providers, id_, version, compute)
+        self.gives[id_, version] = frozenset(gives)
 
-    def rule(self, id_: str, version: str, evaluate) -> None:
+    def rule(self, id_: str, version: str, evaluate, needs: list[str] = ()) -> None:
+        """`evaluate` makes findings of a context and all metrics; `needs` names those that it reads, none: any."""
         self._add(self.rules, id_, version, evaluate)
+        self.needs[id_, version] = frozenset(needs)
 
-    def evaluate(self, context: dict[str, DataFrame]) -> DataFrame:
-        """All rules over the union of all providers' metrics; a provider that fails to build gives no metrics."""
-        batches = []
-        for compute in self.providers.values():
+    def run(self, context: dict[str, DataFrame]) -> tuple[DataFrame | None, list[dict], list[dict]]:
+        """Findings of all rules (None if no provider gave metrics), the rules' coverage and the diagnostics.
+
+        A provider that fails takes only its own metrics away: rules that need none of them are observed all the same, the
+        others partial where some other provider gives what they need, else not_evaluable.
+        """
+        batches, failed, diagnostics = {}, set(), []
+        for key, compute in self.providers.items():
             try:
-                batches.append(compute(context))
-            except (KeyError, ValueError):
-                continue
-        if not batches:
-            raise ValueError("no provider gave metrics")
-        metrics = reduce(DataFrame.unionByName, batches)
-        return reduce(DataFrame.unionByName, [rule(context, metrics) for rule in self.rules.values()])
+                batches[key] = compute(context)
+            except (KeyError, ValueError, TypeError, AnalysisException) as e:
+                failed.add(key)
+                diagnostics.append({"code": "provider_failed", "provider": key[0], "version": key[1], "message": f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"})
+        metrics = reduce(DataFrame.unionByName, batches.values()) if batches else None
+        coverage = []
+        for key in self.rules:
+            serve = [p for p in self.providers if not self.gives[p] or not self.needs[key] or self.gives[p] & self.needs[key]]
+            lost = [p for p in serve if p in failed]
+            status = "observed" if serve and not lost else "partial" if len(lost) < len(serve) else "not_evaluable"
+            coverage.append({"rule_id": key[0], "rule_version": key[1], "status": status, "reason": ", ".join(p[0] for p in lost)})
+        able = [self.rules[c["rule_id"], c["rule_version"]] for c in coverage if c["status"] != "not_evaluable"]
+        findings = reduce(DataFrame.unionByName, [rule(context, metrics) for rule in able]) if able and metrics is not None else None
+        return findings, coverage, diagnostics
+
+    def evaluate(self, context: dict[str, DataFrame]) -> DataFrame:
+        """The findings of run()."""
+        findings, _, diagnostics = self.run(context)
+        if findings is None:
+            raise ValueError("no provider gave metrics" + "".join(f"; {d['provider']}: {d['message']}" for d in diagnostics))
+        return findings
 
 
 def default_catalog() -> Catalog:

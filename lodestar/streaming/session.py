@@ -11,18 +11,36 @@ from pyspark.sql import functions as F
 
 
 class RevisionStore:
-    """Revisions as Parquet partitions; a revision equal to the last by its digest is not published again."""
+    """Revisions as Parquet partitions; a revision equal to the last by its digest is not published again.
+
+    A revision counts once its digest stands beside it, put in place by a rename. A store that opens a folder goes on after
+    the revisions that it finds there.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.revisions: list[str] = []
+        while self._fs.exists(self._digest(len(self.revisions) + 1)):
+            self.revisions.append(spark.read.text(self._digest(len(self.revisions) + 1).toString()).head()[0])
         self._changed = threading.Condition()
 
+    def _digest(self, revision: int):
+        return self._path(f"{self.path}/digests/{revision}.txt")
+
     def publish(self, rows: DataFrame, digest: str) -> int:
         with self._changed:
             if not self.revisions or self.revisions[-1] != digest:
                 n = len(self.revisions) + 1
-                rows.write.mode("overwrite").parquet(f"{self.path}/revision={n}")
+                rows.write.mode("overwrite").parquet(f"{self.path}/revision={n}")  # at most what died before it had its digest
+                self._fs.mkdirs(self._digest(n).getParent())
+                beside = self._path(f"{self.path}/digests/{n}.part")
+                out = self._fs.create(beside, True)
+                out.write(bytearray(digest.encode()))
+                out.close()
+                if not self._fs.rename(beside, self._digest(n)):
+                    raise OSError(f"revision {n} is there already")
                 self.revisions.append(digest)
                 self._changed.notify_all()
             return len(self.revisions)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths
-from lodestar.operators import graph, search
+from lodestar.operators import graph, quality, search
+from lodestar.streaming.session import RevisionStore
 
 
 def test_long_paths_and_cycles(spark):
@@ -32,3 +33,34 @@ def test_budgets(spark):
 def test_excluded_directories(spark):
     f = spark.createDataFrame([("a/.NOX/x",), ("tmp/y",), ("src/__pycache__/z",), ("a/b",)], "path string")
     assert {r.path for r in f.filter(~paths.in_excluded_directory(F.col("path"))).collect()} == {"src/__pycache__/z", "a/b"}
+
+
+def test_a_failed_provider_takes_only_its_own_metrics(spark):
+    metrics = spark.createDataFrame([("s1", "lines", 5), ("s1", "calls", 7)], "subject string, metric string, value long")
+    c = quality.Catalog()
+    c.provider("lines", "1", lambda ctx: ctx["m"].filter("metric = 'lines'"), ["lines"])
+    c.provider("calls", "1", lambda ctx: ctx["nothing"], ["calls", "depth"])
+    c.provider("depth", "1", lambda ctx: ctx["m"].select("no_such_column"), ["depth"])
+    for name in ("lines", "calls", "depth"):
+        c.rule(name, "1", lambda ctx, m, n=name: m.filter(m.metric == n).select("subject", "metric"), [name])
+    c.rule("any", "1", lambda ctx, m: m.select("subject", "metric"))
+    findings, coverage, diagnostics = c.run({"m": metrics})
+    assert sorted(tuple(r) for r in findings.collect()) == [("s1", "lines"), ("s1", "lines")]
+    assert {r["rule_id"]: (r["status"], r["reason"]) for r in coverage} == {"lines": ("observed", ""), "calls": ("not_evaluable", "calls"), "depth": ("not_evaluable", "calls, depth"), "any": ("partial", "calls, depth")}
+    assert [d["provider"] for d in diagnostics] == ["calls", "depth"]
+    broken = quality.Catalog()
+    broken.provider("p", "1", lambda ctx: ctx["nothing"])
+    broken.rule("r", "1", lambda ctx, m: m)
+    assert broken.run({})[0] is None and broken.run({})[1][0]["status"] == "not_evaluable"
+    with pytest.raises(ValueError, match="nothing"):
+        broken.evaluate({})
+
+
+def test_revisions_outlive_their_store(spark, tmp_path):
+    path = f"file://{tmp_path}/revisions"
+    first = RevisionStore(spark, path)
+    assert first.publish(spark.range(1), "one") == 1 and first.publish(spark.range(2), "two") == 2
+    spark.range(9).write.parquet(f"{path}/revision=3")  # died before its digest was written
+    again = RevisionStore(spark, path)
+    assert again.revisions == ["one", "two"] and again.publish(spark.range(2), "two") == 2
+    assert again.publish(spark.range(3), "three") == 3 and [again.read(n).count() for n in (1, 2, 3)] == [1, 2, 3]
