@@ -10,7 +10,7 @@ the rest in the suffix's proportions. Below all states is the distribution of si
 
 is a sum of entries (key, value): one for each known word, each state and each kept symbol. Scoring looks up the keys of
 every position. The entries of the most common keys, COMMON of them at most, are broadcast; all others are joined. Seven kinds
-of keys share the training tokens, so a key that is joined holds fewer than 7 / COMMON of them: none is hot.
+of keys share the training tokens, so a key that is joined holds about 7 / COMMON of them at most: none is hot.
 
 Counting goes level by level. The successors of contexts that pass the filter of frequent contexts are gathered per task
 as runs (context, its next symbols), dealt out by context, and summed exactly. Contexts that hold many of all tokens are
@@ -38,8 +38,9 @@ COST, PRIOR = 8.0, 2.0
 SHARD_BYTES, GATHERED = 16 << 20, 1 << 21
 #: Contexts with one in HEAVY of all tokens are split into PIECES.
 HEAVY, PIECES = 1024, 64
-#: Entries that are broadcast for scoring, those of the most common keys; all others are joined.
-COMMON = 1 << 20
+#: Entries are broadcast for scoring if their keys have one in COMMON_SHARE of all training tokens, the most common first
+#: and COMMON of them at most; all others are joined.
+COMMON, COMMON_SHARE = 1 << 20, 1 << 22
 #: Bits of the filters: about 16 a key, between these.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 U = np.uint64
@@ -384,7 +385,8 @@ def score(docs: DataFrame, tree: SuffixTree, depth: int = DEPTH) -> DataFrame:
         if held > COMMON:
             break
         limit = s
-    common = tree.entries.filter(step >= limit)
+    is_common = (step >= limit) & (F.col("weight") * COMMON_SHARE >= tree.tokens)
+    common = tree.entries.filter(is_common)
     got = common.select("key", "value", "word").toArrow()
     states = None
     if tree.states is not None and (n := tree.states.count()):
@@ -418,7 +420,7 @@ def score(docs: DataFrame, tree: SuffixTree, depth: int = DEPTH) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     asking = rows.mapInArrow(ask, "row long, key long, n int, info struct<doc_id:long,held_out:boolean,n:long,known:long,base:double,more:double>")
-    rare = tree.entries.filter(step < limit).select("key", "value", "word")
+    rare = tree.entries.filter(~is_common).select("key", "value", "word")
     met = asking.join(rare, "key", "left")
     gained = F.col("n") * F.col("value")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
