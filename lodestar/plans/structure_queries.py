@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import exports, inheritance, projection
+from lodestar.operators import exports, inheritance, projection, validation
 from lodestar.operators.index import SourceIndex
 from lodestar.operators.tables import shared_path
 from lodestar.plans import domain as D
@@ -204,3 +204,34 @@ SELECT 'r' || doc_id AS relation_id, 'k' || doc_id % 130 AS to_key, CASE WHEN n
 FROM s LEFT JOIN k ON k.key = 'k' || doc_id % 130 WHERE doc_id % 4 = 0""")
 def index_relations(spark, sf):
     return _index(spark, sf).relations().drop("from_id")
+
+
+#: Five parts are the bindings of a profile; the catalogue has the types in version 1.0.0, those with an E apart.
+VALIDATION = """WITH b AS (SELECT 'profile:' || p_partkey // 5 AS profile_id, p_partkey AS ord, p_partkey % 10 AS k, 'type:' || replace(p_type, ' ', '_') AS rule_id, CASE WHEN p_size % 9 = 0 THEN '2.0.0' WHEN p_size % 11 = 0 THEN 'two' ELSE '1.0.0' END AS rule_version,
+  p_size, contains(p_type, 'E') AS lacking, p_partkey % 7 = 0 AS fatal FROM part),
+known AS (SELECT DISTINCT rule_id FROM b WHERE NOT lacking),
+n AS (SELECT *, row_number() OVER (PARTITION BY profile_id, rule_id, rule_version ORDER BY ord) AS nth, rule_id IN (SELECT rule_id FROM known) AS named FROM b),
+c AS (SELECT *, CASE WHEN nth > 1 THEN 'duplicate_rule' WHEN rule_version = 'two' THEN 'rule_identity' WHEN NOT named THEN 'rule_unknown' WHEN rule_version = '2.0.0' THEN 'rule_unsupported' END AS code FROM n)
+SELECT profile_id, ord, code, '' AS field FROM c WHERE code IS NOT NULL
+UNION ALL SELECT profile_id, ord, 'severity', '' FROM c WHERE code IS NULL AND fatal
+UNION ALL SELECT profile_id, ord, 'payload', '' FROM c WHERE code IS NULL AND k = 6
+UNION ALL SELECT profile_id, ord, 'schema', '' FROM c WHERE code IS NULL AND k = 7
+UNION ALL SELECT profile_id, ord, 'missing_field', 'limit' FROM c WHERE code IS NULL AND k = 5
+UNION ALL SELECT profile_id, ord, 'unknown_field', 'more' FROM c WHERE code IS NULL AND k = 4
+UNION ALL SELECT profile_id, ord, 'bad_value', 'limit' FROM c WHERE code IS NULL AND (k = 3 OR k NOT IN (5, 6, 7) AND p_size > 40)"""
+
+
+@query(VALIDATION)
+def profile_problems(spark, sf):
+    k, size = F.col("p_partkey") % 10, F.col("p_size")
+    limit = F.concat(F.lit('{"limit": '), size.cast("string"), F.lit("}"))
+    payload = F.when(k == 3, '{"limit": "many"}').when(k == 4, F.concat(F.lit('{"more": [1], "limit": '), size.cast("string"), F.lit(".0}"))).when(k == 5, "{}").when(k == 6, "[1]").otherwise(limit)
+    p = table(spark, sf, "part")
+    rule_id = F.concat(F.lit("type:"), F.translate("p_type", " ", "_"))
+    version = F.when(size % 9 == 0, "2.0.0").when(size % 11 == 0, "two").otherwise("1.0.0")
+    own = F.concat(F.lit("profile:"), F.floor(F.col("p_partkey") / 5).cast("string"))
+    bindings = p.select(own.alias("profile_id"), F.col("p_partkey").alias("ord"), rule_id.alias("rule_id"), version.alias("rule_version"), F.when(F.col("p_partkey") % 7 == 0, "fatal").otherwise("").alias("severity"), F.when(k == 7, "p:other").otherwise("p:limit").alias("namespace"), F.lit("1").alias("schema_version"), payload.alias("payload"))
+    rules = p.filter(~F.contains("p_type", F.lit("E"))).select(rule_id.alias("rule_id"), F.lit("1.0.0").alias("rule_version"), F.lit("p:limit").alias("namespace"), F.lit("1").alias("schema_version")).distinct()
+    fields = rules.select("rule_id", "rule_version", F.lit("limit").alias("field"), F.lit("integer").alias("kind"), F.lit(True).alias("required"), F.lit(1.0).alias("minimum"), F.lit(40.0).alias("maximum"), F.expr("cast(null as array<string>)").alias("allowed"))
+    profiles = bindings.select("profile_id", F.lit("1.0.0").alias("profile_version"), F.lit("1.0.0").alias("schema_version")).distinct()
+    return validation.profile_problems(profiles, bindings, rules, fields)
