@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import exports, inheritance, projection, validation
 from lodestar.operators.index import SourceIndex
-from lodestar.operators.tables import shared_path
+from lodestar.operators.tables import shared_path, written
 from lodestar.plans import domain as D
 from lodestar.plans.domain import sql, table
 from lodestar.plans.queries import WITHOUT_SQL, query
-from lodestar.sources import rust, trees
+from lodestar.sources import cargo, rust, trees
 from lodestar.streaming import watch
 
 #: Every seventh supplier also names a base that does not exist, and 1 and 5 inherit from each other.
@@ -235,3 +235,36 @@ def profile_problems(spark, sf):
     fields = rules.select("rule_id", "rule_version", F.lit("limit").alias("field"), F.lit("integer").alias("kind"), F.lit(True).alias("required"), F.lit(1.0).alias("minimum"), F.lit(40.0).alias("maximum"), F.expr("cast(null as array<string>)").alias("allowed"))
     profiles = bindings.select("profile_id", F.lit("1.0.0").alias("profile_version"), F.lit("1.0.0").alias("schema_version")).distinct()
     return validation.profile_problems(profiles, bindings, rules, fields)
+
+
+#: Customers are crates below the crates folder of a workspace; one in five is excluded by its name, one in seven has no lib.rs.
+CARGO = """WITH c AS (SELECT c_custkey AS id, 'crates/' || CASE WHEN c_custkey % 5 = 0 THEN 'old' ELSE 'c' END || c_custkey AS folder, 'p' || c_custkey AS package, c_nationkey, c_custkey % 7 = 0 AS bare FROM customer)"""
+
+
+def _cargo_files(spark, sf):
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    folder = F.concat(F.lit("crates/"), F.when(k % 5 == 0, "old").otherwise("c"), key)
+    bins = F.when(k % 3 == 0, F.concat(F.lit('[[bin]]\nname = "tool'), key, F.lit('"\n'))).otherwise("")
+    needs = F.concat(F.lit("[dependencies]\nshared = { workspace = true, features = ['n"), F.col("c_nationkey").cast("string"), F.lit("'] }\nown = '"), (k % 4).cast("string"), F.lit("'\n"))
+    manifest = F.concat(F.lit('[package]\nname = "p'), key, F.lit('"\n'), bins, needs)
+    c = table(spark, sf, "customer")
+    part = lambda where, name, content: c.filter(where).select(F.concat(folder, F.lit("/"), name).alias("path"), content.alias("content"))
+    root = spark.range(1).select(F.lit("Cargo.toml").alias("path"), F.lit('[workspace]\nmembers = ["crates/*"]\nexclude = ["crates/old*"]\n[workspace.dependencies]\nshared = { version = "9", path = "crates/c1", features = ["base"] }\n').alias("content"))
+    tool = F.concat(F.lit("src/bin/tool"), key, F.lit(".rs"))
+    return root.unionByName(part("true", F.lit("Cargo.toml"), manifest)).unionByName(part("c_custkey % 7 <> 0", F.lit("src/lib.rs"), F.lit(""))).unionByName(part("c_custkey % 6 = 0", tool, F.lit(""))).unionByName(part("c_custkey % 4 = 1", F.lit("src/main.rs"), F.lit("")))
+
+
+@query(CARGO + """ SELECT folder, package AS name, 'lib' AS kind, folder || '/src/lib.rs' AS file FROM c WHERE NOT bare UNION ALL SELECT folder, 'tool' || id, 'bin', folder || '/src/bin/tool' || id || '.rs' FROM c WHERE id % 6 = 0
+UNION ALL SELECT folder, package, 'bin', folder || '/src/main.rs' FROM c WHERE id % 4 = 1 AND id % 3 <> 0""")
+def cargo_targets(spark, sf):
+    files = _cargo_files(spark, sf)
+    return cargo.targets(cargo.manifests(files), files)[0].drop("package")
+
+
+@query(CARGO + """, m AS (SELECT *, id % 5 <> 0 AS member FROM c)
+SELECT folder, 'shared' AS name, CASE WHEN member THEN '9' END AS version, CASE WHEN member THEN 'crates/c1' END AS folder_used, CASE WHEN member THEN 'base,n' || c_nationkey ELSE 'n' || c_nationkey END AS features FROM m
+UNION ALL SELECT folder, 'own', CAST(id % 4 AS VARCHAR), NULL, '' FROM m""")
+def cargo_dependencies(spark, sf):
+    found = written(cargo.manifests(_cargo_files(spark, sf)))
+    return cargo.dependencies(found, cargo.workspace_members(found)[0]).select("folder", "name", "version", "folder_used", F.array_join("features", ",").alias("features"))
