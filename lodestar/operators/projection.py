@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.tables import written
 
 #: Budgets where none is given, and the most that may be asked for.
 NODES, RELATIONSHIPS, MOST_NODES, MOST_RELATIONSHIPS = 1000, 10_000, 3000, 30_000
+COUNTS = "visible_nodes long, hidden_nodes long, visible_relationships long, hidden_relationships long, nodes_cut boolean, relationships_cut boolean, status string"
 
 
 class Projection(NamedTuple):
@@ -68,8 +69,8 @@ def bounded_projection(concepts: DataFrame, parents: DataFrame, relationships: D
     shown = written(paths.filter("visible").orderBy("path").limit(n_nodes))  # MOST_NODES rows at most
     in_order = Window.orderBy("path")
     nodes = shown.select("id", "depth", (F.row_number().over(in_order) - 1).alias("place"))
-    last = shown.agg(F.count("*").alias("n"), F.max("path").alias("last"))
-    cut = paths.join(F.broadcast(last)).filter(F.col("n") == n_nodes).agg(F.coalesce(F.bool_or(F.col("path") > F.col("last")), F.lit(False)).alias("nodes_cut"))
+    n_shown, last = shown.agg(F.count("*"), F.max("path")).head()
+    nodes_cut = n_shown == n_nodes and not paths.filter(F.col("path") > F.array(*[F.lit(x) for x in last])).isEmpty()
     ends = F.broadcast(shown.select("id"))
     enabled = F.when(F.col("contains"), F.lit(containment)).otherwise(F.lit(semantic))
     between = relationships.filter(enabled)
@@ -78,13 +79,8 @@ def bounded_projection(concepts: DataFrame, parents: DataFrame, relationships: D
     between = written(between.select("kind", "relationship_id", "src", "dst"))
     kept = written(between.orderBy("kind", "relationship_id").limit(n_edges))  # MOST_RELATIONSHIPS rows at most
     edges = kept.withColumn("place", F.row_number().over(Window.orderBy("kind", "relationship_id")) - 1)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [count(shown, "visible_nodes"), count(concepts, "all_nodes"), count(kept, "visible_relationships"), count(between, "possible"), count(relationships, "all_relationships"), cut]
-    one = parts[0]
-    for part in parts[1:]:  # each is one row
-        one = one.join(F.broadcast(part))
-    status: Column = F.when(F.col("nodes_cut") | F.col("relationships_cut"), "truncated").otherwise("ready")
-    counts = one.withColumn("relationships_cut", F.col("possible") > n_edges).select(
-        "visible_nodes", (F.col("all_nodes") - F.col("visible_nodes")).alias("hidden_nodes"), "visible_relationships", (F.col("all_relationships") - F.col("visible_relationships")).alias("hidden_relationships"), "nodes_cut", "relationships_cut", status.alias("status")
-    )
+    n_kept, n_between, n_all, n_concepts = (df.count() for df in (kept, between, relationships, concepts))
+    edges_cut = n_between > n_edges
+    row = (n_shown, n_concepts - n_shown, n_kept, n_all - n_kept, nodes_cut, edges_cut, "truncated" if nodes_cut or edges_cut else "ready")
+    counts = concepts.sparkSession.createDataFrame([row], COUNTS)
     return Projection(nodes, edges, counts, [*notes, *more])
