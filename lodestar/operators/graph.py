@@ -193,25 +193,31 @@ class Descendants:
         closes = (a == b) | self.reach(b, a)
         return closes, ~closes & self.reach(a, b)
 
-    def keep(self, a: int, b: int) -> None:
-        more = self.bits[b].copy()
-        more[b >> 6] |= np.uint64(1 << (b & 63))
-        above = np.flatnonzero(self.bits[:, a >> 6] >> np.uint64(a & 63) & np.uint64(1))
-        self.bits[np.append(above, a)] |= more
+    def keep(self, a: int, b: np.ndarray) -> None:
+        """Edges from a to each of b, none of which reaches a."""
+        more = np.bitwise_or.reduce(self.bits[b], axis=0)
+        np.bitwise_or.at(more, b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+        if (more & ~self.bits[a]).any():
+            above = np.flatnonzero(self.bits[:, a >> 6] >> np.uint64(a & 63) & np.uint64(1))
+            self.bits[np.append(above, a)] |= more
 
     def greedy(self, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
-        """Which edges, taken in this order, close a cycle; the others are kept."""
+        """Which edges, taken in this order, close a cycle; the others are kept.
+
+        Edges that leave one vertex do not change what reaches it, so a run of edges with one source is judged at once.
+        """
         closed = np.zeros(len(a), bool)
         for s in range(0, len(a), chunk):
             x, y = a[s : s + chunk], b[s : s + chunk]
             closes, idle = self.decided(x, y)
             closed[s : s + chunk] = closes
-            for i in np.flatnonzero(~(closes | idle)).tolist():
-                p, q = int(x[i]), int(y[i])
-                if self.bits[q, p >> 6] >> np.uint64(p & 63) & np.uint64(1):
-                    closed[s + i] = True
-                elif not self.bits[p, q >> 6] >> np.uint64(q & 63) & np.uint64(1):
-                    self.keep(p, q)
+            left = np.flatnonzero(~(closes | idle))
+            for run in np.split(left, np.flatnonzero(np.diff(x[left])) + 1) if len(left) else ():
+                p, q = int(x[run[0]]), y[run]
+                shut = self.reach(q, np.full(len(q), p))
+                closed[s + run[shut]] = True
+                if not shut.all():
+                    self.keep(p, q[~shut])
         return closed
 
 
