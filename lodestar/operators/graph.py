@@ -364,19 +364,63 @@ def _small_layers(vertices: DataFrame, e: DataFrame) -> DataFrame:
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
+def longest_paths(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Layers of an acyclic graph of edges a to b (vertices numbered from 0): above all their targets', and `low` at least."""
+    n, order = len(low), np.argsort(b, kind="stable")
+    into, first = a[order], np.searchsorted(b[order], np.arange(n + 1))
+    left, layer, done = np.bincount(a, minlength=n), low.copy(), 0
+    todo = np.flatnonzero(left == 0)
+    while len(todo):
+        done += len(todo)
+        counts = first[todo + 1] - first[todo]
+        s = into[np.repeat(first[todo] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        np.maximum.at(layer, s, np.repeat(layer[todo], counts) + 1)
+        np.subtract.at(left, s, 1)
+        s = np.unique(s)
+        todo = s[left[s] == 0]
+    if done < n:
+        raise ValueError("edges without their feedback edges hold a cycle")
+    return layer
+
+
+def _large_layers(vertices: DataFrame, e: DataFrame, small: int) -> DataFrame:
+    """Rounds over ranges of at most about `small` edges in order of the layers found so far: a task carries layers along
+    all paths within its range, so a round lifts a vertex over many edges, not over one, and ranges follow the paths
+    better with each round. Layers only rise and every edge is looked at in each round: when none rises, all are right."""
+    kind = vertices.schema["id"].dataType.simpleString()
+    parts = -(-e.count() // max(1, small))
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    layer = written(ends.withColumn("layer", F.lit(0)))
+    n = layer.count()
+
+    def solve(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(some) or [pd.DataFrame(columns=["src", "dst", "ls", "ld"])], ignore_index=True)
+        if pdf.empty:
+            return
+        at, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
+        low = np.zeros(len(names), np.int64)
+        low[at] = np.concatenate([pdf["ls"], pdf["ld"]])
+        found = longest_paths(at[: len(pdf)], at[len(pdf) :], low)
+        yield pd.DataFrame({"id": names[found > low], "to": found[found > low]})
+
+    while True:
+        known = e.join(layer.select(F.col("id").alias("src"), F.col("layer").alias("ls")), "src").join(layer.select(F.col("id").alias("dst"), F.col("layer").alias("ld")), "dst")
+        dealt = known.select("src", "dst", "ls", "ld").repartitionByRange(parts, "ls", "src", "dst")
+        up = written(dealt.mapInPandas(solve, f"id {kind}, to int").groupBy("id").agg(F.max("to").alias("to")))
+        highest = up.agg(F.max("to")).head()[0]
+        if highest is None:
+            return vertices.select("id").join(layer, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
+        if highest >= n:
+            raise ValueError("edges without their feedback edges hold a cycle")
+        layer = written(layer.join(up, "id", "left").select("id", F.coalesce("to", "layer").alias("layer")))
+
+
 def dependency_layers(vertices: DataFrame, edges: DataFrame, feedback: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(id, layer): 0 without outgoing edges, else one more than the highest target; feedback edges do not count."""
     e = written(edges.join(feedback.select("edge_id"), "edge_id", "left_anti").filter("src <> dst").select("src", "dst").distinct())
     if e.limit(small + 1).count() <= small:
         return _small_layers(vertices, e)
-    layer = written(vertices.select("id", F.lit(0).alias("layer")))
-    for _ in range(vertices.count() + 1):
-        up = e.join(layer.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("to"))
-        after = written(layer.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("to", F.lit(0))).alias("layer"), (F.coalesce("to", F.lit(0)) > F.col("layer")).alias("moved")))
-        layer = after.select("id", "layer")
-        if after.filter("moved").isEmpty():
-            return layer
-    raise ValueError("edges without their feedback edges hold a cycle")
+    return _large_layers(vertices, e, small)
 
 
 def layered_layout(layers: DataFrame, label: str, dx: int = 240, dy: int = 96) -> DataFrame:
