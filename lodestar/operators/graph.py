@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.tables import written
+from lodestar.operators.tables import join_large_groups, written
 
 #: Edges up to which a graph goes to one task.
 SMALL_EDGES = 1_000_000
 #: Vertices up to which feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
 BIT_VERTICES = 1 << 14
+#: Edges that a task reduces at a time.
+CHUNK_EDGES = 500_000
 #: Edges of a larger component that one task takes at a time.
 BATCH_EDGES = 200_000
 
@@ -58,8 +60,8 @@ def hierarchy_projection(nodes: DataFrame, edges: DataFrame, selected: list[str]
     return members, ends.groupBy("src_node", "dst_node").agg(F.count_distinct("edge_id").alias("n"), F.array_sort(F.collect_set("edge_id")).alias("edge_ids"))
 
 
-def reachability(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, id) for every vertex reached from each start (column id), itself included; semi-naive rounds."""
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id) for every vertex reached from each start (column id), itself included; semi-naive rounds over all edges."""
     e = edges.select("src", "dst").distinct()
     seen = written(starts.select(F.col("id").alias("start"), "id").distinct())
     frontier = seen
@@ -70,6 +72,23 @@ def reachability(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
+def reachability(edges: DataFrame, starts: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """As `reached`, for graphs with cycles: strongly connected vertices reach the same, so rounds run over components, and
+    each pair of components gives the pairs of its members once. (Where too many edges are left for one task, only the
+    components of one round of colouring are told; the others' vertices stand alone, which changes nothing but the work.)"""
+    e, fits = _reduced_to(written(edges.select("src", "dst").filter("src <> dst").distinct()), small)
+    begin = starts.select("id").filter("id is not null").distinct()
+    every = begin.unionByName(e.select(F.col("src").alias("id"))).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    of = written(_components(every, e, fits, 1))
+    low, high = (of.select(F.col("id").alias(k), F.col("component").alias(c)) for k, c in (("src", "a"), ("dst", "b")))
+    between = written(e.join(low, "src").join(high, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    begin = written(begin.join(of, "id"))
+    pairs = reached(between, begin.select(F.col("component").alias("id")).distinct())
+    out = join_large_groups(begin, pairs.select(F.col("start").alias("component"), F.col("id").alias("to")), "component", "id").select(F.col("id").alias("start"), "to")
+    out = join_large_groups(out, of.select("id", F.col("component").alias("to")), "to", "start").select("start", "id")
+    return out.unionByName(starts.filter("id is null").select(F.col("id").alias("start"), "id").distinct())
+
+
 def bounded_traversal(children: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(id, depth): vertices within `depth` steps of a root, at the depth of their first visit."""
     seen = written(roots.select("id").distinct().withColumn("depth", F.lit(0)))
@@ -120,12 +139,63 @@ def tarjan(vertices: list, out: dict) -> list[list]:
     return sorted(found)
 
 
+def _reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fewer edges that reach the same: a ring through each component of these edges, and what leads from one to another."""
+    out: dict = {}
+    for s, d in pdf[["src", "dst"]].itertuples(index=False):
+        out.setdefault(s, []).append(d)
+        out.setdefault(d, [])
+    of, rings = {}, []
+    for part in tarjan(list(out), out):
+        of.update(dict.fromkeys(part, part[0]))
+        if len(part) > 1:
+            rings += zip(part, part[1:] + part[:1], strict=True)
+    rings += {(of[s], of[d]) for s, ends in out.items() for d in ends if of[s] != of[d]}
+    return pd.DataFrame(rings, columns=["src", "dst"]).astype(pdf.dtypes[["src", "dst"]].to_dict())
+
+
+def thinned(e: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
+    """Edges (src, dst) over the same vertices that reach the same, self-edges apart: each task reduces its own, `chunk` at a time."""
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in parts:
+            held, n = [*held, pdf], n + len(pdf)
+            if n >= chunk:
+                one = _reduced(pd.concat(held, ignore_index=True))
+                held, n = ([one], len(one)) if 2 * len(one) <= chunk else ([], 0)
+                if not held:
+                    yield one
+        if held:
+            yield _reduced(pd.concat(held, ignore_index=True))
+
+    return e.select("src", "dst").filter("src <> dst").mapInPandas(solve, e.select("src", "dst").schema)
+
+
+def _reduced_to(e: DataFrame, small: int, chunk: int = CHUNK_EDGES) -> tuple[DataFrame, bool]:
+    """Edges that reach the same as the distinct edges `e`, and whether there are `small` of them at most; reduced by all tasks,
+    then by ever fewer as long as that leaves half of them or less."""
+    n = e.count()
+    while n > small:
+        e = written(thinned(e, chunk).distinct())
+        before, n = n, e.count()
+        if n > small and 2 * n > before:
+            return e, False
+        e = e.repartition(max(1, -(-n // small)), "src") if n > small else e
+    return e, True
+
+
 def strong_components(vertices: DataFrame, edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(id, component): component is the least id of the vertex's strongly connected component."""
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
-    if e.limit(small + 1).count() <= small:
+    e = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    return _components(vertices, *_reduced_to(e, small))
+
+
+def _components(vertices: DataFrame, e: DataFrame, fits: bool, rounds: int | None = None) -> DataFrame:
+    if fits:
         return _small_components(vertices, e)
-    return _large_components(vertices, e)
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    found = _large_components(ends, e, rounds)
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _small_components(vertices: DataFrame, e: DataFrame) -> DataFrame:
@@ -143,11 +213,14 @@ def _small_components(vertices: DataFrame, e: DataFrame) -> DataFrame:
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _large_components(vertices: DataFrame, e: DataFrame) -> DataFrame:
-    """Colouring: the least id that reaches a vertex is its colour; what a colour's own vertex is reached from, within the colour, is a component."""
+def _large_components(vertices: DataFrame, e: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Colouring: the least id that reaches a vertex is its colour; what a colour's own vertex is reached from, within the colour, is a component.
+
+    After `rounds`, if given, the vertices that are left stand alone."""
     left, done = written(vertices.select("id").distinct()), None
     e = written(e)
-    while not left.isEmpty():
+    while rounds != 0 and not left.isEmpty():
+        rounds = None if rounds is None else rounds - 1
         colour = written(left.withColumn("c", F.col("id")))
         while True:
             pushed = colour.select(F.col("id").alias("src"), "c").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("p"))
@@ -169,7 +242,8 @@ def _large_components(vertices: DataFrame, e: DataFrame) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         left = written(left.join(seen.select("id"), "id", "left_anti"))
         e = written(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
-    return done if done is not None else vertices.select("id", F.col("id").alias("component"))
+    alone = left.select("id", F.col("id").alias("component"))
+    return done.unionByName(alone) if done is not None else alone
 
 
 def cycle_groups(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -329,7 +403,7 @@ def _batched_over_joins(rest: DataFrame, batch: int, kind: str) -> list[DataFram
         if kept is not None:
             first_id = F.lit(first.head()["edge_id"])  # any number: only edges that ask are told apart
             ends = first.select(F.col("src").alias("id")).unionByName(first.select(F.col("dst").alias("id"))).distinct()
-            pairs = reachability(kept, ends).filter("start <> id").join(ends, "id", "left_semi")
+            pairs = reached(kept, ends).filter("start <> id").join(ends, "id", "left_semi")
             asking = asking.unionByName(pairs.select(first_id.alias("edge_id"), F.col("start").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("asks")))
         solved = written(asking.coalesce(1).mapInPandas(solve, first.withColumn("closes", F.lit(False)).schema))
         found.append(solved.filter("closes").select("edge_id"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a key from which a join deals them out.
+LARGE_GROUP = 1000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,3 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_large_groups(many: DataFrame, few: DataFrame, key: str, by: str, large: int = LARGE_GROUP) -> DataFrame:
+    """many JOIN few on `key`, where keys repeat on both sides: what a key with `large` rows or more in `few` meets in `many`
+    is dealt out by a hash of column `by`, and its rows in `few` are repeated for each share."""
+    shares = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = few.groupBy(key).agg((F.count("*") >= large).alias("__large"))
+    share = F.when(F.col("__large"), F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(F.lit(0).cast("long"))
+    all_shares = F.when(F.col("__large"), F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = many.join(counted, key).withColumn("__share", share).drop("__large")
+    right = few.join(counted, key).withColumn("__share", F.explode(all_shares)).drop("__large")
+    return left.join(right, [key, "__share"]).drop("__share")

@@ -40,3 +40,47 @@ def test_layers_tell_a_cycle(spark):
     for small in (1, 100):
         with pytest.raises(Exception, match="hold a cycle"):
             graph.dependency_layers(v, e, e.select("edge_id").limit(0), small=small).collect()
+
+
+def cyclic(seed):
+    """Two rings with chords, a third that both lead to, and a path of single vertices out of it; edges repeat."""
+    r = random.Random(seed)
+    pairs = [(x, 20 * k + (x + 1) % 20) for k in range(3) for x in range(20 * k, 20 * k + 20)]
+    pairs += [(20 * k + a, 20 * k + b) for k in range(3) for a, b in (r.sample(range(20), 2) for _ in range(90))]
+    return pairs + [(3, 45), (25, 50), (55, 100), *((x, x + 1) for x in range(100, 104)), (7, 7), (3, 45)]
+
+
+def paths(pairs, starts):
+    out, got = {}, set()
+    for s, d in pairs:
+        out.setdefault(s, set()).add(d)
+    for a in starts:
+        seen, todo = {a}, [a]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        got |= {(a, x) for x in seen}
+    return got
+
+
+@pytest.mark.parametrize("small", [1_000_000, 100, 1])
+def test_reachability_joins_components_not_edges(spark, monkeypatch, small):
+    """Rounds used to carry every start over every edge; now a ring is one vertex and no round holds pairs of its members."""
+    pairs, starts = cyclic(1), [*range(0, 60, 3), 102, 500]
+    largest = []
+    plain = graph.reached
+    monkeypatch.setattr(graph, "reached", lambda e, s: largest.append(e.count()) or plain(e, s))
+    got = graph.reachability(frame(spark, pairs), spark.createDataFrame([(x,) for x in [*starts, 3]], "id long"), small=small).collect()
+    assert sorted(map(tuple, got)) == sorted(paths(pairs, starts))
+    assert max(largest) <= 8 or small == 1  # one round of colouring leaves some rings open
+
+
+def test_thinned_edges_reach_the_same(spark):
+    pairs = cyclic(2)
+    every = sorted({x for p in pairs for x in p})
+    for chunk in (30, 1000):
+        thin = [tuple(x) for x in graph.thinned(frame(spark, pairs).coalesce(1), chunk).collect()]
+        assert paths(thin, every) == paths(pairs, every)
+        assert len(thin) < len(pairs)
+    assert {x.id: x.component for x in graph.strong_components(spark.range(62).toDF("id"), frame(spark, pairs), small=80).collect()} == {x: x // 20 * 20 if x < 60 else x for x in range(62)}
