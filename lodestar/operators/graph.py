@@ -19,6 +19,8 @@ from lodestar.operators.tables import join_large_groups, written
 SMALL_EDGES = 1_000_000
 #: Vertices up to which feedback edges are found over one set of descendants per vertex, as bits (32 MiB).
 BIT_VERTICES = 1 << 14
+#: Edges of a pair of nodes that a task collects at a time, about.
+CHUNK_ROWS = 200_000
 #: Edges that a task reduces at a time.
 CHUNK_EDGES = 500_000
 #: Edges of a larger component that one task takes at a time.
@@ -46,18 +48,30 @@ def merged_edges(observations: DataFrame, keys: list[str], evidence: str) -> Dat
     return observations.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(evidence)).alias("evidence"))
 
 
+def projected_chunks(nodes: DataFrame, edges: DataFrame, selected: list[str], rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(node, members) and (src_node, dst_node, chunk, edge_ids): the distinct edges of each pair of nodes, sorted, in chunks
+    that follow one another; a pair's edges are sorted and collected by many tasks, however few pairs there are."""
+    depth = len(selected)
+    inside = nodes.filter(F.slice("hierarchy", 1, depth) == F.lit(selected)) if depth else nodes
+    placed = written(inside.filter(F.size("hierarchy") > depth).select("id", F.array_join(F.slice("hierarchy", 1, depth + 1), "/").alias("node")))
+    members = placed.groupBy("node").agg(F.count("*").alias("members"))
+    ends = edges.join(placed.select(F.col("id").alias("src"), F.col("node").alias("src_node")), "src").join(placed.select(F.col("id").alias("dst"), F.col("node").alias("dst_node")), "dst")
+    keys = ["src_node", "dst_node", "edge_id"]
+    ends = written(ends.select(*keys))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ends.count() // rows))
+    dealt = ends.repartitionByRange(parts, *keys).dropDuplicates().withColumn("chunk", F.spark_partition_id())
+    return members, dealt.groupBy("src_node", "dst_node", "chunk").agg(F.sort_array(F.collect_list("edge_id")).alias("edge_ids"))
+
+
 def hierarchy_projection(nodes: DataFrame, edges: DataFrame, selected: list[str]) -> tuple[DataFrame, DataFrame]:
     """The view one level below `selected`: nodes (id, hierarchy) fold to their prefix, edges are re-keyed and merged.
 
     Returns (node, members) and (src_node, dst_node, n, edge_ids); edges within a node are kept as its own, edges with
     an end outside the selection are left out.
     """
-    depth = len(selected)
-    inside = nodes.filter(F.slice("hierarchy", 1, depth) == F.lit(selected)) if depth else nodes
-    placed = inside.filter(F.size("hierarchy") > depth).select("id", F.array_join(F.slice("hierarchy", 1, depth + 1), "/").alias("node"))
-    members = placed.groupBy("node").agg(F.count("*").alias("members"))
-    ends = edges.join(placed.select(F.col("id").alias("src"), F.col("node").alias("src_node")), "src").join(placed.select(F.col("id").alias("dst"), F.col("node").alias("dst_node")), "dst")
-    return members, ends.groupBy("src_node", "dst_node").agg(F.count_distinct("edge_id").alias("n"), F.array_sort(F.collect_set("edge_id")).alias("edge_ids"))
+    members, chunks = projected_chunks(nodes, edges, selected)
+    merged = chunks.groupBy("src_node", "dst_node").agg(F.sum(F.size("edge_ids")).alias("n"), F.array_sort(F.collect_list(F.struct("chunk", "edge_ids"))).alias("chunks"))
+    return members, merged.select("src_node", "dst_node", "n", F.flatten("chunks.edge_ids").alias("edge_ids"))
 
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -84,3 +84,22 @@ def test_thinned_edges_reach_the_same(spark):
         assert paths(thin, every) == paths(pairs, every)
         assert len(thin) < len(pairs)
     assert {x.id: x.component for x in graph.strong_components(spark.range(62).toDF("id"), frame(spark, pairs), small=80).collect()} == {x: x // 20 * 20 if x < 60 else x for x in range(62)}
+
+
+def test_projection_in_chunks(spark):
+    """The edges of one pair of nodes are collected by many tasks, none of them more than its chunk; they used to go to one."""
+    r = random.Random(4)
+    rows = [(r.randrange(10**6), r.randrange(40), r.randrange(50)) for _ in range(600)]
+    rows += rows[:50]
+    e = spark.createDataFrame(rows, "edge_id long, src long, dst long").repartition(3)
+    nodes = spark.createDataFrame([(x, ["a" if x % 2 else "b", str(x)]) for x in range(45)] + [(45, [])], "id long, hierarchy array<string>")
+    want = {}
+    for k, s, d in rows:
+        if d < 45:
+            want.setdefault(("ba"[s % 2], "ba"[d % 2]), set()).add(k)
+    members, chunks = graph.projected_chunks(nodes, e, [], 30)
+    assert {x.node: x.members for x in members.collect()} == {"a": 22, "b": 23}
+    got = chunks.collect()
+    assert len(got) > 10 and max(len(x.edge_ids) for x in got) < 100
+    merged = graph.hierarchy_projection(nodes, e, [])[1].collect()
+    assert {(x.src_node, x.dst_node): (x.n, x.edge_ids) for x in merged} == {k: (len(v), sorted(v)) for k, v in want.items()}
