@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.operators import graph
+from lodestar.operators import graph, scene
+from lodestar.plans import domain as D
+from lodestar.plans.queries import WITHOUT_SQL
 
 
 def counted(monkeypatch):
@@ -155,3 +159,36 @@ def test_giant_components_in_few_rounds(spark, monkeypatch):
     got = graph.feedback_edges(c, e, small=100, bit_vertices=40, batch=200).collect()
     assert sorted(x.edge_id for x in got) == sorted([*gone, *(len(pairs) + k for k in gone)])
     assert len(seen) < 16
+
+
+def test_components_by_colours_are_tarjans():
+    r = random.Random(11)
+    for _ in range(60):
+        n, m = r.randrange(1, 40), r.randrange(80)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        out = {v: [d for s, d in pairs if s == v] for v in range(n)}
+        want = {v: part[0] for part in graph.tarjan(list(out), out) for v in part}
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        for rounds, steps in ((4, 40), (4, 2), (1, 40), (0, 0)):
+            assert dict(enumerate(graph.least_members(n, a, b, rounds, steps).tolist())) == want
+
+
+def test_components_without_a_shuffle_of_all_edges(spark, monkeypatch):
+    """All edges used to be made distinct and written before any was left out."""
+    e = frame(spark, cyclic(3) * 3)
+    sizes, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: sizes.append((out := write(df)).count()) or out)
+    got = graph.strong_components(spark.range(62).toDF("id"), e).collect()
+    assert {x.id: x.component for x in got} == {x: x // 20 * 20 if x < 60 else x for x in range(62)}
+    assert max(sizes) < len(set(cyclic(3)))
+
+
+def test_visible_edges_of_feedback_edges(spark, sf_dir):
+    """The state of each pair of nodes is the same with and without what the greedy pass tells."""
+    e, at = D.all_edges(spark, sf_dir).cache(), D.modules(spark, sf_dir).select("id", F.col("hierarchy")[0].alias("node"))
+    c = graph.strong_components(D.vertices(spark, sf_dir), e).cache()
+    flag = graph.feedback_edges(c, e).withColumn("feedback", F.lit(True))
+    full = graph.with_components(c, e).join(flag, "edge_id", "left").select("edge_id", F.lit("x").alias("type"), "src", "dst", (F.col("cs") == F.col("cd")).alias("cyclic"), F.coalesce("feedback", F.lit(False)).alias("feedback"))
+    want = sorted(map(tuple, scene.visible_edges(full, at).drop("type").collect()))
+    assert full.filter("feedback and not cyclic").isEmpty() and not full.filter("feedback").isEmpty()
+    assert sorted(map(tuple, WITHOUT_SQL["visible_edges"](spark, sf_dir).collect())) == want
