@@ -22,10 +22,12 @@ def cycle_state(cyclic: Column, feedback: Column) -> Column:
     return F.when(F.coalesce(F.bool_or(cyclic), F.lit(False)), "cycle").when(F.coalesce(F.bool_or(feedback), F.lit(False)), "feedback").otherwise("none")
 
 
-def visible_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    """Edges (edge_id, type, src, dst, cyclic, feedback) folded onto nodes; a node's own edges are summarised unless cyclic."""
+def visible_edges(edges: DataFrame, placed: DataFrame, unique: bool = False) -> DataFrame:
+    """Edges (edge_id, type, src, dst, cyclic, feedback) folded onto nodes; a node's own edges are summarised unless cyclic.
+
+    Where the caller knows that each edge_id has one row (`unique`), edges are counted where they lie."""
     ends = edges.join(placed.select(F.col("id").alias("src"), F.col("node").alias("src_node")), "src").join(placed.select(F.col("id").alias("dst"), F.col("node").alias("dst_node")), "dst")
-    out = ends.groupBy("type", "src_node", "dst_node").agg(F.count_distinct("edge_id").alias("n"), cycle_state(F.col("cyclic"), F.col("feedback")).alias("state"))
+    out = ends.groupBy("type", "src_node", "dst_node").agg((F.count if unique else F.count_distinct)("edge_id").alias("n"), cycle_state(F.col("cyclic"), F.col("feedback")).alias("state"))
     return out.withColumn("summary", (F.col("src_node") == F.col("dst_node")) & (F.col("state") != "cycle"))
 
 
