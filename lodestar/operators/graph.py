@@ -27,6 +27,8 @@ CHUNK_EDGES = 500_000
 BROADCAST_ROWS = 200_000
 #: Edges of a larger component that one task takes at a time, and different sources among them.
 BATCH_EDGES, BLOCK = 1_000_000, 2048
+#: Of a vertex's edges that are sure to be kept, so many decide others where they lie.
+NEAR = 8
 
 
 def coupling(vertices: DataFrame, edges: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -478,25 +480,26 @@ def greedy_pass(components: DataFrame, edges: DataFrame, small: int = SMALL_EDGE
     """(edge_id, src, dst, closes): the edges within components that a greedy pass in edge_id order leaves out, and of those that it
     keeps enough to reach the same; written.
 
-    Components of at most `small` edges are solved in parallel, one task each. The edges of larger ones are cut into stretches
+    Components of at most `small` edges are solved in parallel, one task each. Of larger ones most edges are decided where they lie
+    (see `_sorted_out`); if more than `small` are left, they are cut into stretches
     of `batch` edges and of `bit_vertices` / 2 and BLOCK sources at most, one round each for all components: a task gets a stretch and
     what reaches the same as all that was kept before (see `judged`). An edge is kept for certain if its target has no edges of its
     own until a later stretch; it waits for that one, so that no task gets it twice. Where edges of few vertices
     (`bit_vertices`) change their sources so often that there would be many more stretches than batches, batches go over a matrix of bits.
-    Edges and components are read twice: written ones, best.
+    Edges and components are read several times: written ones, best.
     """
     kind, end = (edges.schema[c].dataType.simpleString() for c in ("edge_id", "src"))
     out = f"edge_id {kind}, src {end}, dst {end}, closes boolean"
     block = max(1, min(BLOCK, bit_vertices // 2))
     inner = with_components(components, edges).filter("cs = cd").select("cs", "edge_id", "src", "dst")
-    sizes = written(inner.groupBy("cs").agg(F.count("*").alias("n")))
-    giant = sizes.filter(F.col("n") > small).select("cs")  # fewer than edges / small of them
+    sources = written(inner.groupBy("cs", F.col("src").alias("id")).agg(F.min("edge_id").alias("first"), F.count("*").alias("n")))
+    giant = _giants(sources, small)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("edge_id")
         at, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
         a, b = at[: len(pdf)], at[len(pdf) :]
-        if len(names) <= bit_vertices:
+        if len(names) <= bit_vertices and (np.diff(a) != 0).sum() > 4 * len(names):  # sources in no order
             own = Descendants(len(names))
             closed = own.greedy(a, b)
             held = np.flatnonzero(~closed)
@@ -507,8 +510,12 @@ def greedy_pass(components: DataFrame, edges: DataFrame, small: int = SMALL_EDGE
         told[held] = True
         return pdf[["edge_id", "src", "dst"]].assign(closes=closed)[told]
 
-    alone = inner.join(F.broadcast(giant), "cs", "left_anti")
-    found = written(alone.groupBy("cs").applyInPandas(solve, out))
+    if giant.isEmpty():
+        return written(inner.groupBy("cs").applyInPandas(solve, out))
+    marked = _sorted_out(components, edges, sources, giant)
+    inner, closed = marked.filter("not closes").drop("closes"), marked.filter("closes").drop("cs")
+    giant = _giants(written(inner.groupBy("cs").agg(F.count("*").alias("n"))), small)
+    found = written(inner.join(F.broadcast(giant), "cs", "left_anti").groupBy("cs").applyInPandas(solve, out)).unionByName(closed)
     if giant.isEmpty():
         return found
     rest = written(inner.join(F.broadcast(giant), "cs"))
@@ -523,6 +530,66 @@ def greedy_pass(components: DataFrame, edges: DataFrame, small: int = SMALL_EDGE
     return found
 
 
+def _giants(sizes: DataFrame, small: int) -> DataFrame:
+    """Components (cs) of more than `small` edges (n): fewer than edges / small of them."""
+    return sizes.groupBy("cs").agg(F.sum("n").alias("n")).filter(F.col("n") > small).select("cs")
+
+
+def _sorted_out(components: DataFrame, edges: DataFrame, sources: DataFrame, giant: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(cs, edge_id, src, dst, closes): the edges within components that close a cycle for certain (closes), and those that a greedy
+    pass still has to go over in order, which then closes the same others and reaches the same as one over all edges; written.
+
+    `sources` (cs, id, first, n) has each vertex's first edge. An edge that comes before the first one of its target can't close a
+    cycle. All cycles go through the target's own edges, so the pass may take such an edge at any time up to the first of these;
+    hence ids rise along any path of such edges, and the pass has all of the path before it comes to an edge of the path's end. Up to NEAR
+    of each vertex's are retained, and what their paths prove (see `_along_a_path`) decides edges anywhere: an edge back to where
+    a path begins closes a cycle, and another one that can't close any, but has a path around it, is not needed.
+    Components with more than `most` vertices are left as they are.
+    """
+    count = Window.partitionBy("cs")
+    own = sources.join(F.broadcast(giant), "cs").withColumn("m", F.count("*").over(count)).filter(F.col("m") <= most)
+    own = written(own.select("cs", "id", "first", F.row_number().over(count.orderBy("first", "id")).alias("rank")))
+    at = components.select("id", F.col("component").alias("cs")).join(own, ["cs", "id"], "left")
+    low, high = at.select(F.col("id").alias("src"), "cs", F.col("rank").alias("a")), at.select(F.col("id").alias("dst"), F.col("cs").alias("cd"), "first", F.col("rank").alias("b"))
+    few = F.broadcast if components.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    sure = edges.join(few(high), "dst").filter("edge_id < first").join(few(low), "src").filter("cs = cd and a < b")
+    near = sure.groupBy("cs", "a", F.pmod("b", F.lit(NEAR)).alias("k")).agg(F.min("b").alias("b"))
+    proofs = near.groupBy("cs").applyInPandas(lambda pdf: _along_a_path(pdf), f"cs {components.schema['component'].dataType.simpleString()}, rank int, leads int, led int, near array<int>")
+    at = written(components.select("id", F.col("component").alias("cs")).join(own.join(proofs, ["cs", "rank"], "left"), ["cs", "id"], "left"))
+    low, high = at.select(F.col("id").alias("src"), "cs", F.col("leads").alias("ls"), F.col("led").alias("es"), "near"), at.select(F.col("id").alias("dst"), F.col("cs").alias("cd"), "first", "rank", F.col("leads").alias("ld"), F.col("led").alias("ed"))
+    inner = edges.join(few(low), "src").join(few(high), "dst").filter("cs = cd")
+    closes = F.coalesce(F.expr("src = dst or ld <= es"), F.lit(False))
+    spare = F.coalesce(F.expr("edge_id < first and ls <= ed and not array_contains(near, rank)"), F.lit(False))
+    return written(inner.select("cs", "edge_id", "src", "dst", closes.alias("closes"), spare.alias("spare")).filter("closes or not spare").drop("spare"))
+
+
+def _along_a_path(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each vertex of the edges a to b, a < b, of a component (cs), by its rank: the first place on a longest path that it leads to (`leads`),
+    the last that it is led to from (`led`), itself included, null if there is none; and the b of its edges (`near`).
+    So there is a path from x to y if x leads to a place up to the one that y is led to from."""
+    ranks, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+    a, b = at[: len(pdf)].tolist(), at[len(pdf) :].tolist()
+    out: list[list[int]] = [[] for _ in ranks]
+    for x, y in zip(a, b, strict=True):
+        out[x].append(y)
+    high = [0] * len(ranks)
+    for x in range(len(ranks) - 1, -1, -1):
+        high[x] = max((high[y] + 1 for y in out[x]), default=0)
+    place, x, far = {}, int(np.argmax(high)), len(ranks)
+    while x not in place:
+        place[x] = len(place)
+        x = max(out[x], key=high.__getitem__, default=x)
+    leads, led = [place.get(x, far) for x in range(far)], [place.get(x, -1) for x in range(far)]
+    for x in range(far - 1, -1, -1):
+        for y in out[x]:
+            leads[x] = min(leads[x], leads[y])
+    for x in range(far):
+        for y in out[x]:
+            led[y] = max(led[y], led[x])
+    none = lambda some, null: pd.Series(some, dtype="Int32").mask(np.array(some) == null)
+    return pd.DataFrame({"cs": pdf["cs"].iloc[0], "rank": ranks, "leads": none(leads, far), "led": none(led, -1), "near": [ranks[y].tolist() for y in out]})
+
+
 def _in_rounds(rest: DataFrame, block: int, batch: int) -> tuple[DataFrame, int, int]:
     """Edges (cs, edge_id, src, dst, given, round), and numbers of rounds and of tasks: each edge in the round that judges it, or
     first has to know that it was kept (given)."""

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,33 @@ def test_giant_components_in_few_rounds(spark, monkeypatch):
     assert len(seen) < 16
 
 
+def test_giant_components_are_sorted_out_where_edges_lie(spark, monkeypatch):
+    """Every edge of a giant component used to go through rounds in order, however clear it was what becomes of it."""
+    pairs = dense(10, 80, 2000, True)
+    gone, layer = passed(pairs)
+    e, v = frame(spark, [*pairs, *((a + 100, b + 100) for a, b in pairs), (50, 190), (190, 191), (191, 190)]), spark.range(192).toDF("id")
+    c = graph.strong_components(v, e).cache()
+    monkeypatch.setattr(graph, "_in_rounds", None)
+    got = graph.greedy_pass(c, e, small=1000).cache()
+    assert sorted(x.edge_id for x in got.filter("closes").collect()) == sorted([*gone, *(len(pairs) + k for k in gone), 2 * len(pairs) + 2])
+    at = {x.id: x.layer for x in graph.acyclic_layers(v, graph.skeleton(c, e, got)).collect()}
+    assert {x: at[x + 100] for x in layer} == layer and all(at[x] >= layer[x] for x in layer)
+
+
+def test_what_lies_along_a_path():
+    r = random.Random(12)
+    for _ in range(60):
+        n = r.randrange(2, 30)
+        pairs = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(r.randrange(1, 80))})
+        got = graph._along_a_path(pd.DataFrame(pairs, columns=["a", "b"]).assign(cs=7))
+        rows = {x.rank: x for x in got.itertuples()}
+        assert set(rows) == {x for p in pairs for x in p} and all(sorted(x.near) == [b for a, b in pairs if a == x.rank] for x in rows.values())
+        told, want = {(x, y) for x in rows for y in rows if not (pd.isna(rows[x].leads) or pd.isna(rows[y].led)) and rows[x].leads <= rows[y].led}, paths(pairs, rows)
+        on = [x for x in rows if (x, x) in told]
+        assert told <= want and all((x, y) in told for x in on for y in on if x <= y) and len(on) > 1
+        assert {x for x, y in want if y in on} == {x for x in rows if not pd.isna(rows[x].leads)}
+
+
 def test_components_by_colours_are_tarjans():
     r = random.Random(11)
     for _ in range(60):
