@@ -79,14 +79,19 @@ def hierarchy_projection(nodes: DataFrame, edges: DataFrame, selected: list[str]
 
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, id) for every vertex reached from each start (column id), itself included; semi-naive rounds over all edges."""
+    """(start, id) for every vertex reached from each start (column id), itself included; semi-naive rounds over all edges.
+
+    Pairs take so little Parquet that Spark would broadcast many millions of them: rows decide, not the size of files."""
     e = edges.select("src", "dst").distinct()
+    e = F.broadcast(e) if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else e.hint("merge")
     seen = written(starts.select(F.col("id").alias("start"), "id").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
+    frontier, rows = seen, seen.count()
+    new = rows
+    while new:
         step = frontier.join(e, frontier["id"] == e["src"]).select("start", F.col("dst").alias("id")).distinct()
-        frontier = written(step.join(seen, ["start", "id"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        frontier = written(step.join(seen if rows <= BROADCAST_ROWS else seen.hint("merge"), ["start", "id"], "left_anti"))
+        new = frontier.count()
+        seen, rows = seen.unionByName(frontier), rows + new
     return seen
 
 
@@ -102,8 +107,9 @@ def reachability(edges: DataFrame, starts: DataFrame, small: int = SMALL_EDGES)
     between = written(e.join(low, "src").join(high, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
     begin = written(begin.join(of, "id"))
     pairs = reached(between, begin.select(F.col("component").alias("id")).distinct())
-    out = join_large_groups(begin, pairs.select(F.col("start").alias("component"), F.col("id").alias("to")), "component", "id").select(F.col("id").alias("start"), "to")
-    out = join_large_groups(out, of.select("id", F.col("component").alias("to")), "to", "start").select("start", "id")
+    out = join_large_groups(begin, pairs.select(F.col("start").alias("component"), F.col("id").alias("to")), "component", "id", "to")
+    out = written(out.select(F.col("id").alias("start"), "to"))
+    out = join_large_groups(out, of.select("id", F.col("component").alias("to")), "to", "start", "id").select("start", "id")
     return out.unionByName(starts.filter("id is null").select(F.col("id").alias("start"), "id").distinct())
 
 

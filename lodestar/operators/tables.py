@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key from which a join deals them out.
-LARGE_GROUP = 1000
+#: Pairs of a key up to which a join leaves them to one task, about.
+CELL_PAIRS = 1 << 24
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -34,13 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_large_groups(many: DataFrame, few: DataFrame, key: str, by: str, large: int = LARGE_GROUP) -> DataFrame:
-    """many JOIN few on `key`, where keys repeat on both sides: what a key with `large` rows or more in `few` meets in `many`
-    is dealt out by a hash of column `by`, and its rows in `few` are repeated for each share."""
-    shares = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = few.groupBy(key).agg((F.count("*") >= large).alias("__large"))
-    share = F.when(F.col("__large"), F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(F.lit(0).cast("long"))
-    all_shares = F.when(F.col("__large"), F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    left = many.join(counted, key).withColumn("__share", share).drop("__large")
-    right = few.join(counted, key).withColumn("__share", F.explode(all_shares)).drop("__large")
-    return left.join(right, [key, "__share"]).drop("__share")
+def join_large_groups(many: DataFrame, few: DataFrame, key: str, by: str, other: str, most: int = CELL_PAIRS) -> DataFrame:
+    """many JOIN few on `key`, where keys repeat on both sides: the pairs of a key that gives more than `most` are a grid, dealt
+    out by hashes of column `by` of `many` and `other` of `few`, about `most` to a cell. Cells meet by shuffle, in partitions that
+    follow their number: Spark judges both sides as they were before their rows were repeated, and would broadcast them through
+    the driver or put a huge result into a handful of tasks. Both sides are read twice."""
+    m, f = (df.groupBy(key).agg(F.count("*").cast("double").alias(n)) for df, n in ((many, "m"), (few, "f")))
+    cells = F.ceil(F.col("m") * F.col("f") / most)
+    wide = F.ceil(F.least(F.col("m"), F.sqrt(cells * F.col("m") / F.col("f"))))
+    large = m.join(f, key).filter(F.col("m") * F.col("f") > most).select(key, wide.alias("__wide"), F.ceil(cells / wide).alias("__high"))
+    large = written(large)
+    total = large.agg(F.sum(F.col("__wide") * F.col("__high"))).first()[0]
+    if not total:
+        return many.join(few.hint("merge"), key)
+    wide, high = (F.coalesce(n, F.lit(1).cast("long")) for n in ("__wide", "__high"))
+    zero, one, grid = F.lit(0).cast("long"), F.lit(1).cast("long"), F.broadcast(large)  # each row stands for more than `most` pairs
+    left = many.join(grid, key, "left").select(*many.columns, F.pmod(F.xxhash64(by), wide).alias("__i"), F.explode(F.sequence(zero, high - one)).alias("__j"))
+    right = few.join(grid, key, "left").select(*few.columns, F.explode(F.sequence(zero, wide - one)).alias("__i"), F.pmod(F.xxhash64(other), high).alias("__j"))
+    on, parts = [key, "__i", "__j"], max(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total)
+    return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on).drop("__i", "__j")

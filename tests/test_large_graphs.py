@@ -220,3 +220,50 @@ def test_visible_edges_of_feedback_edges(spark, sf_dir):
     want = sorted(map(tuple, scene.visible_edges(full, at).drop("type").collect()))
     assert full.filter("feedback and not cyclic").isEmpty() and not full.filter("feedback").isEmpty()
     assert sorted(map(tuple, WITHOUT_SQL["visible_edges"](spark, sf_dir).collect())) == want
+
+
+def last_plan(df):
+    """The plan as it was after the query had run, and the lines below each of its broadcasts."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    sent = []
+    for i, x in enumerate(plan):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            sent.append("\n".join(plan[i + 1 : end]))
+    return "\n".join(plan), sent
+
+
+@pytest.mark.parametrize("most", [10**9, 40_000, 2000])
+def test_repeated_rows_of_large_groups_are_not_broadcast(spark, most):
+    """Members of a component, repeated for each share, went through the driver: 12 million rows at 60,000 vertices. And what
+    a component gives went to as few tasks as its members ask for."""
+    many = graph.written(spark.range(1200).select("id", (F.col("id") % 2).alias("k")).unionByName(spark.createDataFrame([(5000, 9), (5001, None)], "id long, k long")))
+    few = graph.written(spark.range(3000).select(F.col("id").alias("to"), F.when(F.col("id") < 300, 0).when(F.col("id") < 310, 1).otherwise(F.col("id") % 2 + 8).cast("long").alias("k")))
+    got = graph.join_large_groups(many, few, "k", "id", "to", most).withColumn("task", F.spark_partition_id())
+    counts = got.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("id", "to").alias("pairs"), F.countDistinct("task").alias("tasks"))
+    rows = {x.k: (x.n, x.pairs, x.tasks) for x in counts.collect()}
+    want = {0: 600 * 300, 1: 600 * 10, 9: sum(x % 2 for x in range(310, 3000))}
+    assert {k: x[:2] for k, x in rows.items()} == {k: (n, n) for k, n in want.items()}
+    assert rows[0][2] > {40_000: 2, 2000: 20}.get(most, 0)
+    plan, sent = last_plan(counts)
+    assert ("explode" in plan) == (most < 10**9) and not any("explode" in x for x in sent)
+
+
+def test_many_pairs_reached_are_not_broadcast(spark, monkeypatch):
+    """Some 35 million pairs fit in 10 MB of Parquet, and Spark looks only at these."""
+    pairs = [(0, 1), (1, 2), (2, 3), (0, 3), (4, 2)]
+    plans, write = [], graph.written
+
+    def kept(df):
+        out = write(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "written", kept)
+    for most, joins in ((3, 0), (1000, 1)):
+        plans.clear()
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+        got = graph.reached(frame(spark, pairs), spark.range(5).toDF("id")).collect()
+        assert sorted(map(tuple, got)) == sorted(paths(pairs, range(5)))
+        assert any("BroadcastHashJoin" in x or "BroadcastExchange" in x for x in plans) == bool(joins)
