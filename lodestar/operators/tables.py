@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pairs of a key up to which a join leaves them to one task, about.
-CELL_PAIRS = 1 << 24
+CELL_PAIRS = 1 << 22
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -42,14 +43,13 @@ def join_large_groups(many: DataFrame, few: DataFrame, key: str, by: str, other:
     m, f = (df.groupBy(key).agg(F.count("*").cast("double").alias(n)) for df, n in ((many, "m"), (few, "f")))
     cells = F.ceil(F.col("m") * F.col("f") / most)
     wide = F.ceil(F.least(F.col("m"), F.sqrt(cells * F.col("m") / F.col("f"))))
-    large = m.join(f, key).filter(F.col("m") * F.col("f") > most).select(key, wide.alias("__wide"), F.ceil(cells / wide).alias("__high"))
-    large = written(large)
-    total = large.agg(F.sum(F.col("__wide") * F.col("__high"))).first()[0]
-    if not total:
-        return many.join(few.hint("merge"), key)
+    pairs = F.col("m") * F.col("f")
+    sizes = written(m.join(f, key).select(key, pairs.alias("__pairs"), wide.alias("__wide"), F.ceil(cells / wide).alias("__high")))
+    parts = max(1, math.ceil(2 * (sizes.agg(F.sum("__pairs")).first()[0] or 0) / most))
+    large = sizes.filter(F.col("__pairs") > most).drop("__pairs")
     wide, high = (F.coalesce(n, F.lit(1).cast("long")) for n in ("__wide", "__high"))
     zero, one, grid = F.lit(0).cast("long"), F.lit(1).cast("long"), F.broadcast(large)  # each row stands for more than `most` pairs
     left = many.join(grid, key, "left").select(*many.columns, F.pmod(F.xxhash64(by), wide).alias("__i"), F.explode(F.sequence(zero, high - one)).alias("__j"))
     right = few.join(grid, key, "left").select(*few.columns, F.explode(F.sequence(zero, wide - one)).alias("__i"), F.pmod(F.xxhash64(other), high).alias("__j"))
-    on, parts = [key, "__i", "__j"], max(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total)
+    on = [key, "__i", "__j"]
     return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on).drop("__i", "__j")
